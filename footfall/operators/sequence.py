@@ -25,6 +25,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # 30 days of epoch seconds: at most 2,592,000 rows per (key, segment).
 SEGMENT = 30 * 86400
@@ -52,7 +53,8 @@ def in_order(
         true where the current row starts a new run. It may look up `order`
         and the source columns of `prev`. The first row of a key always starts
         a run. `run` receives the order value of the run's first row.
-    order: integer column, unique within `keys` and not null.
+    order: integer column, unique within `keys` and not null. Key columns are
+        not null either; a null one is treated as the empty value of its type.
     """
     prev, following = dict(prev or {}), dict(following or {})
     if segment is None:
@@ -61,7 +63,7 @@ def in_order(
     before = sorted(set(prev.values()) - {order})
     after = sorted(set(following.values()))
     group = [*keys, _SEG]
-    df = df.withColumn(_SEG, F.floor(F.col(order) / segment))
+    df = _segmented(df, keys, order, segment)
 
     # 1. inside the segment
     w = Window.partitionBy(*group).orderBy(order)
@@ -132,6 +134,20 @@ def in_order(
     )
 
 
+def _segmented(df, keys, order, segment):
+    """Add the segment number and make the grouping columns non-nullable.
+
+    Known non-null columns need no null filter on one side of the join below,
+    so both sides read the same shuffle instead of producing it twice.
+    """
+    fill = {}
+    for f in df.schema.fields:
+        if f.name in keys and f.nullable:
+            empty = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(0).cast(f.dataType)
+            fill[f.name] = F.coalesce(f.name, empty)
+    return df.withColumns({**fill, _SEG: F.coalesce(F.floor(F.col(order) / segment), F.lit(0))})
+
+
 def _plain(df, keys, order, prev, following, breaks, run):
     w = Window.partitionBy(*keys).orderBy(order)
     watched = sorted(set(prev.values()) | {order})
@@ -161,7 +177,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], *, order: str = "ts", out: s
     one row per `segment` of its range.
     """
     group = [*keys, _SEG]
-    df = df.withColumn(_SEG, F.floor(F.col(order) / segment))
+    df = _segmented(df, keys, order, segment)
     along = Window.partitionBy(*keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
     sizes = df.groupBy(*group).agg(F.count("*").alias("_size")).select(
         *group, F.coalesce(F.sum("_size").over(along), F.lit(0)).alias("_before"))

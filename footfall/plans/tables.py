@@ -77,3 +77,12 @@ def wire_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = wire_line("seq", "device", rssi, "ts", "ap")
     short = wire_line("seq", "device", "ts", "ap")
     return x.select(F.when(F.col("event_type") == "error", short).otherwise(whole).alias("value"))
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream.
+
+    The bracket makes the path a pattern, which the streaming reader needs in
+    order to accept a table that is a single file; a folder matches as well.
+    """
+    return configure(spark).readStream.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
