@@ -63,14 +63,19 @@ def gaussian_log_density(df: DataFrame, cols: Sequence[str], stats: DataFrame) -
     `stats` is `feature_stats` output. It enters as a scalar subquery, not as a
     join. The sum of logs does not underflow where the product would.
     """
-    stat = stats.select(F.struct("*")).scalar()
+    mean, var = [F.col(f"mean_{c}") for c in cols], [F.col(f"var_{c}") for c in cols]
+    constant = reduce(lambda a, b: a + b, [-F.log(2 * F.pi() * v) / 2 for v in var])
+    stat = stats.select(F.struct(
+        constant.alias("constant"), *[m.alias(f"mean_{c}") for c, m in zip(cols, mean)],
+        *[(0.5 / v).alias(f"weight_{c}") for c, v in zip(cols, var)])).scalar()
     df = df.withColumn("_stats", stat)
 
     def term(c):
-        mean, var = F.col(f"_stats.mean_{c}"), F.col(f"_stats.var_{c}")
-        return -F.pow(F.col(c) - mean, 2) / (2 * var) - F.log(2 * F.pi() * var) / 2
+        d = F.col(c) - F.col(f"_stats.mean_{c}")
+        return d * d * F.col(f"_stats.weight_{c}")
 
-    return df.withColumn("log_density", reduce(lambda a, b: a + b, [term(c) for c in cols])).drop("_stats")
+    total = reduce(lambda a, b: a - b, [term(c) for c in cols], F.col("_stats.constant"))
+    return df.withColumn("log_density", total).drop("_stats")
 
 
 def gaussian_density(df: DataFrame, cols: Sequence[str], stats: DataFrame) -> DataFrame:
@@ -97,10 +102,12 @@ def threshold_sweep(scored: DataFrame, score: str = "score", label: str = "label
     lo, step = F.col("_r.lo"), F.col("_r.step")
     guess = F.floor((F.col("_p") - lo) / step)
     # Division may be off by one; settle it by comparing with the thresholds.
-    first = F.when(step == 0, steps + 1).otherwise(
-        F.when(lo + guess * step > F.col("_p"), guess)
-        .when(lo + (guess + 1) * step > F.col("_p"), guess + 1).otherwise(guess + 2))
-    counts = x.groupBy(first.cast("bigint").alias("step_no")).agg(
+    reached = lambda i: (lo + i * step <= F.col("_p")).cast("bigint")
+    first = F.when(step != 0, guess + reached(guess) + reached(guess + 1))
+    # No score or no range: below no threshold. A non-null key also spares the
+    # join below a null filter that would evaluate all of this once more.
+    first = F.coalesce(first, F.lit(steps + 1).cast("bigint"))
+    counts = x.groupBy(first.alias("step_no")).agg(
         F.count_if("_y").alias("_pos"), F.count_if(~F.col("_y")).alias("_neg"))
     grid = scored.sparkSession.range(steps + 2).withColumnRenamed("id", "step_no")
     grid = grid.join(counts, "step_no", "left").na.fill(0, ["_pos", "_neg"])

@@ -7,31 +7,59 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The explodes below are outer ones: for an inner one Spark infers a "not empty"
+# filter and splits every text once more to evaluate it.
+
 # Everything that is neither a letter nor a digit separates terms.
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
-def document_terms(docs: DataFrame, stop_words: DataFrame | None = None, stop_patterns: Sequence[str] = (),
-                   key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Whole documents -> (document, term, n), lower case, without stop words.
+def _words(text: str):
+    """Words in order; the first is empty if the text begins with a separator."""
+    return F.split(F.lower(text), SEPARATORS)
 
-    `stop_words` has a column `term`; `stop_patterns` are regular expressions
-    that must match the whole term. Words are counted per document before the
-    stop list is applied, so it meets each word of a document once.
-    """
-    terms = (docs.select(key, F.explode(F.split(F.lower(text), SEPARATORS)).alias("term"))
-             .where(F.col("term") != "")
-             .groupBy(key, "term").agg(F.count("*").alias("n")))
+
+def _without_stop_words(terms, stop_words, stop_patterns):
     if stop_patterns:
         terms = terms.where(~F.col("term").rlike("^(?:" + "|".join(stop_patterns) + ")$"))
     if stop_words is not None:
         terms = terms.join(stop_words, "term", "left_anti")
-    return terms.select(key, "term", "n")
+    return terms
+
 
+def document_terms(docs: DataFrame, stop_words: DataFrame | None = None, stop_patterns: Sequence[str] = (),
+                   key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whole documents -> (document, position, term), lower case, without stop words.
 
-def term_counts(terms: DataFrame) -> DataFrame:
-    """Occurrences and documents per term over the corpus."""
-    return terms.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    `stop_words` has a column `term`; `stop_patterns` are regular expressions
+    that must match the whole term. Positions only increase; they keep the gaps
+    of removed words. Nothing is shuffled.
+    """
+    terms = docs.select(key, F.posexplode_outer(_words(text)).alias("position", "term")).where(F.col("term") != "")
+    return _without_stop_words(terms, stop_words, stop_patterns).select(key, "position", "term")
+
+
+def document_term_counts(terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Occurrences per (document, term) of `document_terms` output."""
+    return terms.groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+def term_counts(docs: DataFrame, stop_words: DataFrame | None = None, stop_patterns: Sequence[str] = (),
+                text: str = "text") -> DataFrame:
+    """Occurrences and number of documents per term over the corpus.
+
+    A document contributes every word to `n` and its distinct words to `docs`,
+    so the only shuffle is that of the terms, already summed up per task. The
+    stop list is applied to the sums.
+    """
+    words = docs.select(_words(text).alias("_words"))
+    # One array per document: all words, then the distinct ones.
+    both = words.select(F.size("_words").alias("_all"), F.concat("_words", F.array_distinct("_words")).alias("_both"))
+    seen = both.select("_all", F.posexplode_outer("_both").alias("_at", "term")).where(F.col("term") != "")
+    sums = seen.groupBy("term").agg(
+        F.count_if(F.col("_at") < F.col("_all")).alias("n"),
+        F.count_if(F.col("_at") >= F.col("_all")).alias("docs"))
+    return _without_stop_words(sums, stop_words, stop_patterns).select("term", "n", "docs")
 
 
 def synonym_heads(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -116,11 +116,11 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "lstat": ((), """SELECT avg(l_quantity) m1, var_samp(l_quantity) v1, avg(l_extendedprice) m2,
         var_samp(l_extendedprice) v2, avg(l_discount) m3, var_samp(l_discount) v3,
         avg(l_tax) m4, var_samp(l_tax) v4 FROM lineitem"""),
-    "scored": (("li", "lstat"), """SELECT li.*, round(
+    "scored": (("li", "lstat"), """SELECT li.*, floor((
         -pow(l_quantity - m1, 2) / (2 * v1) - ln(2 * pi() * v1) / 2
         - pow(l_extendedprice - m2, 2) / (2 * v2) - ln(2 * pi() * v2) / 2
         - pow(l_discount - m3, 2) / (2 * v3) - ln(2 * pi() * v3) / 2
-        - pow(l_tax - m4, 2) / (2 * v4) - ln(2 * pi() * v4) / 2, 4) AS score FROM li, lstat"""),
+        - pow(l_tax - m4, 2) / (2 * v4) - ln(2 * pi() * v4) / 2) * 10000) / 10000 AS score FROM li, lstat"""),
     "rng": (("scored",), "SELECT min(score) AS lo, max(score) AS hi, (max(score) - min(score)) / 1000 AS step FROM scored"),
     "tok": ((), r"""SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents"""),
     "terms": (("tok",), """SELECT doc_id, term, count(*) AS n FROM tok
@@ -760,7 +760,7 @@ def _scored(spark, d):
         "l_orderkey", "l_linenumber", *_COLS, (F.col("l_returnflag") == "R").alias("label"))
     x = stats.gaussian_log_density(li, _COLS, stats.feature_stats(li, _COLS))
     # Four digits make the scores equal whatever the order of summation.
-    return x.withColumn("score", F.round("log_density", 4)).drop("log_density")
+    return x.withColumn("score", F.floor(F.col("log_density") * 10000) / 10000).drop("log_density")
 
 
 @query("gaussian_density", "SELECT l_orderkey, l_linenumber, score FROM scored", "scored")
@@ -822,20 +822,28 @@ _STOP_WORDS = ["is", "a", "北方"]
 _STOP_PATTERNS = [".*了"]
 
 
-def _terms(spark, d):
+def _stop_list(spark):
     words = ", ".join(f"('{w}')" for w in _STOP_WORDS)
-    stop = spark.sql(f"SELECT term FROM VALUES {words} AS t(term)")
-    return terms.document_terms(table(spark, d, "documents"), stop, _STOP_PATTERNS)
+    return spark.sql(f"SELECT term FROM VALUES {words} AS t(term)")
 
 
-@query("document_terms", "SELECT * FROM terms", "terms")
+@query("document_terms", """SELECT doc_id, CAST(position AS INT) AS position, term FROM (
+    SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) - 1 AS position FROM (SELECT doc_id,
+    regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS words FROM documents))
+    WHERE term NOT IN ('', 'is', 'a', '北方') AND NOT regexp_full_match(term, '.*了')""")
 def _(spark, d):
-    return _terms(spark, d)
+    return terms.document_terms(table(spark, d, "documents"), _stop_list(spark), _STOP_PATTERNS)
+
+
+@query("document_term_counts", "SELECT * FROM terms", "terms")
+def _(spark, d):
+    return terms.document_term_counts(
+        terms.document_terms(table(spark, d, "documents"), _stop_list(spark), _STOP_PATTERNS))
 
 
 @query("term_counts", "SELECT term, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM terms GROUP BY term", "terms")
 def _(spark, d):
-    return terms.term_counts(_terms(spark, d))
+    return terms.term_counts(table(spark, d, "documents"), _stop_list(spark), _STOP_PATTERNS)
 
 
 def _synonyms(spark, d):

@@ -37,8 +37,10 @@ def split_lines(lines: DataFrame, layout: str = "v4", value: str = "value") -> D
     """
     names = LAYOUTS[layout]
     rest = [c for c in lines.columns if c not in (value, *names)]
-    parts = F.split(F.col(value), r"\|", -1)
-    x = lines.select(*rest, F.col(value).alias("line"), parts.alias("_f"))
+    # The one-element explode makes the fields an attribute of their own: filters
+    # on them stay above it, and every line is split once.
+    x = lines.select(*rest, F.col(value).alias("line"))
+    x = x.select("*", F.explode(F.array(F.split("line", r"\|", -1))).alias("_f"))
     # `get` gives null instead of an error beyond the end of the array.
     cells = [F.trim(F.get("_f", F.lit(i))) for i in range(len(names))]
     typed = [F.when(c != "", c) if _TYPES[n] == "string" else c.try_cast(_TYPES[n])
