@@ -44,6 +44,7 @@ def in_order(
     following: Mapping[str, str] | None = None,
     breaks: Breaks | None = None,
     run: str = "run_start",
+    shared: Sequence[str] = (),
     segment: int | None = SEGMENT,
 ) -> DataFrame:
     """Add previous/next values and run starts along `order` within `keys`.
@@ -53,6 +54,9 @@ def in_order(
         true where the current row starts a new run. It may look up `order`
         and the source columns of `prev`. The first row of a key always starts
         a run. `run` receives the order value of the run's first row.
+    shared: further columns the result is going to be used for. The rows are read
+        twice, for the result and for the summary; when both ask for the same
+        columns, Spark computes and shuffles them once and reuses that.
     order: integer column, unique within `keys` and not null. Key columns are
         not null either; a null one is treated as the empty value of its type.
     """
@@ -89,7 +93,11 @@ def in_order(
         *[F.max_by(c, order).alias(f"_last_{c}") for c in before],
         *[F.min_by(c, order).alias(f"_first_{c}") for c in firsts],
         *([F.max("_cut").alias("_last_cut")] if breaks is not None else []),
+        *([F.max(F.xxhash64(*shared)).alias("_shared")] if shared else []),
     )
+    if shared:
+        # Always true: it only keeps the columns from being pruned on this side.
+        summary = summary.where(F.col("_shared").isNotNull())
 
     # 3. neighbours of each segment
     along = Window.partitionBy(*keys).orderBy(_SEG)

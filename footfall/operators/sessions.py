@@ -21,16 +21,17 @@ def sessionize(points: DataFrame, gap: int = SLICE_GAP, keys: Sequence[str] = ("
                order: str = "ts", segment: int | None = SEGMENT) -> DataFrame:
     """Add `session_start`; a new session begins after a silence longer than `gap`.
 
-    `points` has one row per key and instant (see `instants`).
+    `points` has one row per key and instant (see `instants`) and only the
+    columns that are needed afterwards.
     """
-    return in_order(points, list(keys), order=order, prev={"_prev": order},
-                    breaks=lambda p, c: c(order) - p(order) > gap,
-                    run="session_start", segment=segment).drop("_prev")
+    rest = [c for c in points.columns if c not in (*keys, order)]
+    return in_order(points, list(keys), order=order, breaks=lambda p, c: c(order) - p(order) > gap,
+                    run="session_start", shared=rest, segment=segment)
 
 
 def time_slices(s: DataFrame, gap: int = SLICE_GAP, segment: int | None = SEGMENT) -> DataFrame:
     """Label every reading with its device's session."""
-    starts = sessionize(instants(s), gap, segment=segment).select("device", "ts", "session_start")
+    starts = sessionize(s.select("device", "ts").distinct(), gap, segment=segment)
     return s.join(starts, ["device", "ts"])
 
 
@@ -123,7 +124,7 @@ def interval_buckets(s: DataFrame, segment: int | None = SEGMENT) -> DataFrame:
     Readings of one instant are counted first: k of them make k-1 gaps of zero,
     so the ordered part has one row per instant.
     """
-    x = in_order(instants(s), ["device"], prev={"ts_prev": "ts"}, segment=segment)
+    x = in_order(instants(s), ["device"], prev={"ts_prev": "ts"}, shared=["readings"], segment=segment)
     gap = F.col("ts") - F.col("ts_prev")
     bucket = F.when(gap < 60, F.lit("<1 min")).otherwise(
         F.concat(F.floor(gap / 60).cast("string"), F.lit(" min")))

@@ -27,8 +27,8 @@ def run_mean(s: DataFrame, order: str = "seq", segment: int = 1 << 20) -> DataFr
     The mean is rounded half to even.
     """
     runs = in_order(
-        s, ["device", "ts"], order=order, prev={"_prev_ap": "ap"},
-        breaks=lambda p, c: p("ap") != c("ap"), run="run_seq", segment=segment)
+        s.select("device", "ts", "ap", "rssi", order), ["device", "ts"], order=order, prev={"_prev_ap": "ap"},
+        breaks=lambda p, c: p("ap") != c("ap"), run="run_seq", shared=["rssi"], segment=segment)
     return (runs.groupBy("device", "ts", "run_seq", "ap")
             .agg(F.bround(F.avg("rssi")).alias("rssi"), F.count("*").alias("n")))
 

@@ -85,8 +85,8 @@ def visit_tracker(s: DataFrame, origin: int, every: int, ticks: int | Column,
     last_tick = F.lit(ticks).cast("bigint") if isinstance(ticks, int) else ticks
     here = presence(s, origin, every, seconds)
     here = here.where(F.col("tick") <= last_tick)
-    runs = in_order(here, list(keys), order="tick", prev={"_prev": "tick"},
-                    breaks=lambda p, c: c("tick") - p("tick") > 1, run="run", segment=segment)
+    runs = in_order(here, list(keys), order="tick", breaks=lambda p, c: c("tick") - p("tick") > 1,
+                    run="run", shared=["first_ts"], segment=segment)
     stays = runs.groupBy(*keys, "run").agg(
         F.max("tick").alias("run_end"), F.min_by("first_ts", "tick").alias("start_ts"))
     at = lambda tick: F.lit(origin) + tick * F.lit(every)

@@ -81,18 +81,17 @@ def scan_paths(root: str, aps: Iterable[str] = (), days: Iterable[str] = (), ski
     return [f"{root.rstrip('/')}/{ap}/{day}" for ap in (list(aps) or ["*"]) for day in day_part]
 
 
-def land(s: DataFrame, path: str, tz: str = LOCAL_ZONE, salt: str | None = None, spread: int = 16,
-         mode: str = "append") -> None:
+def land(s: DataFrame, path: str, tz: str = LOCAL_ZONE, salt: str | None = None, mode: str = "append") -> None:
     """Write sightings as parquet partitioned by (day, ap).
 
-    `spread` tasks share each (day, ap), so a busy access point does not end in
-    one writer. A `salt` replaces device ids by pseudonyms before storing.
+    The rebalance hint groups rows by folder and lets adaptive execution cut a
+    busy access point into several tasks of the advisory size and put quiet
+    ones together. A `salt` replaces device ids by pseudonyms before storing.
     """
     if salt is not None:
         s = s.withColumn("device", pseudonym("device", salt))
     s = s.withColumn("day", local_day("ts", tz))
-    (s.repartition("day", "ap", F.pmod(F.xxhash64("device", "ts"), F.lit(spread)))
-     .write.mode(mode).partitionBy("day", "ap").parquet(path))
+    s.hint("rebalance", F.col("day"), F.col("ap")).write.mode(mode).partitionBy("day", "ap").parquet(path)
 
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
