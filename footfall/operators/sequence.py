@@ -102,7 +102,7 @@ def in_order(
     # 3. neighbours of each segment
     along = Window.partitionBy(*keys).orderBy(_SEG)
     carry = summary.select(
-        *group, "_lo", *[f"_first_{c}" for c in firsts],
+        *group, *(["_lo", *[f"_first_{c}" for c in firsts]] if breaks is not None else []),
         F.lag("_hi").over(along).alias("_in_order"),
         *[F.lag(f"_last_{c}").over(along).alias(f"_in_{c}") for c in before],
         *[F.lead(f"_first_{c}").over(along).alias(f"_out_{c}") for c in after],
@@ -117,9 +117,8 @@ def in_order(
             "_opened",
             F.last(F.coalesce("_last_cut", "_opened"), ignorenulls=True).over(
                 along.rowsBetween(Window.unboundedPreceding, -1))))
-    carry = carry.select(
-        *group, "_in_order", *[f"_in_{c}" for c in before], *[f"_out_{c}" for c in after],
-        *(["_entry_run"] if breaks is not None else []))
+        carry = carry.select(*group, "_in_order", *[f"_in_{c}" for c in before], *[f"_out_{c}" for c in after],
+                             "_entry_run")
 
     # 4. hand them to the rows at the segment's ends
     if breaks is not None:
@@ -150,7 +149,7 @@ def _segmented(df, keys, order, segment):
     """
     fill = {}
     for f in df.schema.fields:
-        if f.name in keys and f.nullable:
+        if f.name in keys and f.nullable and isinstance(f.dataType, (T.StringType, T.NumericType)):
             empty = F.lit("") if isinstance(f.dataType, T.StringType) else F.lit(0).cast(f.dataType)
             fill[f.name] = F.coalesce(f.name, empty)
     return df.withColumns({**fill, _SEG: F.coalesce(F.floor(F.col(order) / segment), F.lit(0))})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +19,24 @@ def mean_rssi(s: DataFrame, keys: Sequence[str] = ("device", "ts", "ap"), rounde
     return s.groupBy(*keys).agg((F.round(mean) if rounded else mean).alias("rssi"))
 
 
-def run_mean(s: DataFrame, order: str = "seq", segment: int = 1 << 20) -> DataFrame:
-    """Mean of consecutive readings of one device at one instant and access point.
+def run_mean(s: DataFrame, order: str = "seq", within: Sequence[str] = ("device", "ts"),
+             changes: Sequence[str] = ("ap",), floor: float | None = None, segment: int = 1 << 20) -> DataFrame:
+    """Mean of consecutive readings; a combination that comes back later starts a run of its own.
 
-    Readings are taken in (ts, seq) order per device; an access point that
-    comes back later within the same second starts a run of its own. A run
-    never spans two instants, so (device, ts) is the key and `seq` the order.
-    The mean is rounded half to even.
+    Readings are taken in `order` within `within`, and a run ends where one of
+    `changes` does. The defaults suit per-device series in (ts, seq) order: a run
+    never spans two instants, so (device, ts) is the key. For the lines of an
+    access point's file use within=("ap",), changes=("device", "ts"). Readings
+    not above `floor` separate runs but do not count. Rounds half to even.
     """
     runs = in_order(
-        s.select("device", "ts", "ap", "rssi", order), ["device", "ts"], order=order, prev={"_prev_ap": "ap"},
-        breaks=lambda p, c: p("ap") != c("ap"), run="run_seq", shared=["rssi"], segment=segment)
-    return (runs.groupBy("device", "ts", "run_seq", "ap")
+        s.select(*within, *changes, "rssi", order), list(within), order=order,
+        prev={f"_prev_{c}": c for c in changes},
+        breaks=lambda p, c: reduce(lambda a, b: a | b, [p(x) != c(x) for x in changes]),
+        run="run_seq", shared=["rssi"], segment=segment)
+    if floor is not None:
+        runs = runs.where(F.col("rssi") > floor)
+    return (runs.groupBy(*within, *changes, "run_seq")
             .agg(F.bround(F.avg("rssi")).alias("rssi"), F.count("*").alias("n")))
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import clock, strings
-from footfall.operators import clean, flow, quality, sequence, sessions, sets, signal, stats, terms, traffic, visits
+from footfall.operators import clean, flow, order, quality, sequence, sessions, sets, signal, stats, terms, traffic, visits
 from footfall.plans import jobs
 from footfall.plans.tables import TICK, aps, raw_sightings, sightings, table, vendors, wire_lines
+from footfall.session import fresh_path
+from footfall.sinks.tables import load_state, register_views, save_static_devices
 from footfall.sources import scans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,12 +235,36 @@ def _(spark, d):
 
 @query("exploded_batches", "SELECT DISTINCT device, ts, ap, rssi FROM s", "s")
 def _(spark, d):
-    # One array per (device, ts, ap): a handful of readings of one instant.
+    # One array per (device, ts, ap); a set of whole-dB values, so it is bounded.
     s = sightings(spark, d).groupBy("device", "ts", "ap").agg(
         F.collect_set(F.struct("device", "ts", "ap", "rssi")).alias("batch"))
     return clean.explode_batch(s, "batch")
 
 
+@query("sql_over_views", """SELECT site_id, count(DISTINCT device) AS devices, max(rssi) AS strongest
+    FROM site WHERE rssi > -90 GROUP BY site_id""", "site")
+def _(spark, d):
+    register_views({"scan_rows": clean.filter_rssi(sightings(spark, d)), "ap_dim": aps(spark)})
+    return spark.sql("""SELECT site_id, count(DISTINCT device) AS devices, max(rssi) AS strongest
+        FROM scan_rows JOIN ap_dim USING (ap) GROUP BY site_id""")
+
+
+@query("first_sightings", "SELECT device, arg_min(ap, seq) AS ap, arg_min(ts, seq) AS ts, min(seq) AS seq FROM r GROUP BY device", "r")
+def _(spark, d):
+    return order.first_by(raw_sightings(spark, d), ["device"], "seq", ["ap", "ts"])
+
+
+@query("last_sightings", "SELECT device, arg_max(ap, seq) AS ap, arg_max(ts, seq) AS ts, max(seq) AS seq FROM r GROUP BY device", "r")
+def _(spark, d):
+    return order.last_by(raw_sightings(spark, d), ["device"], "seq", ["ap", "ts"])
+
+
+@query("strongest_readings", "SELECT rssi, seq, device FROM r ORDER BY rssi DESC, seq LIMIT 2000", "r")
+def _(spark, d):
+    s = raw_sightings(spark, d).select("rssi", "seq", "device")
+    return order.top_rows(s, [F.col("rssi").desc(), "seq"], 2000)
+
+
 @query("dedupe", "SELECT DISTINCT device, ap, (ts + 28800) // 3600 AS hour_no FROM r", "r")
 def _(spark, d):
     s = raw_sightings(spark, d).withColumn("hour_no", clock.bucket_index("ts", -28800, 3600))
@@ -272,6 +298,15 @@ def _(spark, d):
     return signal.run_mean(sightings(spark, d))
 
 
+@query("run_mean_by_ap", """SELECT ap, device, ts, min(seq) AS run_seq, round_even(avg(rssi) FILTER (rssi > -90), 0) AS rssi,
+    count(*) FILTER (rssi > -90) AS n FROM (
+    SELECT *, sum(CASE WHEN device = pd AND ts = pt THEN 0 ELSE 1 END) OVER (PARTITION BY ap ORDER BY seq) AS run FROM (
+    SELECT *, lag(device) OVER w AS pd, lag(ts) OVER w AS pt FROM s WINDOW w AS (PARTITION BY ap ORDER BY seq)))
+    GROUP BY ap, device, ts, run HAVING count(*) FILTER (rssi > -90) > 0""", "s")
+def _(spark, d):
+    return signal.run_mean(sightings(spark, d), within=("ap",), changes=("device", "ts"), floor=-90)
+
+
 @query("prev_next_rssi", "SELECT * FROM near", "near")
 def _(spark, d):
     return signal.with_prev_next_rssi(signal.mean_rssi(clean.filter_rssi(sightings(spark, d))))
@@ -350,6 +385,17 @@ def _(spark, d):
     return signal.trajectory(sightings(spark, d), aps(spark), peak_key="side")
 
 
+def _stored_static(spark, d):
+    """Always-on list as a stored table, the way jobs load it.
+
+    The planner then knows its size before it touches the sightings: a short
+    list is broadcast, a long one sort-merged.
+    """
+    path = fresh_path(spark, "static")
+    save_static_devices(traffic.always_on_devices(raw_sightings(spark, d), hours=3), path, 0)
+    return load_state(spark, path)
+
+
 @query("trajectory_without_static", """, c2 AS (SELECT * FROM clean WHERE device NOT IN (SELECT device FROM static_ap)),
     m2 AS (SELECT device, ts, ap, round(avg(rssi)) AS rssi FROM c2 GROUP BY device, ts, ap),
     n2 AS (SELECT *, lag(rssi) OVER w AS p, lead(rssi) OVER w AS f FROM m2 WINDOW w AS (PARTITION BY device, ap ORDER BY ts))
@@ -358,8 +404,7 @@ def _(spark, d):
     QUALIFY row_number() OVER (PARTITION BY device, ts ORDER BY rssi DESC, side, site_id) = 1""",
        "clean", "static_ap", "dim")
 def _(spark, d):
-    static = traffic.always_on_devices(raw_sightings(spark, d), hours=3)
-    return signal.trajectory(sightings(spark, d), aps(spark), static)
+    return signal.trajectory(sightings(spark, d), aps(spark), _stored_static(spark, d))
 
 
 # --- entries, exits, occupancy --------------------------------------------------
@@ -499,8 +544,7 @@ def _(spark, d):
 
 @query("drop_static", "SELECT * FROM r WHERE device NOT IN (SELECT device FROM static_ap)", "r", "static_ap")
 def _(spark, d):
-    s = raw_sightings(spark, d)
-    return clean.drop_static_devices(s, traffic.always_on_devices(s, hours=3))
+    return clean.drop_static_devices(raw_sightings(spark, d), _stored_static(spark, d))
 
 
 def _static_lists(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from footfall.operators import clean, traffic
 from footfall.plans.jobs import entry_exit_report
 from footfall.plans.queries import query
-from footfall.plans.tables import aps, as_sightings, raw_sightings, sightings, stream_events, wire_lines
+from footfall.plans.tables import aps, as_sightings, raw_sightings, sightings, stream_events, vendors, wire_lines
 from footfall.session import fresh_path
 from footfall.sinks import tables as sinks
 from footfall.sources import scans
@@ -60,7 +60,7 @@ def _(spark, d):
     return _appended(spark, operators.stream_mean_rssi(clean.filter_rssi(_stream(spark, d, 21600))), "means")
 
 
-@query("device_buffer", """, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site_id, device, ap ORDER BY ts) AS gap FROM rsite),
+@query("device_buffer", """, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site_id, device, ap ORDER BY ts, seq) AS gap FROM rsite),
     m AS (SELECT *, sum(CASE WHEN gap <= 9273 THEN 0 ELSE 1 END) OVER (
     PARTITION BY site_id, device, ap ORDER BY ts, seq) AS no FROM g)
     SELECT site_id, device, ap, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS readings, min(rssi) AS min_rssi,
@@ -98,6 +98,24 @@ def _(spark, d):
     return _published(spark, lambda p, c: jobs.stream_visits(s, aps(spark), p, c, 86400), "visits")
 
 
+@query("refresh_traffic", f"""SELECT site_id, value, CAST({MON_TIME} AS BIGINT) AS mon_time FROM (
+    SELECT site_id, ts // 300 * 300 AS w, count(DISTINCT device) AS value FROM rsite WHERE rssi > -90
+    AND (ts + 28800) // 86400 = (SELECT max((ts + 28800) // 86400) FROM r) GROUP BY ALL)
+    QUALIFY w = max(w) OVER (PARTITION BY site_id)""", "rsite")
+def _(spark, d):
+    s = _stream(spark, d)
+    return _published(spark, lambda p, c: jobs.refresh_traffic(
+        s, aps(spark), fresh_path(spark, "lake"), p, c, mon_time=lambda _: MON_TIME), "traffic-now")
+
+
+@query("stream_mean_rssi_vendors", """SELECT device, ts, ap, round(avg(rssi)) AS rssi FROM r
+    WHERE ap IN ('AP0', 'AP1') AND substr(device, 1, 6) IN (SELECT prefix FROM oui)
+    GROUP BY device, ts, ap""", "r", "oui")
+def _(spark, d):
+    s = clean.keep_known_vendors(clean.filter_aps(_stream(spark, d), ["AP0", "AP1"]), vendors(spark, d))
+    return _published(spark, lambda p, c: jobs.publish_complete(operators.stream_mean_rssi(s), p, c), "vendor-means")
+
+
 @query("stream_ab_test", """, g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v
     FROM events GROUP BY event_type)
     SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 4) AS t, round(pow(a.v / a.n + b.v / b.n, 2) /

@@ -30,7 +30,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only a session that names none (tests, a laptop) gets a temporary folder,
+    It is read from the session's settings. Only a session that names none (tests, a laptop) gets a temporary folder,
     remembered in the session so that one run uses one folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)

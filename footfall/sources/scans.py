@@ -7,6 +7,7 @@ DROPMALFORMED mode checks only the columns a query happens to use.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,12 @@ def scan_paths(root: str, aps: Iterable[str] = (), days: Iterable[str] = (), ski
     return [f"{root.rstrip('/')}/{ap}/{day}" for ap in (list(aps) or ["*"]) for day in day_part]
 
 
+def last_days(as_of: str, days: int) -> tuple[str, str]:
+    """First and last date of the `days` days that end with `as_of`, for `prune`."""
+    end = date.fromisoformat(as_of)
+    return str(end - timedelta(days=days - 1)), str(end)
+
+
 def land(s: DataFrame, path: str, tz: str = LOCAL_ZONE, salt: str | None = None, mode: str = "append") -> None:
     """Write sightings as parquet partitioned by (day, ap).
 

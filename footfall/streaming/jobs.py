@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from footfall.operators import flow, signal, stats, visits
 from footfall.operators.clean import with_load_time, with_site
 from footfall.schema import LOCAL_ZONE, RECENT_SECONDS, RESULT, VISIT
-from footfall.sinks.tables import load_state, one_row, save_state
-from footfall.sources.scans import land
+from footfall.plans.jobs import realtime_traffic
+from footfall.sinks.tables import lines_of, load_state, one_row, save_state
+from footfall.sources.scans import land, read_lake
 
 
 def stream_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -118,3 +119,37 @@ def publish_complete(df: DataFrame, path: str, checkpoint: str, trigger: dict |
     def run(batch: DataFrame, batch_id: int) -> None:
         save_state(batch, path, batch_id)
     return each_batch(df, run, checkpoint, mode="complete", trigger=trigger)
+
+
+def traffic_job(ap_dim: DataFrame, lake: str, path: str, window: str = "5 minutes", tz: str = LOCAL_ZONE,
+                mon_time: Callable[[int], int] | None = None) -> Callable[[DataFrame, int], None]:
+    """Add the batch to the lake and publish every site's latest window of the current day.
+
+    Only the partitions of the batch's last day are read again, so a device seen
+    in several batches counts once per window.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        land(batch, f"{lake}/batch={batch_id}", tz, mode="overwrite")
+        landed = read_lake(spark, lake).where(F.col("batch") <= batch_id)
+        (day,) = one_row(landed.where(F.col("batch") == batch_id).agg(F.max("day").alias("day")), "day")
+        if day is None:
+            return
+        today = landed.where(F.col("day") == day)
+        save_state(realtime_traffic(today, ap_dim, window, mon_time(batch_id) if mon_time else None), path, batch_id)
+    return run
+
+
+def refresh_traffic(s: DataFrame, ap_dim: DataFrame, lake: str, path: str, checkpoint: str,
+                    window: str = "5 minutes", trigger: dict | None = None,
+                    mon_time: Callable[[int], int] | None = None):
+    """Keep the latest visitor counts of all sites up to date, e.g. trigger={"processingTime": "30 seconds"}."""
+    return each_batch(s, traffic_job(ap_dim, lake, path, window, mon_time=mon_time), checkpoint, trigger=trigger)
+
+
+def stream_publish(s: DataFrame, servers: str, topic: str, checkpoint: str,
+                   fields=("device", "rssi", "ts", "ap"), trigger: dict | None = None):
+    """Send sightings as lines to a Kafka topic; needs the Spark Kafka package on the cluster."""
+    return (lines_of(s, fields).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
+            .option("topic", topic).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

@@ -143,3 +143,11 @@ def test_single_batch_equals_batch_operators(spark, drops, dim, rows, tmp_path):
     assert rows(load_state(spark, out), "site_id", "value") == rows(net, "site_id", "net")
     assert traffic.distinct_devices(batch).count() == 1
     assert visits.detect_table(clean.with_site(batch, dim), 105).agg(F.count("*")).first()[0] == 1
+
+
+def test_refresh_counts_a_device_once_over_batches(spark, drops, dim, rows, tmp_path):
+    s = drops([("A", "O", -50, 10), ("B", "O", -50, 20)], [("A", "I", -50, 30), ("C", "O", -50, 40)],
+              [("A", "O", -50, 90000)])
+    out, cp = _paths(tmp_path)
+    jobs.refresh_traffic(s, dim, str(tmp_path / "lake"), out, cp, mon_time=lambda b: b).awaitTermination()
+    assert [rows(load_state(spark, out, before=v + 1)) for v in range(3)] == [[(1, 2, 0)], [(1, 3, 1)], [(1, 1, 2)]]
