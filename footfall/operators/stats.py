@@ -67,7 +67,7 @@ def gaussian_log_density(df: DataFrame, cols: Sequence[str], stats: DataFrame) -
     constant = reduce(lambda a, b: a + b, [-F.log(2 * F.pi() * v) / 2 for v in var])
     stat = stats.select(F.struct(
         constant.alias("constant"), *[m.alias(f"mean_{c}") for c, m in zip(cols, mean)],
-        *[(0.5 / v).alias(f"weight_{c}") for c, v in zip(cols, var)])).scalar()
+        *[F.try_divide(F.lit(0.5), v).alias(f"weight_{c}") for c, v in zip(cols, var)])).scalar()
     df = df.withColumn("_stats", stat)
 
     def term(c):
@@ -164,9 +164,11 @@ def welch(groups: DataFrame, a, b) -> DataFrame:
     x = groups.agg(*[pick(v, c).alias(f"_{c}_{side}") for side, v in (("a", a), ("b", b))
                      for c in ("n", "mean", "var")])
     ea, eb = F.col("_var_a") / F.col("_n_a"), F.col("_var_b") / F.col("_n_b")
+    # Undefined (null) rather than an error without variance.
+    spread = ea * ea / (F.col("_n_a") - 1) + eb * eb / (F.col("_n_b") - 1)
     return x.select(
-        ((F.col("_mean_a") - F.col("_mean_b")) / F.sqrt(ea + eb)).alias("t"),
-        (F.pow(ea + eb, 2) / (ea * ea / (F.col("_n_a") - 1) + eb * eb / (F.col("_n_b") - 1))).alias("df"))
+        F.try_divide(F.col("_mean_a") - F.col("_mean_b"), F.sqrt(ea + eb)).alias("t"),
+        F.try_divide(F.pow(ea + eb, 2), spread).alias("df"))
 
 
 def group_moments(df: DataFrame, label: str = "label", value: str = "value") -> DataFrame:

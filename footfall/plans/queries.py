@@ -532,6 +532,36 @@ def _(spark, d):
     return jobs.traffic_today(raw_sightings(spark, d), aps(spark), "2024-01-15", mon_time=1705334400)
 
 
+@query("people_on_site_job", """, p AS (SELECT device, site_id, CAST(ceil((ts - 1704067200) / 21600) AS BIGINT) AS k
+    FROM rsite WHERE rssi > -90), l AS (SELECT CAST(floor((max(ts) - 1704067200) / 21600) AS BIGINT) AS k FROM r)
+    SELECT site_id, count(*) AS value, CAST(1706659200 AS BIGINT) AS mon_time FROM (
+    SELECT DISTINCT device, site_id FROM p WHERE k = (SELECT k FROM l)) GROUP BY site_id""", "rsite")
+def _(spark, d):
+    # With policy "reopen" the open visits are the devices present at the last tick.
+    s = raw_sightings(spark, d)
+    ticks = F.floor((s.agg(F.max("ts")).scalar() - 1704067200) / TICK)
+    return jobs.people_on_site(s, aps(spark), 1704067200, TICK, ticks, TICK, "reopen", mon_time=1706659200)
+
+
+@query("static_update_job", "SELECT device FROM static_ap UNION SELECT device FROM r WHERE ap = 'AP7' AND rssi > -31",
+       "static_ap", "r")
+def _(spark, d):
+    s = raw_sightings(spark, d)
+    stored = s.where((F.col("ap") == "AP7") & (F.col("rssi") > -31)).select("device").distinct()
+    return jobs.static_device_update(s, stored, hours=3)
+
+
+@query("vendor_profile_job", """SELECT device, ap, round(kurtosis_pop(rssi), 4) AS kurtosis FROM (
+    SELECT device, ts, ap, avg(rssi) AS rssi FROM r WHERE substr(device, 1, 6) IN (SELECT prefix FROM oui) GROUP BY ALL)
+    GROUP BY device, ap HAVING count(*) >= 3 AND var_pop(rssi) > 0.001""", "r", "oui")
+def _(spark, d):
+    s, oui = raw_sightings(spark, d), vendors(spark, d)
+    means = signal.mean_rssi(s, rounded=False).groupBy("device", "ap").agg(
+        F.count("*").alias("_n"), F.var_pop("rssi").alias("_v"))
+    found = jobs.vendor_profile(s, oui).withColumn("kurtosis", F.round("kurtosis", 4))
+    return found.join(means.where((F.col("_n") >= 3) & (F.col("_v") > 0.001)), ["device", "ap"], "left_semi")
+
+
 @query("always_on", "SELECT device FROM static", "static")
 def _(spark, d):
     return traffic.always_on_devices(raw_sightings(spark, d), per_ap=False, per_day=False)
@@ -722,7 +752,7 @@ def _(spark, d):
 
 
 @query("update_visits", """SELECT device, site_id, coalesce(a.ts, b.ts) AS start_ts,
-    CASE WHEN b.ts IS NULL THEN 1705406400 END AS end_ts FROM detect a FULL JOIN later b USING (device, site_id)""",
+    CASE WHEN b.ts IS NULL THEN CAST(1705406400 AS BIGINT) END AS end_ts FROM detect a FULL JOIN later b USING (device, site_id)""",
        "detect", "later")
 def _(spark, d):
     known, detect = _visit_state(spark, d)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.schema import ACTION_DIM, ACTIONS, AP_DIM, STATIC_DEVICES
+from footfall.sinks.tables import load_state
 
 
 def read_ap_dim(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +51,10 @@ def read_oui(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_static_devices(spark: SparkSession, path: str) -> DataFrame:
-    """Stored always-on devices; an empty list if none has been written yet."""
+    """Stored always-on devices: the newest version, or a plain parquet folder; empty if there is none."""
+    stored = load_state(spark, path)
+    if stored is not None:
+        return stored
     try:
         return spark.read.schema(STATIC_DEVICES).parquet(path)
     except AnalysisException as e:

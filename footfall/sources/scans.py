@@ -88,19 +88,32 @@ def last_days(as_of: str, days: int) -> tuple[str, str]:
     return str(end - timedelta(days=days - 1)), str(end)
 
 
-def land(s: DataFrame, path: str, tz: str = LOCAL_ZONE, salt: str | None = None, mode: str = "append") -> None:
+def land(s: DataFrame, path: str, tz: str = LOCAL_ZONE, salt: str | None = None, mode: str = "append",
+         batch_id: int | None = None) -> None:
     """Write sightings as parquet partitioned by (day, ap).
 
     The rebalance hint groups rows by folder and lets adaptive execution cut a
     busy access point into several tasks of the advisory size and put quiet
     ones together. A `salt` replaces device ids by pseudonyms before storing.
+    With a `batch_id` the batch has partitions of its own (day, batch, ap), and
+    landing it again replaces them.
     """
     if salt is not None:
         s = s.withColumn("device", pseudonym("device", salt))
     s = s.withColumn("day", local_day("ts", tz))
-    s.hint("rebalance", F.col("day"), F.col("ap")).write.mode(mode).partitionBy("day", "ap").parquet(path)
+    folders = ["day", "ap"]
+    if batch_id is not None:
+        s, folders, mode = s.withColumn("batch", F.lit(batch_id).cast("bigint")), ["day", "batch", "ap"], "overwrite"
+    (s.hint("rebalance", F.col("day"), F.col("ap")).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic" if batch_id is not None else "static")
+     .partitionBy(*folders).parquet(path))
 
 
-def read_lake(spark: SparkSession, path: str) -> DataFrame:
-    """The landed sightings; narrow them with `operators.clean.prune`."""
-    return spark.read.parquet(path)
+def read_lake(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The landed sightings; narrow them with `operators.clean.prune`.
+
+    With a `day` only that folder is listed, however many others there are.
+    """
+    if day is None:
+        return spark.read.parquet(path)
+    return spark.read.option("basePath", path).parquet(f"{path}/day={day}")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.functions.clock import local_day
 from footfall.operators import flow, signal, stats, visits
 from footfall.operators.clean import with_load_time, with_site
 from footfall.schema import LOCAL_ZONE, RECENT_SECONDS, RESULT, VISIT
@@ -99,9 +100,9 @@ def stream_visits(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str, s
 
 def stream_land(s: DataFrame, path: str, checkpoint: str, tz: str = LOCAL_ZONE, salt: str | None = None,
                 trigger: dict | None = None):
-    """Append every sighting to the lake, each batch in a folder of its own."""
+    """Append every sighting to the lake, each batch in partitions of its own."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        land(batch, f"{path}/batch={batch_id}", tz, salt, mode="overwrite")
+        land(batch, path, tz, salt, batch_id=batch_id)
     return each_batch(s, run, checkpoint, trigger=trigger)
 
 
@@ -125,18 +126,21 @@ def traffic_job(ap_dim: DataFrame, lake: str, path: str, window: str = "5 minute
                 mon_time: Callable[[int], int] | None = None) -> Callable[[DataFrame, int], None]:
     """Add the batch to the lake and publish every site's latest window of the current day.
 
-    Only the partitions of the batch's last day are read again, so a device seen
-    in several batches counts once per window.
+    Only the folder of the batch's last day is listed and read again, so a
+    device seen in several batches counts once per window.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        land(batch, f"{lake}/batch={batch_id}", tz, mode="overwrite")
-        landed = read_lake(spark, lake).where(F.col("batch") <= batch_id)
-        (day,) = one_row(landed.where(F.col("batch") == batch_id).agg(F.max("day").alias("day")), "day")
-        if day is None:
-            return
-        today = landed.where(F.col("day") == day)
-        save_state(realtime_traffic(today, ap_dim, window, mon_time(batch_id) if mon_time else None), path, batch_id)
+        batch = batch.persist()
+        try:
+            (day,) = one_row(batch.agg(F.max(local_day("ts", tz)).cast("string").alias("day")), "day")
+            if day is None:
+                return
+            land(batch, lake, tz, batch_id=batch_id)
+            today = read_lake(batch.sparkSession, lake, day).where(F.col("batch") <= batch_id)
+            now = mon_time(batch_id) if mon_time else None
+            save_state(realtime_traffic(today, ap_dim, window, now), path, batch_id)
+        finally:
+            batch.unpersist()
     return run
 
 

@@ -68,6 +68,8 @@ def test_dimensions_and_lists(spark, rows, tmp_path):
     (tmp_path / "oui.txt").write_text("ABCDEF|Vendor\nABCDEF|Vendor\n123456|Other\nshort\n")
     assert rows(dims.read_oui(spark, str(tmp_path / "oui.txt"))) == [("123456",), ("ABCDEF",)]
     assert dims.read_static_devices(spark, str(tmp_path / "none")).count() == 0
+    sinks.save_static_devices(spark.createDataFrame([("D",)], "device STRING"), str(tmp_path / "static"), 3)
+    assert rows(dims.read_static_devices(spark, str(tmp_path / "static"))) == [("D",)]
     (tmp_path / "stop.txt").write_text("Is\na\n.*x\tregex\nv\tnature\n")
     words, rules = dims.read_stop_list(spark, str(tmp_path / "stop.txt"))
     assert rows(words) == [("a",), ("is",)] and rows(rules) == [(".*x", "regex"), ("v", "nature")]
@@ -133,3 +135,13 @@ def test_time_columns(spark):
 def test_position_codes(spark, rows, n, width):
     got = rows(quality.position_codes(spark.range(n).selectExpr("id * 10 AS line_no")), "number", "code")
     assert got == [(i, format(i, "b").zfill(width)) for i in range(1, n + 1)]
+
+
+def test_landing_a_batch_again_replaces_it(spark, rows, sightings, tmp_path):
+    lake = str(tmp_path / "lake")
+    scans.land(sightings([("D", "O", -50, 5), ("D", "O", -51, 6)]), lake, batch_id=0)
+    scans.land(sightings([("E", "O", -52, 7), ("E", "I", -52, 90000)]), lake, batch_id=1)
+    scans.land(sightings([("E", "O", -52, 7), ("E", "I", -52, 90000)]), lake, batch_id=1)
+    assert rows(scans.read_lake(spark, lake), "device", "ts", "batch") == [
+        ("D", 5, 0), ("D", 6, 0), ("E", 7, 1), ("E", 90000, 1)]
+    assert rows(scans.read_lake(spark, lake, "1970-01-02"), "ts", "ap") == [(90000, "I")]
