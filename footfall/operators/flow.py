@@ -15,11 +15,12 @@ def with_prev(traj: DataFrame, segment: int | None = SEGMENT) -> DataFrame:
 
     The side travels as a boolean, which keeps the summary a hash aggregation.
     """
-    x = traj.withColumn("_inside", F.col("side") == "inside")
+    x = traj.select("device", "ts", "site_id", "rssi", (F.col("side") == "inside").alias("_inside"))
     x = in_order(x, ["site_id", "device"],
                  prev={"ts_prev": "ts", "_inside_prev": "_inside", "rssi_prev": "rssi"}, segment=segment)
-    side_prev = F.when(F.col("_inside_prev"), "inside").when(~F.col("_inside_prev"), "outside")
-    return x.withColumn("side_prev", side_prev).drop("_inside", "_inside_prev")
+    name = lambda c: F.when(F.col(c), "inside").when(~F.col(c), "outside")
+    return x.select("device", "ts", name("_inside").alias("side"), "site_id", "rssi",
+                    "ts_prev", name("_inside_prev").alias("side_prev"), "rssi_prev")
 
 
 def side_moves(traj: DataFrame, segment: int | None = SEGMENT) -> DataFrame:

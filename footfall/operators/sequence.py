@@ -67,7 +67,8 @@ def in_order(
     before = sorted(set(prev.values()) - {order})
     after = sorted(set(following.values()))
     group = [*keys, _SEG]
-    df = _segmented(df, keys, order, segment)
+    # One explicit shuffle that both the windows and the summary read.
+    df = _segmented(df, keys, order, segment).repartition(*group)
 
     # 1. inside the segment
     w = Window.partitionBy(*group).orderBy(order)
@@ -84,8 +85,7 @@ def in_order(
             lambda c: F.col("_p_order" if c == order else f"_p_{c}"), F.col)
         inner = inner.withColumn("_cut", F.when(cut, F.col(order)))
 
-    # 2. one row per (key, segment); sums of primitive columns hash-aggregate
-    #    before the shuffle
+    # 2. one row per (key, segment)
     firsts = sorted(set(after) | (set(before) if breaks is not None else set()))
     summary = (df if breaks is None else inner).groupBy(*group).agg(
         F.min(order).alias("_lo"),
