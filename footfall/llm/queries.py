@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import block_naming, byte_bpe, packing, secret_ledger, token_files
+from footfall.llm import block_naming, bottom_k, byte_bpe, packing, secret_ledger, token_files, toxicity
 from footfall.llm.common import table
 
 # Ends every document of the token operators.
@@ -57,3 +57,13 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_ledger.secrets(spark, docs)
+
+
+@_query("op7_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.compare_edits(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sha")
