@@ -8,7 +8,11 @@ from footfall.llm import stages
 from footfall.llm.common import stored, table
 
 STAGES = [
-    ("exact dedup", stages.exact),
+    ("toxicity", stages.not_toxic),
+    ("exact dedup", stages.no_copies),
+    ("n-gram Jaccard join", stages.no_near_copies),
+    ("secret scans", stages.no_secrets),
+    ("best-fit packing", stages.packed),
 ]
 
 # Learned toxicity scores have no SQL form; tests hold the pipeline against a brute-force version.

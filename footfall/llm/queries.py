@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import block_naming, bottom_k, byte_bpe, packing, secret_ledger, token_files, toxicity
+from footfall.llm import block_naming, bottom_k, byte_bpe, jaccard_join, packing, secret_ledger, token_files, toxicity
 from footfall.llm.common import table
 
 # Ends every document of the token operators.
@@ -67,3 +67,8 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_toxicity")
 def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sha")
+
+
+@_query("op10_jaccard_join")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))

@@ -1,14 +1,46 @@
-"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame with the columns of docs."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of docs."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footfall.llm import block_naming
-from footfall.llm.common import session
+from footfall.llm import block_naming, jaccard_join, packing, secret_ledger, toxicity
+from footfall.llm.common import session, stored, table
 
+END_ID = 1
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts as toxic go."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id stays."""
     session(spark)
     return block_naming.keep_last_copies(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by five-word shingle similarity of 0.8 or more the smallest doc_id stays.
+
+    Rows with a null doc_id stay, as do texts without words.
+    """
+    session(spark)
+    found = jaccard_join.jaccard_components(docs, size=5, percent=80)
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; n_chars follows. No document goes."""
+    session(spark)
+    return secret_ledger.redacted(spark, docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences."""
+    session(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
