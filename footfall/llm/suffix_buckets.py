@@ -271,6 +271,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     states = state.groupBy("chunk").agg(F.collect_list(F.struct("part", "state")).alias("states"))
     # one shuffle of the chunks serves the undecided runs and the removal (Spark reuses the exchange)
     base = chunks.join(states, "chunk", "left").select("chunk", "doc_ids", "sizes", "data", "states")
-    masks = stored(_refine_strings(_open_runs(base, parts, length, gram), length).where("mask != 0"), "masks")
+    masks = _refine_strings(_open_runs(base, parts, length, gram), length).where("mask != 0")
     masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("run", "mask")).alias("masks"))
     return _removed(base.join(masks, "chunk", "left"), parts, length, gram)
