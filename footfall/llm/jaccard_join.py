@@ -30,6 +30,7 @@ from footfall.llm.shingles import mixed, shingles
 SHINGLE, PERCENT = 3, 90
 RARE = 64
 STAR_ROUNDS = 2
+BLOCK_PAIRS = 200_000
 # Counters of the frequency estimate, and the slices in which they are summed.
 COUNTERS, SLICES = 1 << 22, 64
 _MAP = [f"m{i}" for i in range(16)]
@@ -113,6 +114,21 @@ def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "sid BIGINT, " + ", ".join(f"{m} BIGINT" for m in _MAP))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, total) that the parity bitmaps allow: as many tokens as bits differ are in one set only."""
+    x = pairs.join(maps.select(F.col("sid").alias("a"), *[F.col(m).alias(f"a{m}") for m in _MAP]), "a")
+    x = x.join(maps.select(F.col("sid").alias("b"), *[F.col(m).alias(f"b{m}") for m in _MAP]), "b")
+    apart = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in _MAP), F.lit(0))
+    return x.where((100 + percent) * (F.col("total") - apart) >= 2 * percent * F.col("total")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that reach the similarity, counted exactly on their tokens."""
     x = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("left")), "a")
@@ -120,15 +136,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.num_rows
-            doc, h = shingles(batch["left"].to_pylist() + batch["right"].to_pylist(), size)
-            n = np.bincount(doc, minlength=2 * m)
-            pair = np.where(doc < m, doc, doc - m)
-            order = np.lexsort((h, pair))
-            pair, h = pair[order], h[order]
-            both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])], minlength=m)
-            linked = 100 * both >= percent * (n[:m] + n[m:] - both)
-            yield batch.select(["a", "b"]).filter(pa.array(linked))
+            left, right = batch["left"].to_pylist(), batch["right"].to_pylist()
+            place = {t: i for i, t in enumerate(dict.fromkeys(left + right))}  # a text in many pairs is cut up once
+            doc, h = shingles(list(place), size)
+            ends = np.cumsum(np.bincount(doc, minlength=len(place)))
+            sets = np.split(h, ends[:-1]) if len(place) else []
+            linked = [_linked(sets[place[x]], sets[place[y]], percent) for x, y in zip(left, right, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return x.select("a", "b", "left", "right").mapInArrow(run, "a BIGINT, b BIGINT")
 
@@ -158,8 +172,9 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
     members = members.withColumn("band", band)
     majors = stored(_majors(members, "token", "band"), "majors")
     x = members.join(majors, ["token", "band"]).where((F.col("comp") != F.col("major")) & _sizes_allow(F.col("n"), F.col("lead_n"), percent))
-    votes = x.groupBy("sid", "lead").agg(F.count("*").alias("k"))
-    return votes.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("k", "lead"))["lead"].alias("b"))
+    votes = x.groupBy("sid", "lead").agg(F.count("*").alias("k"), F.max(F.col("n") + F.col("lead_n")).alias("total"))
+    best = votes.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("k", "lead", "total")).alias("best"))
+    return best.select("a", F.col("best.lead").alias("b"), F.col("best.total").alias("total"))
 
 
 def _groups(members: DataFrame) -> DataFrame:
@@ -175,24 +190,53 @@ def _groups(members: DataFrame) -> DataFrame:
     return rare.unionByName(pairs)
 
 
-def _remaining(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) of all pairs of different components in an index group that the exact bounds leave over."""
-    groups = stored(_groups(members), "index")
-    majors = stored(_majors(groups, "g1", "g2").select("g1", "g2", "major"), "majors")
-    x = groups.join(majors, ["g1", "g2"])
-    # every such pair has an end outside the largest component
-    a, b = x.where("comp != major").alias("a"), x.alias("b")
-    on = ((F.col("a.g1") == F.col("b.g1")) & (F.col("a.g2") == F.col("b.g2")) & (F.col("a.comp") != F.col("b.comp"))
-          & ((F.col("b.comp") == F.col("b.major")) | (F.col("a.sid") < F.col("b.sid")))
-          & _sizes_allow(F.col("a.n"), F.col("b.n"), percent))
-    pairs = stored(a.join(b, on).select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"),
-                                        (F.col("a.n") + F.col("b.n")).alias("total")).distinct(), "pairs")
-    maps = stored(_bitmaps(texts, size), "bitmaps")
-    x = pairs.join(maps.select(F.col("sid").alias("a"), *[F.col(m).alias(f"a{m}") for m in _MAP]), "a")
-    x = x.join(maps.select(F.col("sid").alias("b"), *[F.col(m).alias(f"b{m}") for m in _MAP]), "b")
-    apart = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in _MAP), F.lit(0))
-    # at least `apart` tokens are in one set only: common <= (total - apart) / 2
-    return x.where((100 + percent) * (F.col("total") - apart) >= 2 * percent * F.col("total")).select("a", "b")
+def _remaining(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all pairs of different components in an index group that sizes and parity bitmaps allow.
+
+    Pairs are looked at in blocks of at most BLOCK_PAIRS and only the ones left over are rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 20_000:
+                table = pa.Table.from_batches(held)
+                g1, g2 = table["g1"].to_numpy(), table["g2"].to_numpy()
+                whole = int(np.argmax((g1 == g1[-1]) & (g2 == g2[-1])))  # the last group may go on
+                if whole:
+                    yield from blocks(table.slice(0, whole))
+                    held = table.slice(whole).to_batches()
+        if held:
+            yield from blocks(pa.Table.from_batches(held))
+
+    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        g1, g2, sid, n, comp = (table[c].to_numpy() for c in ("g1", "g2", "sid", "n", "comp"))
+        maps_ = np.stack([table[m].to_numpy() for m in _MAP], 1).view(np.uint64)
+        rows = len(sid)
+        new = np.ones(rows, bool)
+        new[1:] = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])
+        ends = np.append(np.flatnonzero(new)[1:], rows)[np.cumsum(new) - 1]
+        partners = ends - np.arange(rows) - 1
+        sums = np.cumsum(partners)
+        at = 0
+        while at < rows:
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + BLOCK_PAIRS, "right")))
+            count = partners[at:to]
+            i = np.repeat(np.arange(at, to), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[keep], j[keep]
+            total = n[i] + n[j]
+            apart = np.bitwise_count(maps_[i] ^ maps_[j]).sum(1, dtype=np.int64)
+            keep = (100 + percent) * (total - apart) >= 2 * percent * total
+            i, j = i[keep], j[keep]
+            pair = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
+            if len(pair):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0].copy()), "b": pa.array(pair[:, 1].copy())})
+            at = to
+
+    groups = _groups(members).join(maps, "sid").repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    return groups.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -211,10 +255,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     members = stored(tokens.join(shared, "token").distinct(), "members")
     needed = members.select("sid").distinct().join(classes, "sid").select("sid", F.col("first").alias("doc_id"))
     texts = stored(rows_of(docs).join(needed, "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "texts", "zstd")
+    maps = stored(_bitmaps(texts, size), "bitmaps")
     links, found = None, None
     for step in range(rounds + 1):
         at = _with_components(members, found)
-        pairs = _stars(at, percent) if step < rounds else _remaining(stored(at, "members"), texts, size, percent)
+        pairs = _plausible(_stars(at, percent), maps, percent) if step < rounds else _remaining(stored(at, "members"), maps, percent)
         new = stored(_verified(stored(pairs, "pairs"), texts, size, percent), "links")
         links = new if links is None else links.unionByName(new)
         found = components(links)
