@@ -44,7 +44,8 @@ LEDGER = "blob STRING, rule STRING, spans ARRAY<STRUCT<start: BIGINT, stop: BIGI
 
 def _quick(rule: Rule) -> str:
     """What a text with a lasting match must contain; texts without it are not cut up."""
-    return f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.group == 0 and rule.pattern.endswith("]+") else rule.pattern
+    one_class = rule.group == 0 and rule.pattern.startswith("[") and rule.pattern.index("]") == len(rule.pattern) - 2
+    return f"{rule.pattern[:-1]}{{{rule.least},}}" if one_class and rule.pattern.endswith("+") else rule.pattern
 
 
 def spans(text: Column, rule: Rule) -> Column:
