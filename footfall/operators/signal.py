@@ -85,8 +85,8 @@ def _first_of(df, keys, *order):
 
 
 def one_ap_per_reading(peaks: DataFrame) -> DataFrame:
-    """Of equally strong readings at one instant keep one: `inside` before `outside`."""
-    return _first_of(peaks, ["device", "ts", "rssi"], "side", "site_id")
+    """Of equally strong readings at one instant keep one: `inside`, `outside`, then an unlisted access point."""
+    return _first_of(peaks, ["device", "ts", "rssi"], F.col("side").asc_nulls_last(), "site_id")
 
 
 def strongest_per_instant(peaks: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def strongest_per_instant(peaks: DataFrame) -> DataFrame:
     Selecting the top row by this order makes a separate `one_ap_per_reading`
     step unnecessary.
     """
-    return _first_of(peaks, ["device", "ts"], F.col("rssi").desc(), "side", "site_id")
+    return _first_of(peaks, ["device", "ts"], F.col("rssi").desc(), F.col("side").asc_nulls_last(), "site_id")
 
 
 def strongest_ap(s: DataFrame) -> DataFrame:

@@ -30,11 +30,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    It is read from the session's settings. Only a session that names none (tests, a laptop) gets a temporary folder,
-    remembered in the session so that one run uses one folder.
+    It is read from the session's settings. Where it is unset, only a session on one machine (tests, a laptop) gets a
+    temporary folder, remembered in the session so that one run uses one folder; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="footfall-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

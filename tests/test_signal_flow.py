@@ -92,3 +92,12 @@ def test_properties_on_given_data(spark):
         key = (r.site_id, r.device)
         assert seen.get(key) != r.move
         seen[key] = r.move
+
+
+def test_unlisted_access_point_yields_to_listed_ones(spark, rows):
+    from footfall.operators.signal import one_ap_per_reading, strongest_per_instant
+
+    peaks = spark.createDataFrame([("D", 1, "X", -40.0, None, 0), ("D", 1, "I", -40.0, "inside", 1)],
+                                  "device STRING, ts BIGINT, ap STRING, rssi DOUBLE, side STRING, site_id INT")
+    for f in (one_ap_per_reading, strongest_per_instant):
+        assert rows(f(peaks), "ap") == [("I",)]
