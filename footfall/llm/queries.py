@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import block_naming, bottom_k, byte_bpe, jaccard_join, packing, secret_ledger, suffix_buckets, token_files, toxicity
+from footfall.llm import block_naming, bottom_k, byte_bpe, jaccard_join, license_scan, packing, secret_ledger, suffix_buckets, token_files, toxicity
 from footfall.llm.common import table
 
 # Ends every document of the token operators.
@@ -78,3 +78,8 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_buckets.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op2_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from brute import secrets, sha
 
-from footfall.llm import block_naming, bottom_k, byte_bpe, jaccard_join, packing, secret_ledger, suffix_buckets, token_files, toxicity
+from footfall.llm import block_naming, bottom_k, byte_bpe, jaccard_join, license_scan, packing, secret_ledger, suffix_buckets, token_files, toxicity
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -139,3 +139,12 @@ def test_toxicity_learns_from_its_rows_only(spark):
     b = toxicity.score(docs, spark.createDataFrame([(i, 1 - y if i in held else y) for i, y in labels], schema)).collect()
     assert {r.doc_id: r.score for r in b} == {i: r.score for i, r in a.items()}
     assert {r.score for r in toxicity.score(docs, spark.createDataFrame([], schema)).collect()} == {0.0}
+
+
+def test_license_scan(spark):
+    rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, None), (3, "my license to drive"), (4, "All rights reserved."),
+            (5, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0.")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = sorted((r.doc_id, r.licenses) for r in license_scan.scan(docs).collect())
+    assert got == [(1, "MIT"), (2, ""), (3, ""), (4, "proprietary"), (5, "CC-BY-NC-4.0"), (5, "GPL-3.0")]
+    assert license_scan.scan(docs.limit(0)).count() == 0
