@@ -250,7 +250,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     sets = stored(_sets(docs, size), "sets", "zstd")
     own = sets.where("slice IS NULL").select("doc_id", "n", "sid")
     classes = stored(own.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first")), "classes")
-    tokens = _prefixes(docs, size, percent, _frequencies(sets))
+    tokens = stored(_prefixes(docs, size, percent, _frequencies(sets)), "tokens")
     shared = stored(tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token"), "shared")
     members = stored(tokens.join(shared, "token").distinct(), "members")
     needed = members.select("sid").distinct().join(classes, "sid").select("sid", F.col("first").alias("doc_id"))
