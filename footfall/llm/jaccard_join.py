@@ -40,8 +40,12 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return rows_of(docs).withColumn("h", F.xxhash64("text"))
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, sid of every row; and per task its token counters, in rows with a slice."""
+    """doc_id, n, sid and a hash of the text of every row; and per task its token counters, in rows with a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
@@ -51,15 +55,15 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(0x632BE59BD9B4E019)))])
             ends = np.cumsum(n)
             sid = mixed((sums[ends] - sums[ends - n]) ^ mixed(n.astype(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.int64()),
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.int64()), "h": batch["h"],
                                               "slice": pa.nulls(len(n), pa.int32()), "counts": pa.nulls(len(n), pa.binary())})
         if counts.any():
             parts = np.minimum(counts, 65535).astype("<u2").reshape(SLICES, -1)
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "sid": none, "slice": pa.array(range(SLICES), pa.int32()),
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "sid": none, "h": none, "slice": pa.array(range(SLICES), pa.int32()),
                                               "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    return rows_of(docs).mapInArrow(run, "doc_id BIGINT, n BIGINT, sid BIGINT, slice INT, counts BINARY")
+    return _hashed(docs).mapInArrow(run, "doc_id BIGINT, n BIGINT, sid BIGINT, h BIGINT, slice INT, counts BINARY")
 
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
@@ -248,13 +252,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     Similarities are counted on 64-bit hashes of the shingles.
     """
     sets = stored(_sets(docs, size), "sets", "zstd")
-    own = sets.where("slice IS NULL").select("doc_id", "n", "sid")
-    classes = stored(own.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first")), "classes")
+    own = sets.where("slice IS NULL").select("doc_id", "n", "sid", "h")
+    classes = stored(own.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first"), F.min_by("h", "doc_id").alias("h")), "classes")
     tokens = stored(_prefixes(docs, size, percent, _frequencies(sets)), "tokens")
     shared = stored(tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token"), "shared")
     members = stored(tokens.join(shared, "token").distinct(), "members")
-    needed = members.select("sid").distinct().join(classes, "sid").select("sid", F.col("first").alias("doc_id"))
-    texts = stored(rows_of(docs).join(needed, "doc_id").dropDuplicates(["sid"]).select("sid", "text"), "texts", "zstd")
+    # By id and hash, as an id may come with several texts; repeated rows then meet in the join's own partitions.
+    needed = members.select("sid").distinct().join(classes, "sid").select("sid", F.col("first").alias("doc_id"), "h")
+    texts = stored(_hashed(docs).join(needed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("sid", "text"), "texts", "zstd")
     maps = stored(_bitmaps(texts, size), "bitmaps")
     links, found = None, None
     for step in range(rounds + 1):
