@@ -31,6 +31,8 @@ SHINGLE, PERCENT = 3, 90
 RARE = 64
 STAR_ROUNDS = 2
 BLOCK_PAIRS = 200_000
+# Parity bits of the second filter, for the texts of candidate pairs only.
+FINE = 1 << 14
 # Counters of the frequency estimate, and the slices in which they are summed.
 COUNTERS, SLICES = 1 << 22, 64
 _MAP = [f"m{i}" for i in range(16)]
@@ -133,22 +135,55 @@ def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return x.where((100 + percent) * (F.col("total") - apart) >= 2 * percent * F.col("total")).select("a", "b")
 
 
+def _token_lists(texts: DataFrame, size: int) -> DataFrame:
+    """sid, n, FINE parity bits and the sorted tokens of the set, as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, h = shingles(batch["text"].to_pylist(), size)
+            n = np.bincount(doc, minlength=batch.num_rows)
+            bits = np.zeros((batch.num_rows, FINE), np.uint8)
+            np.bitwise_xor.at(bits, (doc, (mixed(h + np.uint64(11)) % np.uint64(FINE)).astype(np.int64)), 1)
+            yield pa.RecordBatch.from_pydict({
+                "sid": batch["sid"], "n": pa.array(n, pa.int64()),
+                "fine": pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()),
+                "tokens": pa.array([x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])], pa.binary())})
+
+    return texts.mapInArrow(run, "sid BIGINT, n BIGINT, fine BINARY, tokens BINARY")
+
+
+def _both(pairs: DataFrame, lists: DataFrame, *cols: str) -> DataFrame:
+    """pairs (a, b) with the given columns of both ends, prefixed by a_ and b_."""
+    for end in ("a", "b"):
+        pairs = pairs.join(lists.select(F.col("sid").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end)
+    return pairs.select("a", "b", *[f"{end}_{c}" for end in ("a", "b") for c in cols])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that reach the similarity, counted exactly on their tokens."""
-    x = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("left")), "a")
-    x = x.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("right")), "b")
+    """The pairs (a, b) of set ids that reach the similarity, counted exactly on their tokens.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every text of a pair is cut up once; its tokens follow only the pairs that the finer parity bits leave.
+    """
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-ends")
+    lists = stored(_token_lists(texts.join(ends, "sid").select("sid", "text"), size), "pair-tokens")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1 if batch.num_rows else 1)
+                           for c in ("a_fine", "b_fine"))
+            total = batch["a_n"].to_numpy() + batch["b_n"].to_numpy()
+            apart = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * (total - apart) >= 2 * percent * total))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch["left"].to_pylist(), batch["right"].to_pylist()
-            place = {t: i for i, t in enumerate(dict.fromkeys(left + right))}  # a text in many pairs is cut up once
-            doc, h = shingles(list(place), size)
-            ends = np.cumsum(np.bincount(doc, minlength=len(place)))
-            sets = np.split(h, ends[:-1]) if len(place) else []
-            linked = [_linked(sets[place[x]], sets[place[y]], percent) for x, y in zip(left, right, strict=True)]
+            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                      for x, y in zip(batch["a_tokens"].to_pylist(), batch["b_tokens"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return x.select("a", "b", "left", "right").mapInArrow(run, "a BIGINT, b BIGINT")
+    left = _both(pairs, lists, "n", "fine").mapInArrow(near, "a BIGINT, b BIGINT")
+    return _both(left, lists, "tokens").mapInArrow(same, "a BIGINT, b BIGINT")
 
 
 def _sizes_allow(a: Column, b: Column, percent: int) -> Column:

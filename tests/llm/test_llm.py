@@ -111,6 +111,48 @@ def test_jaccard(docs):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, percent", [(3, 90), (5, 80)])
+def test_jaccard_against_all_pairs(spark, size, percent):
+    """Chains of edits, a large group of near copies, repeated rows, an id with two texts."""
+    rng = np.random.default_rng(size)
+    rows, at = [], 0
+    for group in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 60 if group % 3 else 2000, 70)]
+        for _ in range(120 if group == 0 else 12):
+            rows.append((at, " ".join(words)))
+            at += 1
+            base = list(words) if group == 0 else words
+            for place in rng.integers(0, len(words), rng.integers(0, 4)):
+                base[place] = f"n{rng.integers(0, 10 ** 6)}"
+            if group == 0:
+                rows.append((at, " ".join(base)))
+                at += 1
+    rows += [rows[3], (5, rows[-1][1]), (at, None), (at + 1, "one two"), (at + 2, "ONE  two")]
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i:i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both and 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    smallest = {}
+    for i, (doc_id, _) in enumerate(rows):
+        smallest[find(i)] = min(smallest.get(find(i), doc_id), doc_id)
+    want = sorted((d, len(sets[i]), smallest[find(i)]) for i, (d, _) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = jaccard_join.jaccard_components(docs, size, percent)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_suffix_dedup(docs):
     got = {r.doc_id: r for r in suffix_buckets.remove_repeats(docs).collect()}
     seen = set()
