@@ -11,16 +11,10 @@ from footfall.operators.sequence import SEGMENT, in_order
 
 
 def with_prev(traj: DataFrame, segment: int | None = SEGMENT) -> DataFrame:
-    """Time, side and signal of the device's previous point at the same site.
-
-    The side travels as a boolean, which keeps the summary a hash aggregation.
-    """
-    x = traj.select("device", "ts", "site_id", "rssi", (F.col("side") == "inside").alias("_inside"))
-    x = in_order(x, ["site_id", "device"],
-                 prev={"ts_prev": "ts", "_inside_prev": "_inside", "rssi_prev": "rssi"}, segment=segment)
-    name = lambda c: F.when(F.col(c), "inside").when(~F.col(c), "outside")
-    return x.select("device", "ts", name("_inside").alias("side"), "site_id", "rssi",
-                    "ts_prev", name("_inside_prev").alias("side_prev"), "rssi_prev")
+    """Time, side and signal of the device's previous point at the same site; sides may have any name."""
+    x = in_order(traj.select("device", "ts", "site_id", "rssi", "side"), ["site_id", "device"],
+                 prev={"ts_prev": "ts", "side_prev": "side", "rssi_prev": "rssi"}, segment=segment)
+    return x.select("device", "ts", "side", "site_id", "rssi", "ts_prev", "side_prev", "rssi_prev")
 
 
 def side_moves(traj: DataFrame, segment: int | None = SEGMENT) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.clock import bucket_of_day, local_day
@@ -145,7 +145,9 @@ def peak_intervals(points: DataFrame, segment: int | None = SEGMENT) -> DataFram
 
 
 def duplicate_readings(s: DataFrame) -> DataFrame:
-    """Readings that share (device, ts, rssi) with another one."""
-    keys = ["device", "ts", "rssi"]
-    repeated = s.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
-    return s.join(repeated, keys)
+    """Readings that share (device, ts, rssi) with another one; readings without a signal share that.
+
+    A group holds the readings of one device in one second, so a plain window is bounded.
+    """
+    w = Window.partitionBy("device", "ts", "rssi")
+    return s.withColumn("copies", F.count("*").over(w)).where(F.col("copies") > 1)

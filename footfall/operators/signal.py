@@ -65,17 +65,17 @@ def rssi_peaks(means: DataFrame, keys: Sequence[str] = ("device", "ap"), endpoin
 
 
 def with_prev_side(df: DataFrame) -> DataFrame:
-    """Side of the reading before within equal (device, ts, rssi), by side name.
+    """Side of the reading before within equal (device, ts, rssi), by side name, site and access point; unlisted ones last.
 
     A group has one row per access point, so a plain window is bounded.
     """
-    w = Window.partitionBy("device", "ts", "rssi").orderBy("side", "site_id")
+    w = Window.partitionBy("device", "ts", "rssi").orderBy(F.col("side").asc_nulls_last(), "site_id", "ap")
     return df.withColumn("side_prev", F.lag("side").over(w))
 
 
 def with_next_rssi(df: DataFrame) -> DataFrame:
-    """Next stronger reading within (device, ts)."""
-    w = Window.partitionBy("device", "ts").orderBy("rssi", F.col("side").desc(), F.col("site_id").desc())
+    """Next reading within (device, ts), weakest first; equal ones in the reverse of `with_prev_side`'s order."""
+    w = Window.partitionBy("device", "ts").orderBy("rssi", F.col("side").desc_nulls_first(), F.col("site_id").desc(), F.col("ap").desc())
     return df.withColumn("rssi_next", F.lead("rssi").over(w))
 
 
@@ -86,16 +86,16 @@ def _first_of(df, keys, *order):
 
 def one_ap_per_reading(peaks: DataFrame) -> DataFrame:
     """Of equally strong readings at one instant keep one: `inside`, `outside`, then an unlisted access point."""
-    return _first_of(peaks, ["device", "ts", "rssi"], F.col("side").asc_nulls_last(), "site_id")
+    return _first_of(peaks, ["device", "ts", "rssi"], F.col("side").asc_nulls_last(), "site_id", "ap")
 
 
 def strongest_per_instant(peaks: DataFrame) -> DataFrame:
-    """One row per (device, ts): strongest, then inside, then lowest site.
+    """One row per (device, ts): strongest, then inside, outside, unlisted, then lowest site and access point.
 
     Selecting the top row by this order makes a separate `one_ap_per_reading`
     step unnecessary.
     """
-    return _first_of(peaks, ["device", "ts"], F.col("rssi").desc(), F.col("side").asc_nulls_last(), "site_id")
+    return _first_of(peaks, ["device", "ts"], F.col("rssi").desc(), F.col("side").asc_nulls_last(), "site_id", *(["ap"] if "ap" in peaks.columns else []))
 
 
 def strongest_ap(s: DataFrame) -> DataFrame:

@@ -83,19 +83,55 @@ def visit_tracker(s: DataFrame, origin: int, every: int, ticks: int | Column,
     open only if it never was.
     """
     last_tick = F.lit(ticks).cast("bigint") if isinstance(ticks, int) else ticks
+    found = stays(s, origin, every, last_tick, seconds, keys=keys, segment=segment)
+    if policy == "reopen":
+        end = F.when(F.col("run_end") < last_tick, F.lit(origin) + (F.col("run_end") + 1) * every)
+        return found.select(*keys, "start_ts", end.alias("end_ts"))
+    return with_end(first_visits(found, keys), origin, every, last_tick).select(*keys, "start_ts", "end_ts")
+
+
+def stays(s: DataFrame, origin: int, every: int, last_tick: Column, seconds: int = RECENT_SECONDS, after: int = -1,
+          keys: Sequence[str] = KEYS, segment: int = 1 << 20) -> DataFrame:
+    """Runs of consecutive ticks in (after, last_tick] with the device present: first tick `run`, `run_end`, start_ts."""
     here = presence(s, origin, every, seconds)
-    here = here.where(F.col("tick") <= last_tick)
+    here = here.where((F.col("tick") > after) & (F.col("tick") <= last_tick))
     runs = in_order(here, list(keys), order="tick", breaks=lambda p, c: c("tick") - p("tick") > 1,
                     run="run", shared=["first_ts"], segment=segment)
-    stays = runs.groupBy(*keys, "run").agg(
+    return runs.groupBy(*keys, "run").agg(
         F.max("tick").alias("run_end"), F.min_by("first_ts", "tick").alias("start_ts"))
+
+
+def first_visits(found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per key its start and the ticks `with_end` needs: of the first and the last stay's begin, and the last one's end."""
+    return found.groupBy(*keys).agg(
+        F.min_by("start_ts", "run").alias("start_ts"), F.min("run").alias("first_run"),
+        F.max("run").alias("last_run"), F.max("run_end").alias("run_end"))
+
+
+def with_end(whole: DataFrame, origin: int, every: int, last_tick: Column) -> DataFrame:
+    """Add end_ts: the latest tick without the device, null if it was never absent."""
     at = lambda tick: F.lit(origin) + tick * F.lit(every)
-    if policy == "reopen":
-        end = F.when(F.col("run_end") < last_tick, at(F.col("run_end") + 1))
-        return stays.select(*keys, "start_ts", end.alias("end_ts"))
-    whole = stays.groupBy(*keys).agg(
-        F.min_by("start_ts", "run").alias("start_ts"),
-        F.min("run").alias("_first"), F.max("run").alias("_last"), F.max("run_end").alias("_end"))
-    end = (F.when(F.col("_end") < last_tick, at(last_tick))
-           .when(F.col("_first") < F.col("_last"), at(F.col("_last") - 1)))
-    return whole.select(*keys, "start_ts", end.alias("end_ts"))
+    end = (F.when(F.col("run_end") < last_tick, at(last_tick))
+           .when(F.col("first_run") < F.col("last_run"), at(F.col("last_run") - 1)))
+    return whole.withColumn("end_ts", end.cast("bigint"))
+
+
+def carry_first_visits(known: DataFrame, found: DataFrame, after: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """`first_visits` of the ticks up to `after`, carried on by the stays found in the ticks behind it."""
+    new = first_visits(found, keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in ("start_ts", "first_run", "last_run", "run_end")])
+    x = known.join(new, list(keys), "full_outer")
+    # A stay from the first new tick on goes on with the stay that reached the last known one.
+    goes_on = (F.col("run_end") == after) & (F.col("_last_run") == after + 1)
+    return x.select(*keys, F.coalesce("start_ts", "_start_ts").alias("start_ts"), F.coalesce("first_run", "_first_run").alias("first_run"),
+                    F.when(goes_on, F.col("last_run")).otherwise(F.coalesce("_last_run", "last_run")).alias("last_run"),
+                    F.coalesce("_run_end", "run_end").alias("run_end"))
+
+
+def carry_open_visits(still: DataFrame, found: DataFrame, origin: int, every: int, after: int, last_tick: int,
+                      keys: Sequence[str] = KEYS) -> DataFrame:
+    """Visits open at tick `after` and the stays in (after, last_tick] -> visits, the ones open at last_tick without end."""
+    x = still.select(*keys, F.col("start_ts").alias("_start"), F.lit(after + 1).cast("bigint").alias("run")).join(
+        found.select(*keys, "run", "run_end", "start_ts"), [*keys, "run"], "full_outer")
+    end_tick = F.coalesce(F.col("run_end") + 1, F.lit(after + 1))
+    end = F.when(F.col("run_end").isNull() | (F.col("run_end") < last_tick), F.lit(origin) + end_tick * every)
+    return x.select(*keys, F.coalesce("_start", "start_ts").alias("start_ts"), end.cast("bigint").alias("end_ts"))

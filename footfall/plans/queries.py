@@ -327,30 +327,22 @@ def _site_peaks(spark, d):
 
 
 @query("prev_side", """SELECT device, ts, rssi, side, site_id, lag(side) OVER (
-    PARTITION BY device, ts, rssi ORDER BY side, site_id) AS side_prev FROM lpeaks
-    QUALIFY count(*) OVER (PARTITION BY device, ts, rssi, side, site_id) = 1""", "lpeaks")
+    PARTITION BY device, ts, rssi ORDER BY side, site_id, ap) AS side_prev FROM lpeaks""", "lpeaks")
 def _(spark, d):
-    # Rows that tie on every ordering column have no defined predecessor.
     x = signal.with_prev_side(_site_peaks(spark, d))
-    once = x.groupBy("device", "ts", "rssi", "side", "site_id").agg(
-        F.count("*").alias("_n"), F.max("side_prev").alias("side_prev"))
-    return once.where(F.col("_n") == 1).drop("_n")
+    return x.select("device", "ts", "rssi", "side", "site_id", "side_prev")
 
 
 @query("next_rssi", """SELECT device, ts, rssi, ap, lead(rssi) OVER (PARTITION BY device, ts
-    ORDER BY rssi, side DESC, site_id DESC) AS rssi_next FROM lpeaks
-    QUALIFY count(*) OVER (PARTITION BY device, ts, rssi, side, site_id) = 1""", "lpeaks")
+    ORDER BY rssi, side DESC, site_id DESC, ap DESC) AS rssi_next FROM lpeaks""", "lpeaks")
 def _(spark, d):
-    x = signal.with_next_rssi(_site_peaks(spark, d))
-    once = x.groupBy("device", "ts", "rssi", "side", "site_id").agg(
-        F.count("*").alias("_n"), F.min("ap").alias("ap"), F.max("rssi_next").alias("rssi_next"))
-    return once.where(F.col("_n") == 1).select("device", "ts", "rssi", "ap", "rssi_next")
+    return signal.with_next_rssi(_site_peaks(spark, d)).select("device", "ts", "rssi", "ap", "rssi_next")
 
 
-@query("one_ap_per_reading", """SELECT device, ts, rssi, min(side) AS side,
-    arg_min(site_id, side || site_id) AS site_id FROM lpeaks GROUP BY device, ts, rssi""", "lpeaks")
+@query("one_ap_per_reading", """SELECT device, ts, rssi, ap, side, site_id FROM lpeaks QUALIFY row_number() OVER (
+    PARTITION BY device, ts, rssi ORDER BY side, site_id, ap) = 1""", "lpeaks")
 def _(spark, d):
-    return signal.one_ap_per_reading(_site_peaks(spark, d)).drop("ap")
+    return signal.one_ap_per_reading(_site_peaks(spark, d)).select("device", "ts", "rssi", "ap", "side", "site_id")
 
 
 @query("strongest_ap", """SELECT device, ts, ap, rssi FROM means

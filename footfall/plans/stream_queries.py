@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from footfall.operators import clean, traffic
 from footfall.plans.jobs import entry_exit_report
 from footfall.plans.queries import query
-from footfall.plans.tables import aps, as_sightings, raw_sightings, sightings, stream_events, vendors, wire_lines
+from footfall.plans.tables import EVENT_SCHEMA, TICK, aps, as_sightings, raw_sightings, sightings, stream_events, table, vendors, wire_lines
 from footfall.session import fresh_path
 from footfall.sinks import tables as sinks
 from footfall.sources import scans
@@ -91,11 +91,32 @@ def _(spark, d):
         s, aps(spark), p, c, mon_time=lambda _: MON_TIME), "points")
 
 
-@query("stream_visits", """SELECT device, site_id, min(ts) AS start_ts, CAST(NULL AS BIGINT) AS end_ts FROM rsite
-    WHERE ts > (SELECT max(ts) - 86400 FROM rsite) GROUP BY device, site_id""", "rsite")
+def _by_slices(spark, d, start, parts=4):
+    """Let the stream `start(events)` read the events in several micro-batches, in the order of time."""
+    folder, x = fresh_path(spark, "events"), table(spark, d, "events")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    lo, hi = sinks.one_row(x.agg(F.min(at).alias("lo"), F.max(at).alias("hi")), "lo", "hi")
+    for i in range(parts if lo is not None else 0):
+        part = F.floor((at - lo) * parts / (hi - lo + 1)) == i
+        x.where(part).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(EVENT_SCHEMA).parquet(folder)).awaitTermination()
+
+
+def _visits(spark, d, policy):
+    path, checkpoint = fresh_path(spark, "visits"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.stream_visits(
+        as_sightings(e, 1), aps(spark), path, checkpoint, 2 * TICK, policy, every=TICK, origin=1704067200))
+    return jobs.load_visits(spark, path)
+
+
+@query("stream_visits", "SELECT * FROM first_visit", "first_visit")
 def _(spark, d):
-    s = _stream(spark, d)
-    return _published(spark, lambda p, c: jobs.stream_visits(s, aps(spark), p, c, 86400), "visits")
+    return _visits(spark, d, "first_visit")
+
+
+@query("stream_visits_reopen", "SELECT * FROM reopened", "reopened")
+def _(spark, d):
+    return _visits(spark, d, "reopen")
 
 
 @query("refresh_traffic", f"""SELECT site_id, value, CAST({MON_TIME} AS BIGINT) AS mon_time FROM (

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.clock import local_day
@@ -16,7 +16,7 @@ from footfall.operators import flow, signal, stats, visits
 from footfall.operators.clean import with_load_time, with_site
 from footfall.schema import LOCAL_ZONE, RECENT_SECONDS, RESULT, VISIT
 from footfall.plans.jobs import realtime_traffic
-from footfall.sinks.tables import lines_of, load_state, one_row, save_state
+from footfall.sinks.tables import lines_of, load_state, one_row, save_state, versions
 from footfall.sources.scans import land, read_lake
 
 
@@ -76,26 +76,62 @@ def stream_trajectory_rows(s: DataFrame, ap_dim: DataFrame, path: str, checkpoin
     return each_batch(s, trajectory_rows_job(ap_dim, path, static_devices, mon_time), checkpoint, trigger=trigger)
 
 
-def visits_job(ap_dim: DataFrame, path: str, seconds: int = RECENT_SECONDS,
-               policy: str = "first_visit") -> Callable[[DataFrame, int], None]:
-    """Visit tracker: every batch is a tick at the batch's latest sighting."""
+VISIT_COLUMNS = ("device", "site_id", "start_ts", "end_ts")
+SEEN = "device STRING, site_id INT, ts BIGINT"
+FIRST_VISIT = "device STRING, site_id INT, start_ts BIGINT, first_run BIGINT, last_run BIGINT, run_end BIGINT, end_ts BIGINT"
+
+
+def visits_job(ap_dim: DataFrame, path: str, seconds: int = RECENT_SECONDS, policy: str = "first_visit",
+               every: int = RECENT_SECONDS, origin: int = 0) -> Callable[[DataFrame, int], None]:
+    """Visit tracker with ticks at origin + k * every, whatever the batches are.
+
+    A tick is worked off once a sighting at or after it has come, and looks at all sightings of the last `seconds`,
+    of earlier batches too. A batch may bring no tick or many. A sighting that comes after its tick counts for the
+    ticks still to come. State: sightings that later ticks need, and one row per key (first_visit) or per open visit
+    (reopen); visits that are over are appended once. `load_visits` reads the result.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        spark = batch.sparkSession
+        last = load_state(spark, f"{path}/tick", before=batch_id, schema="tick BIGINT")
+        (after,) = one_row(last, "tick")
+        after = -1 if after is None else after
+        seen = load_state(spark, f"{path}/seen", before=batch_id, schema=SEEN).unionByName(
+            with_site(batch, ap_dim, unknown="drop").select("device", F.col("site_id").cast("int").alias("site_id"), "ts")).persist()
         try:
-            (tick,) = one_row(batch.agg(F.max("ts").alias("tick")), "tick")
-            if tick is None:
-                return
-            known = load_state(batch.sparkSession, path, before=batch_id, schema=VISIT)
-            detect = visits.detect_table(with_site(batch, ap_dim, unknown="drop"), tick, seconds)
-            save_state(visits.update_visits(known, detect, tick, policy), path, batch_id)
+            (newest,) = one_row(seen.agg(F.max("ts").alias("ts")), "ts")
+            tick = after if newest is None else max(after, (newest - origin) // every)
+            if tick > after:
+                found = visits.stays(seen, origin, every, F.lit(tick), seconds, after)
+                if policy == "reopen":
+                    still = load_state(spark, f"{path}/open", before=batch_id, schema=VISIT)
+                    now = visits.carry_open_visits(still, found, origin, every, after, tick).persist()
+                    save_state(now.where("end_ts IS NOT NULL"), f"{path}/ended", batch_id)
+                    save_state(now.where("end_ts IS NULL"), f"{path}/open", batch_id)
+                    now.unpersist()
+                else:
+                    known = load_state(spark, f"{path}/first", before=batch_id, schema=FIRST_VISIT).drop("end_ts")
+                    now = visits.carry_first_visits(known, found, after)
+                    save_state(visits.with_end(now, origin, every, F.lit(tick)), f"{path}/first", batch_id)
+            save_state(seen.where(F.col("ts") > origin + (tick + 1) * every - seconds), f"{path}/seen", batch_id)
+            save_state(spark.range(1).select(F.lit(tick).cast("bigint").alias("tick")), f"{path}/tick", batch_id)
         finally:
-            batch.unpersist()
+            seen.unpersist()
     return run
 
 
+def load_visits(spark: SparkSession, path: str) -> DataFrame:
+    """Visits that `stream_visits` has published so far, by either policy."""
+    first = load_state(spark, f"{path}/first", schema=FIRST_VISIT)
+    still = load_state(spark, f"{path}/open", schema=VISIT)
+    found = first.select(*VISIT_COLUMNS).unionByName(still.select(*VISIT_COLUMNS))
+    if not versions(spark, f"{path}/ended"):
+        return found
+    return found.unionByName(spark.read.parquet(f"{path}/ended").select(*VISIT_COLUMNS))
+
+
 def stream_visits(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str, seconds: int = RECENT_SECONDS,
-                  policy: str = "first_visit", trigger: dict | None = None):
-    return each_batch(s, visits_job(ap_dim, path, seconds, policy), checkpoint, trigger=trigger)
+                  policy: str = "first_visit", trigger: dict | None = None, every: int = RECENT_SECONDS, origin: int = 0):
+    return each_batch(s, visits_job(ap_dim, path, seconds, policy, every, origin), checkpoint, trigger=trigger)
 
 
 def stream_land(s: DataFrame, path: str, checkpoint: str, tz: str = LOCAL_ZONE, salt: str | None = None,

@@ -85,12 +85,27 @@ def test_occupancy_adds_up_over_batches(spark, drops, dim, rows, tmp_path):
 
 
 def test_visits_over_batches(spark, drops, dim, rows, tmp_path):
-    s = drops([("A", "O", -50, 10), ("B", "O", -50, 20)], [("A", "O", -50, 400)], [("B", "O", -50, 900)])
-    for policy, want in (("first_visit", [("A", 10, 900), ("B", 20, 400)]),
-                         ("reopen", [("A", 10, 900), ("B", 20, 400), ("B", 900, None)])):
-        out, cp = _paths(tmp_path)
-        jobs.stream_visits(s, dim, out, cp, 300, policy).awaitTermination()
-        assert rows(load_state(spark, out), "device", "start_ts", "end_ts") == want
+    """Many ticks in a batch, batches without a tick, stays across batches: as the batch tracker over everything."""
+    groups = ([("A", "O", -50, 10), ("B", "O", -50, 12)], [("B", "O", -50, 60)], [("A", "O", -50, 400), ("C", "P", -50, 1000)],
+              [("B", "I", -50, 1010), ("A", "O", -50, 1290), ("A", "I", -50, 1500)], [("C", "P", -50, 1505), ("B", "O", -50, 3000)])
+    s = drops(*groups)
+    every = spark.createDataFrame([(d, a, float(r), t) for g in groups for d, a, r, t in g], "device STRING, ap STRING, rssi DOUBLE, ts BIGINT")
+    for policy in ("first_visit", "reopen"):
+        for seconds, tick in ((300, 30), (300, 300)):
+            want = visits.visit_tracker(clean.with_site(every, dim), 0, tick, 3000 // tick, seconds, policy)
+            out, cp = _paths(tmp_path)
+            jobs.stream_visits(s, dim, out, cp, seconds, policy, every=tick).awaitTermination()
+            assert rows(jobs.load_visits(spark, out), *jobs.VISIT_COLUMNS) == rows(want, *jobs.VISIT_COLUMNS)
+            if (policy, tick) == ("first_visit", 30):
+                path = dict((d, e) for d, _, e in rows(jobs.load_visits(spark, out), "device", "start_ts", "end_ts"))
+                assert path["A"] == 3000 and path["B"] == 2970
+
+
+def test_visit_ends_only_after_silence(spark, drops, dim, rows, tmp_path):
+    s = drops([("A", "O", -50, 10), ("B", "O", -50, 12)], [("B", "O", -50, 60)])
+    out, cp = _paths(tmp_path)
+    jobs.stream_visits(s, dim, out, cp, 300, every=30).awaitTermination()
+    assert rows(jobs.load_visits(spark, out), "device", "start_ts", "end_ts") == [("A", 10, None), ("B", 12, None)]
 
 
 def test_trajectory_rows_and_lake(spark, drops, dim, rows, tmp_path):
