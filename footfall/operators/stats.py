@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from footfall.operators.signal import mean_rssi
 
 
+# Variance, in dB squared, that rounding of equal means alone may leave.
+STILL = 0.001
+
+
 def rssi_kurtosis(s: DataFrame, keys: Sequence[str] = ("device", "ap")) -> DataFrame:
-    """Population excess kurtosis of the per-second means."""
+    """Population excess kurtosis of the per-second means; null where the signal does not vary (up to `STILL`)."""
     return (mean_rssi(s, ("device", "ts", "ap"), rounded=False)
-            .groupBy(*keys).agg(F.kurtosis("rssi").alias("kurtosis")))
+            .groupBy(*keys).agg(F.when(F.var_pop("rssi") > STILL, F.kurtosis("rssi")).alias("kurtosis")))
 
 
 def rssi_stddev(s: DataFrame, keys: Sequence[str] = ("device",)) -> DataFrame:

@@ -543,15 +543,13 @@ def _(spark, d):
     return jobs.static_device_update(s, stored, hours=3)
 
 
-@query("vendor_profile_job", """SELECT device, ap, round(kurtosis_pop(rssi), 4) AS kurtosis FROM (
+@query("vendor_profile_job", """SELECT device, ap,
+    round(CASE WHEN var_pop(rssi) > 0.001 THEN kurtosis_pop(rssi) END, 4) AS kurtosis FROM (
     SELECT device, ts, ap, avg(rssi) AS rssi FROM r WHERE substr(device, 1, 6) IN (SELECT prefix FROM oui) GROUP BY ALL)
-    GROUP BY device, ap HAVING count(*) >= 3 AND var_pop(rssi) > 0.001""", "r", "oui")
+    GROUP BY device, ap""", "r", "oui")
 def _(spark, d):
-    s, oui = raw_sightings(spark, d), vendors(spark, d)
-    means = signal.mean_rssi(s, rounded=False).groupBy("device", "ap").agg(
-        F.count("*").alias("_n"), F.var_pop("rssi").alias("_v"))
-    found = jobs.vendor_profile(s, oui).withColumn("kurtosis", F.round("kurtosis", 4))
-    return found.join(means.where((F.col("_n") >= 3) & (F.col("_v") > 0.001)), ["device", "ap"], "left_semi")
+    found = jobs.vendor_profile(raw_sightings(spark, d), vendors(spark, d))
+    return found.withColumn("kurtosis", F.round("kurtosis", 4))
 
 
 @query("always_on", "SELECT device FROM static", "static")
@@ -559,6 +557,11 @@ def _(spark, d):
     return traffic.always_on_devices(raw_sightings(spark, d), per_ap=False, per_day=False)
 
 
+@query("always_on_in_a_day", "SELECT DISTINCT device FROM dcover WHERE hours >= 6", "dcover")
+def _(spark, d):
+    return traffic.always_on_devices(raw_sightings(spark, d), hours=6, per_ap=False, per_day=True)
+
+
 @query("always_on_per_ap", "SELECT device FROM static_ap", "static_ap")
 def _(spark, d):
     return traffic.always_on_devices(raw_sightings(spark, d), hours=3)
@@ -782,14 +785,11 @@ def _(spark, d):
         signal.rssi_peaks(signal.mean_rssi(clean.filter_rssi(sightings(spark, d))), endpoints=False))
 
 
-@query("rssi_kurtosis", """SELECT device, ap, round(kurtosis_pop(rssi), 4) AS kurtosis FROM (
-    SELECT device, ts, ap, avg(rssi) AS rssi FROM r GROUP BY ALL) GROUP BY device, ap
-    HAVING count(*) >= 3 AND var_pop(rssi) > 0.001""", "r")
+@query("rssi_kurtosis", """SELECT device, ap,
+    round(CASE WHEN var_pop(rssi) > 0.001 THEN kurtosis_pop(rssi) END, 4) AS kurtosis FROM (
+    SELECT device, ts, ap, avg(rssi) AS rssi FROM r GROUP BY ALL) GROUP BY device, ap""", "r")
 def _(spark, d):
-    means = signal.mean_rssi(raw_sightings(spark, d), rounded=False)
-    enough = means.groupBy("device", "ap").agg(F.count("*").alias("_n"), F.var_pop("rssi").alias("_v"))
-    found = stats.rssi_kurtosis(raw_sightings(spark, d)).withColumn("kurtosis", F.round("kurtosis", 4))
-    return found.join(enough.where((F.col("_n") >= 3) & (F.col("_v") > 0.001)), ["device", "ap"], "left_semi")
+    return stats.rssi_kurtosis(raw_sightings(spark, d)).withColumn("kurtosis", F.round("kurtosis", 4))
 
 
 @query("rssi_stddev", "SELECT device, round(stddev_pop(rssi), 6) AS stddev FROM r GROUP BY device", "r")
