@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import rows_of, stored
 from footfall.llm.components import components
-from footfall.llm.shingles import mixed, shingles
+from footfall.llm.shingles import mixed, parity_bits, segments, shingles
 
 SHINGLE, PERCENT = 3, 90
 RARE = 64
@@ -52,7 +52,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             doc, h = shingles(batch["text"].to_pylist(), size)
-            counts += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(counts, (h >> np.uint64(42)).astype(np.int64), np.uint32(1))
             n = np.bincount(doc, minlength=batch.num_rows)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(0x632BE59BD9B4E019)))])
             ends = np.cumsum(n)
@@ -98,9 +98,11 @@ def _prefixes(docs: DataFrame, size: int, percent: int, classes: np.ndarray) ->
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(0x632BE59BD9B4E019)))])
             ends = np.cumsum(n)
             sid = mixed((sums[ends] - sums[ends - n]) ^ mixed(n.astype(np.uint64))).view(np.int64)
-            order = np.lexsort((h, shared.value[(h >> np.uint64(42)).astype(np.int64)], doc))
-            place = np.arange(len(doc)) - (ends - n)[doc]
-            keep = order[place < np.minimum(n, n - _need(n, percent) + 2)[doc]]
+            rank = shared.value[(h >> np.uint64(42)).astype(np.int64)]
+            most = np.minimum(n, n - _need(n, percent) + 2)
+            # tokens are sorted within a document, so a stable sort by class leaves them in order of class and token
+            keep = np.concatenate([np.zeros(0, np.int64), *[x + np.argsort(rank[x:z], kind="stable")[:m]
+                                                            for (x, z), m in zip(segments(doc, len(n)), most.tolist(), strict=True)]])
             yield pa.RecordBatch.from_pydict({"token": pa.array(h[keep].view(np.int64)), "sid": pa.array(sid[doc[keep]]),
                                               "n": pa.array(n[doc[keep]], pa.int64())})
 
@@ -112,9 +114,7 @@ def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, h = shingles(batch["text"].to_pylist(), size)
-            bits = np.zeros((batch.num_rows, 1024), np.uint8)
-            np.bitwise_xor.at(bits, (doc, (mixed(h + np.uint64(7)) >> np.uint64(54)).astype(np.int64)), 1)
-            words = np.packbits(bits, axis=1).view("<i8")
+            words = parity_bits(doc, mixed(h + np.uint64(7)) >> np.uint64(54), batch.num_rows, 1024).view("<i8")
             yield pa.RecordBatch.from_pydict({"sid": batch["sid"], **{m: pa.array(words[:, i].copy()) for i, m in enumerate(_MAP)}})
 
     return texts.mapInArrow(run, "sid BIGINT, " + ", ".join(f"{m} BIGINT" for m in _MAP))
@@ -143,11 +143,10 @@ def _token_lists(texts: DataFrame, size: int) -> DataFrame:
                 continue
             doc, h = shingles(batch["text"].to_pylist(), size)
             n = np.bincount(doc, minlength=batch.num_rows)
-            bits = np.zeros((batch.num_rows, FINE), np.uint8)
-            np.bitwise_xor.at(bits, (doc, (mixed(h + np.uint64(11)) % np.uint64(FINE)).astype(np.int64)), 1)
+            fine = parity_bits(doc, mixed(h + np.uint64(11)) % np.uint64(FINE), batch.num_rows, FINE)
             yield pa.RecordBatch.from_pydict({
                 "sid": batch["sid"], "n": pa.array(n, pa.int64()),
-                "fine": pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()),
+                "fine": pa.array([x.tobytes() for x in fine], pa.binary()),
                 "tokens": pa.array([x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])], pa.binary())})
 
     return texts.mapInArrow(run, "sid BIGINT, n BIGINT, fine BINARY, tokens BINARY")

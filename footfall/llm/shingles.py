@@ -40,8 +40,8 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _powers(_STEP, len(data) - 1))])
     words = mixed((sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts] ^ (ends - starts).astype(np.uint64))
     borders = np.cumsum([0] + [len(r) + 1 for r in raw])
-    doc = np.searchsorted(borders, starts, "right") - 1
-    count = np.bincount(doc, minlength=len(texts))
+    count = np.diff(np.searchsorted(starts, borders))
+    doc = np.repeat(np.arange(len(texts)), count)
     first = np.cumsum(count) - count
     place = np.arange(len(words)) - first[doc]
     length = np.minimum(size, count[doc])  # of the shingle that starts here
@@ -53,9 +53,26 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(at), np.uint64)
     for k in range(size):
         has = n > k
-        h[has] = mixed(h[has] * _STEP + words[at[has] + k] + np.uint64(k))
+        if has.all():  # always so but for texts shorter than a shingle
+            h = mixed(h * _STEP + words[at + k] + np.uint64(k))
+        else:
+            h[has] = mixed(h[has] * _STEP + words[at[has] + k] + np.uint64(k))
     d = doc[at]
-    order = np.lexsort((h, d))
-    d, h = d[order], h[order]
+    for x, z in segments(d, len(texts)):
+        h[x:z].sort()
     new = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
     return d[new], h[new]
+
+
+def segments(doc: np.ndarray, rows: int) -> zip:
+    """(first, end) of every document's stretch of an array ordered by document."""
+    count = np.bincount(doc, minlength=rows)
+    ends = np.cumsum(count)
+    return zip((ends - count).tolist(), ends.tolist(), strict=True)
+
+
+def parity_bits(doc: np.ndarray, bit: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """Per document, packed, the parity of how many of its tokens fall on each bit."""
+    count = np.zeros(rows * bits, np.uint8)  # wraps at 256, which keeps the parity
+    np.add.at(count, doc * bits + bit.astype(np.int64), np.uint8(1))
+    return np.packbits((count & 1).reshape(rows, bits), axis=1)
