@@ -133,13 +133,19 @@ def confusion_counts(scored: DataFrame, threshold: float, score: str = "score",
                       F.count_if(~y & hit).alias("fp"))
 
 
-def pivot_features(df: DataFrame, key: str, category: str, value: str, categories: Sequence[str]) -> DataFrame:
+def pivot_features(df: DataFrame, key: str, category: str, value: str, categories: Sequence[str],
+                   other: str | None = None) -> DataFrame:
     """Per key one summed column per category, 0 where absent.
 
-    Naming the categories spares a pass over the data that looks for them.
+    Naming the categories spares a pass over the data that looks for them. Column `other`, if named, sums what has
+    another category or none; without it these values are left out.
     """
-    out = df.groupBy(key).pivot(category, list(categories)).agg(F.sum(value))
-    return out.na.fill(0, list(categories))
+    named = list(categories)
+    if other is not None:
+        df = df.withColumn(category, F.when(F.col(category).isin(named), F.col(category)).otherwise(F.lit(other)))
+        named.append(other)
+    out = df.groupBy(key).pivot(category, named).agg(F.sum(value))
+    return out.na.fill(0, named)
 
 
 def feature_vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

@@ -12,6 +12,7 @@ from footfall.operators import clean, traffic
 from footfall.plans.jobs import entry_exit_report
 from footfall.plans.queries import query
 from footfall.plans.tables import EVENT_SCHEMA, TICK, aps, as_sightings, raw_sightings, sightings, stream_events, table, vendors, wire_lines
+from footfall.schema import RESULT
 from footfall.session import fresh_path
 from footfall.sinks import tables as sinks
 from footfall.sources import scans
@@ -86,9 +87,9 @@ def _(spark, d):
 @query("stream_trajectory_rows", f"""SELECT 0 AS site_id, CAST(-1 AS BIGINT) AS value,
     CAST({MON_TIME} AS BIGINT) AS mon_time FROM traj""", "traj")
 def _(spark, d):
-    s = _stream(spark, d, 21600)
-    return _published(spark, lambda p, c: jobs.stream_trajectory_rows(
-        s, aps(spark), p, c, mon_time=lambda _: MON_TIME), "points")
+    s, path = _stream(spark, d, 21600), fresh_path(spark, "points")
+    jobs.stream_trajectory_rows(s, aps(spark), path, fresh_path(spark, "checkpoint"), mon_time=lambda _: MON_TIME).awaitTermination()
+    return sinks.load_all(spark, path, RESULT)
 
 
 def _by_slices(spark, d, start, parts=4):

@@ -35,30 +35,47 @@ def save_state(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/version={int(version)}")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop knows them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _complete(spark: SparkSession, path: str, version: int) -> bool:
+    fs, mark = _folder(spark, f"{path}/version={version}/_SUCCESS")
+    return fs.exists(mark)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Completed versions of a state, oldest first."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, root = _folder(spark, path)
     if not fs.exists(root):
         return []
-    done = []
-    for status in fs.listStatus(root):
-        folder = status.getPath()
-        name = folder.getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-            done.append(int(name.split("=", 1)[1]))
-    return sorted(done)
+    names = [status.getPath().getName() for status in fs.listStatus(root)]
+    found = sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("version="))
+    return [v for v in found if _complete(spark, path, v)]
 
 
 def load_state(spark: SparkSession, path: str, before: int | None = None, schema=None) -> DataFrame | None:
-    """Latest completed snapshot, optionally of a version lower than `before`; None if there is none."""
+    """Latest completed snapshot, optionally of a version lower than `before`; None if there is none.
+
+    The version right before is looked up directly, so a batch that follows on another one lists no history.
+    """
+    if before and _complete(spark, path, before - 1):
+        return spark.read.parquet(f"{path}/version={before - 1}")
     found = [v for v in versions(spark, path) if before is None or v < before]
     if not found:
         return None if schema is None else spark.createDataFrame([], schema)
     return spark.read.parquet(f"{path}/version={found[-1]}")
 
 
+def load_all(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all versions, for jobs that publish what each batch adds."""
+    if not versions(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path).drop("version")
+
+
 def save_static_devices(df: DataFrame, path: str, version: int) -> None:
     """Write the always-on list as a new version; `load_state` reads it back."""
     save_state(df.select("device"), path, version)

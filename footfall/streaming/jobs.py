@@ -62,7 +62,7 @@ def stream_occupancy(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str
 
 def trajectory_rows_job(ap_dim: DataFrame, path: str, static_devices: DataFrame | None = None,
                         mon_time: Callable[[int], int] | None = None) -> Callable[[DataFrame, int], None]:
-    """One row (site_id, value -1, time) per trajectory point of the batch."""
+    """One row (site_id, value -1, time) per trajectory point of the batch; `load_all` reads those of all batches."""
     def run(batch: DataFrame, batch_id: int) -> None:
         traj = signal.trajectory(batch, ap_dim, static_devices)
         rows = traj.select(F.lit(0).alias("site_id"), F.lit(-1).cast("bigint").alias("value"))

@@ -1,7 +1,9 @@
 """Streaming operators: streaming DataFrame -> streaming DataFrame.
 
-Event time is `ts` (epoch seconds). All of them bound their state with a
-watermark; how late a sighting may arrive is a parameter.
+Event time is `ts` (epoch seconds). Windows, means and buffers bound their state
+with a watermark in append or update mode; how late a sighting may arrive is a
+parameter. `running_count` and `stream_moments` keep one row per key for good, and
+complete mode keeps every group whatever the watermark is.
 """
 
 from __future__ import annotations

@@ -61,6 +61,7 @@ def test_pivot_vectors_describe_clusters(spark, rows):
     df = spark.createDataFrame([("u", "a", 1.0), ("u", "a", 2.0), ("v", "b", 5.0)], "k STRING, c STRING, v DOUBLE")
     wide = stats.pivot_features(df, "k", "c", "v", ["a", "b"])
     assert rows(wide) == [("u", 3.0, 0.0), ("v", 0.0, 5.0)]
+    assert rows(stats.pivot_features(df, "k", "c", "v", ["a"], "other")) == [("u", 3.0, 0.0), ("v", 0.0, 5.0)]
     assert [float(x) for x in stats.feature_vectors(wide, ["a", "b"]).orderBy("k").first().features] == [3.0, 0.0]
     assert rows(stats.describe(df, ["v"]), "column", "count", "min", "max") == [("v", 3.0, 1.0, 5.0)]
     gaps = spark.createDataFrame([(x,) for x in (1, 2, 3, 100, 101)], "seconds BIGINT")

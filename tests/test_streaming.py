@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.operators import clean, flow, signal, traffic, visits
-from footfall.sinks.tables import load_state, versions
+from footfall.schema import RESULT
+from footfall.sinks import tables
+from footfall.sinks.tables import load_all, load_state, save_state, versions
 from footfall.streaming import jobs, operators
 from footfall.streaming.sources import file_lines, kafka_lines, stream_scans, stream_table, stream_tail
 
@@ -109,13 +111,23 @@ def test_visit_ends_only_after_silence(spark, drops, dim, rows, tmp_path):
 
 
 def test_trajectory_rows_and_lake(spark, drops, dim, rows, tmp_path):
-    s = drops(_inside_out(0, True))
+    s = drops(_inside_out(0, True), _inside_out(100, True))
     out, cp = _paths(tmp_path)
-    jobs.stream_trajectory_rows(s, dim, out, cp, mon_time=lambda b: 7).awaitTermination()
-    assert rows(load_state(spark, out)) == [(0, -1, 7)] * 2
+    assert load_all(spark, out, RESULT).count() == 0
+    jobs.stream_trajectory_rows(s, dim, out, cp, mon_time=lambda b: b).awaitTermination()
+    assert rows(load_all(spark, out, RESULT)) == [(0, -1, 0)] * 2 + [(0, -1, 1)] * 2
     lake, cp = _paths(tmp_path)
     jobs.stream_land(s, lake, cp).awaitTermination()
-    assert spark.read.parquet(lake).count() == 6
+    assert spark.read.parquet(lake).count() == 12
+
+
+def test_the_version_before_is_found_without_a_list(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "state")
+    for v in (0, 1, 3):
+        save_state(spark.range(v + 1), path, v)
+    assert load_state(spark, path, before=3).count() == 2  # version 2 is missing
+    monkeypatch.setattr(tables, "versions", None)
+    assert [load_state(spark, path, before=v).count() for v in (1, 2, 4)] == [1, 2, 4]
 
 
 def test_tail_takes_new_files(spark, rows, tmp_path):
