@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -192,3 +193,29 @@ def test_license_scan(spark):
     got = sorted((r.doc_id, r.licenses) for r in license_scan.scan(docs).collect())
     assert got == [(1, "MIT"), (2, ""), (3, ""), (4, "proprietary"), (5, "CC-BY-NC-4.0"), (5, "GPL-3.0")]
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+GPL3 = license_scan.TEMPLATES["GPL-3.0"][1]
+
+
+def _wrapped(text, width, mark):
+    return "".join(f"{mark}{line}\n" for line in textwrap.wrap(text, width))
+
+
+def test_licenses_over_line_breaks(spark):
+    """Headers and whole texts, wrapped at several widths behind comment marks; each template is found under its own name."""
+    known = license_scan.templates_of_the_package()
+    rows, want = [], []
+    for name, texts in known.items():
+        for text in texts:
+            for width, mark in ((40, "# "), (72, " * "), (10 ** 6, "")):
+                want.append((len(rows), name))
+                rows.append((len(rows), "import os\n\n" + _wrapped(text, width, mark) + "\nx = 1\n"))
+    split = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License.",
+             "Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "all rights\n * reserved",
+             "# SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)\nx")
+    for text, name in zip(split, ("GPL-notice", "BSD-3-Clause", "proprietary", "GPL-2.0-only,MIT"), strict=True):
+        want.append((len(rows), name))
+        rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    assert sorted((r.doc_id, r.licenses) for r in license_scan.scan(docs).collect()) == want
