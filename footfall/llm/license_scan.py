@@ -3,9 +3,10 @@
 A text is taken as its words, so line breaks and comment marks do not count. Windows around cues of licensing, as long
 as a template and its allowed differences, are aligned with the template by word edit distance, in order
 (bit-parallel, Myers 1999). A span is confirmed by at most MOST_DIFFERENT of the template's words missing, replaced
-or added, and by saving bytes when compressed with the template as raw dictionary instead of alone. Every template
-is tried; of spans that overlap the one with the most matching words beyond its differences stays, then the one that
-saves most. SPDX tags are read as they are.
+or added, and by saving bytes when compressed with the template as raw dictionary instead of alone. In short
+notices the license's own name and version are not among the words that may differ. Every template is tried; of spans
+that overlap the one with the most matching words beyond its differences stays, then the one that saves most. One
+block may give several licenses. SPDX tags are read as they are.
 """
 
 from __future__ import annotations
@@ -62,6 +63,9 @@ _CUE = re.compile(r"licen[sc]e|copyright|rights[\W_]+reserved|redistribut|permis
 _WORD = re.compile(r"[^\W_]+(?:[.-]\w+)*")
 _SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([\w.+:() \t-]+)", re.I)
 MOST_DIFFERENT = 0.2
+# Words that must be there: names in capitals and versions of notices with at most so many words, "version N" of headers.
+NOTICE, HEADER = 15, 150
+_NAMED, _VERSION = re.compile(r"\b(?:[A-Z]{2,}(?:-[A-Z]+)*|\d[\d.]*)(?![\w-])"), re.compile(r"\bversion (\d[\d.]*)", re.I)
 
 
 def templates_of_the_package() -> dict[str, list[str]]:
@@ -107,6 +111,8 @@ class Template:
         self.most = int(MOST_DIFFERENT * self.n)
         self.masks, self.back = _masks(self.words), _masks(self.words[::-1])
         self.bag = Counter(self.words)
+        named = _NAMED.findall(text) if self.n <= NOTICE else _VERSION.findall(text) if self.n <= HEADER else []
+        self.named = {w for x in named for w in words_of(x)}
         self.given = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(
             " ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
@@ -177,6 +183,8 @@ class Scanner:
             for lo, hi in t.windows(cues, len(words)):
                 for start, end, distance in t.spans(words, lo, hi):
                     span = words[start:end]
+                    if not t.named.issubset(span):
+                        continue
                     raw = " ".join(span).encode()
                     gain = len(self.alone.compress(raw)) - len(t.given.compress(raw))
                     if gain > 0:

@@ -219,3 +219,47 @@ def test_licenses_over_line_breaks(spark):
         rows.append((len(rows), text))
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     assert sorted((r.doc_id, r.licenses) for r in license_scan.scan(docs).collect()) == want
+
+
+def test_several_licenses_in_one_block():
+    """A text without line breaks gives all its licenses; scattered words and other names give none."""
+    scanner = license_scan.Scanner(license_scan.templates_of_the_package())
+
+    def names(text):
+        return [m[0] for m in scanner.find(text)]
+
+    filler = " some other words about nothing " * 40
+    notices = [(n, t) for n, many in license_scan.TEMPLATES.items() for t in ([many] if isinstance(many, str) else many)]
+    assert names(filler.join(t for _, t in notices)) == [n for n, _ in notices]
+    assert names("All rights reserved. " * 3) == ["proprietary"] * 3
+    assert names("Copyright: all the people, of all rights, had reserved and never reserved rights to a license") == []
+    assert names("copyright all day" + filler + "rights" + filler + "reserved") == []
+    assert names("Released under the BSD License.") == [] == names("Licensed under the Apache License, Version 1.1.")
+    assert names("Released under MIT License.") == ["MIT"]
+
+
+def test_license_alignment_against_plain_edit_distance():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        pool = [f"w{i}" for i in range(rng.integers(2, 9))]
+        template = license_scan.Template("t", " ".join(rng.choice(pool, rng.integers(1, 14))))
+        words = list(rng.choice(pool, rng.integers(0, 40)))
+        row, want = list(range(template.n + 1)), []
+        for end, w in enumerate(words, 1):
+            new = [0]
+            for i, t in enumerate(template.words, 1):
+                new.append(min(row[i - 1] + (t != w), row[i] + 1, new[i - 1] + 1))
+            row = new
+            if row[-1] <= template.most:
+                want.append((row[-1], end))
+        assert license_scan._ends(template.masks, template.n, template.most, words) == want
+        spans = template.spans(words, 0, len(words))
+        assert bool(spans) == bool(want) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        for start, end, distance in spans:
+            row = list(range(template.n + 1))
+            for j, w in enumerate(words[start:end], 1):
+                new = [j]
+                for i, t in enumerate(template.words, 1):
+                    new.append(min(row[i - 1] + (t != w), row[i] + 1, new[i - 1] + 1))
+                row = new
+            assert row[-1] == distance
