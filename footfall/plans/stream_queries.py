@@ -77,21 +77,6 @@ def _(spark, d):
     return _published(spark, lambda p, c: jobs.publish_complete(counts, p, c), "counts")
 
 
-@query("stream_occupancy", f"SELECT site_id, come - go AS value, CAST({MON_TIME} AS BIGINT) AS mon_time FROM counts", "counts")
-def _(spark, d):
-    s = _stream(spark, d, 21600)
-    return _published(spark, lambda p, c: jobs.stream_occupancy(
-        s, aps(spark), p, c, mon_time=lambda _: MON_TIME), "occupancy")
-
-
-@query("stream_trajectory_rows", f"""SELECT 0 AS site_id, CAST(-1 AS BIGINT) AS value,
-    CAST({MON_TIME} AS BIGINT) AS mon_time FROM traj""", "traj")
-def _(spark, d):
-    s, path = _stream(spark, d, 21600), fresh_path(spark, "points")
-    jobs.stream_trajectory_rows(s, aps(spark), path, fresh_path(spark, "checkpoint"), mon_time=lambda _: MON_TIME).awaitTermination()
-    return sinks.load_all(spark, path, RESULT)
-
-
 def _by_slices(spark, d, start, parts=4):
     """Let the stream `start(events)` read the events in several micro-batches, in the order of time."""
     folder, x = fresh_path(spark, "events"), table(spark, d, "events")
@@ -103,6 +88,23 @@ def _by_slices(spark, d, start, parts=4):
         start(spark.readStream.schema(EVENT_SCHEMA).parquet(folder)).awaitTermination()
 
 
+@query("stream_occupancy", f"SELECT site_id, come - go AS value, CAST({MON_TIME} AS BIGINT) AS mon_time FROM counts", "counts")
+def _(spark, d):
+    path, checkpoint = fresh_path(spark, "occupancy"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.stream_occupancy(
+        as_sightings(e, 21600), aps(spark), path, checkpoint, mon_time=lambda _: MON_TIME, carry=True))
+    return sinks.load_state(spark, path, schema=RESULT)
+
+
+@query("stream_trajectory_rows", f"""SELECT 0 AS site_id, CAST(-1 AS BIGINT) AS value,
+    CAST({MON_TIME} AS BIGINT) AS mon_time FROM traj""", "traj")
+def _(spark, d):
+    path, checkpoint = fresh_path(spark, "points"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.stream_trajectory_rows(
+        as_sightings(e, 21600), aps(spark), path, checkpoint, mon_time=lambda _: MON_TIME, carry=True))
+    return jobs.load_trajectory_rows(spark, path)
+
+
 def _visits(spark, d, policy):
     path, checkpoint = fresh_path(spark, "visits"), fresh_path(spark, "checkpoint")
     _by_slices(spark, d, lambda e: jobs.stream_visits(

@@ -6,17 +6,19 @@ replaces its own output and reads the same predecessor.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.clock import local_day
 from footfall.operators import flow, signal, stats, visits
-from footfall.operators.clean import with_load_time, with_site
-from footfall.schema import LOCAL_ZONE, RECENT_SECONDS, RESULT, VISIT
+from footfall.operators.clean import drop_static_devices, filter_rssi, with_load_time, with_site
+from footfall.operators.sequence import in_order
+from footfall.schema import LOCAL_ZONE, RECENT_SECONDS, RESULT, RSSI_FLOOR, VISIT
 from footfall.plans.jobs import realtime_traffic
-from footfall.sinks.tables import lines_of, load_state, one_row, save_state, versions
+from footfall.sinks.tables import lines_of, load_all, load_state, one_row, save_state, versions
 from footfall.sources.scans import land, read_lake
 
 
@@ -36,13 +38,91 @@ def each_batch(df: DataFrame, job: Callable[[DataFrame, int], None], checkpoint:
             .foreachBatch(job).trigger(**(trigger or {"availableNow": True})).start())
 
 
+MEANS = "device STRING, ap STRING, ts BIGINT, total DOUBLE, n BIGINT, left_rssi DOUBLE"
+HELD = "device STRING, ts BIGINT, ap STRING, rssi DOUBLE"
+ENDS = "site_id INT, device STRING, first STRUCT<ts: BIGINT, side: STRING>, last STRUCT<ts: BIGINT, side: STRING>, low STRING, high STRING"
+LATE_SECONDS = 600
+
+
+@contextmanager
+def carried_points(batch: DataFrame, batch_id: int, ap_dim: DataFrame, path: str, static_devices: DataFrame | None = None,
+                   delay: int = LATE_SECONDS) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Trajectory points over all batches so far: (points that became final with this batch, points that may still change).
+
+    All points that were ever final and those that may change are what `signal.trajectory` gives over all readings so
+    far. An instant is final once it lies `delay` seconds behind the newest reading; readings that come later than
+    that are dropped, as by a watermark. A peak is known when its right neighbour is final; until then every instant
+    that it may win stays open, with the known peaks of other access points. State per (device, ap): the readings
+    that are not final and the last final mean with its left neighbour; per open instant its known peaks.
+    """
+    spark = batch.sparkSession
+    means = load_state(spark, f"{path}/_means", before=batch_id, schema=MEANS)
+    (newest,) = one_row(means.agg(F.max("ts").alias("ts")), "ts")
+    s = filter_rssi(batch, RSSI_FLOOR)
+    if static_devices is not None:
+        s = drop_static_devices(s, static_devices)
+    if newest is not None:
+        s = s.where(F.col("ts") >= newest - delay)
+    sums = s.groupBy("device", "ap", "ts").agg(F.sum("rssi").alias("total"), F.count("rssi").alias("n"),
+                                               F.lit(None).cast("double").alias("left_rssi"))
+    known = means.unionByName(sums).groupBy("device", "ap", "ts").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("left_rssi").alias("left_rssi"))
+    known = in_order(known.withColumn("rssi", F.round(F.col("total") / F.col("n"))), ["device", "ap"],
+                     prev={"rssi_prev": "rssi"}, following={"rssi_next": "rssi", "ts_next": "ts"})
+    known = known.withColumn("rssi_prev", F.coalesce("rssi_prev", "left_rssi")).persist()
+    try:
+        (newest,) = one_row(known.agg(F.max("ts").alias("ts")), "ts")
+        final = 0 if newest is None else newest - delay
+        up, down = F.col("rssi") > F.col("rssi_prev"), F.col("rssi") > F.col("rssi_next")
+        first, last = F.col("rssi_prev").isNull(), F.col("rssi_next").isNull()
+        peak = F.coalesce((up & down) | (up & last) | (first & down), F.lit(False))
+        settled = (F.col("ts") < final) & F.col("ts_next").isNotNull() & (F.col("ts_next") < final)
+        held_cols = ["device", "ts", "ap", "rssi"]
+        may_win = ~settled & ((F.col("ts") >= final) | first | up)
+        still_open = known.where(may_win).select("device", "ts").distinct().withColumn("_open", F.lit(True))
+        decided = known.where(settled & peak).select(*held_cols).unionByName(
+            load_state(spark, f"{path}/_held", before=batch_id, schema=HELD).select(*held_cols))
+        decided = decided.join(still_open, ["device", "ts"], "left")
+        held = decided.where("_open").select(*held_cols)
+        closed = decided.where("_open IS NULL").select(*held_cols)
+        save_state(known.where(~settled).select("device", "ap", "ts", "total", "n", F.col("rssi_prev").alias("left_rssi")),
+                   f"{path}/_means", batch_id)
+        save_state(held, f"{path}/_held", batch_id)
+
+        def points(peaks: DataFrame) -> DataFrame:
+            return signal.strongest_per_instant(with_site(peaks, ap_dim)).select("device", "ts", "side", "site_id", "rssi")
+
+        yield points(closed), points(held.unionByName(known.where(~settled & peak).select(*held_cols)))
+    finally:
+        known.unpersist()
+
+
+def _ends(points: DataFrame) -> DataFrame:
+    at = F.struct("ts", "side")
+    return points.where(F.col("side").isNotNull()).select(
+        "site_id", "device", at.alias("first"), at.alias("last"), F.col("side").alias("low"), F.col("side").alias("high"))
+
+
+def _merged_ends(ends: DataFrame) -> DataFrame:
+    return ends.groupBy("site_id", "device").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                                 F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def occupancy_job(ap_dim: DataFrame, path: str, static_devices: DataFrame | None = None,
-                  mon_time: Callable[[int], int] | None = None) -> Callable[[DataFrame, int], None]:
+                  mon_time: Callable[[int], int] | None = None, carry: bool = False,
+                  delay: int = LATE_SECONDS) -> Callable[[DataFrame, int], None]:
     """Trajectories of the batch -> net flow per site -> last published value plus it -> publish.
 
     Each version holds every site known so far, so the newest one is all the
     next batch has to read.
+
+    With `carry` peaks and moves reach over batches (`carried_points`): each version is the net flow of all readings
+    so far, however they are cut into batches. Entries and exits of a device at a site alternate, so its net flow is
+    given by the sides of its first and last point; access points need the sides inside and outside, or none.
     """
+    if carry and not ap_dim.where(~F.col("side").isin("inside", "outside")).isEmpty():
+        raise ValueError("carry needs access points with the sides inside and outside, or none")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         base = load_state(spark, path, before=batch_id, schema=RESULT)
@@ -51,29 +131,57 @@ def occupancy_job(ap_dim: DataFrame, path: str, static_devices: DataFrame | None
         value = flow.add_base(base.select("site_id", F.col("value").alias("base")), net)
         now = mon_time(batch_id) if mon_time else None
         save_state(with_load_time(value, now), path, batch_id)
-    return run
+
+    def run_carried(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with carried_points(batch, batch_id, ap_dim, path, static_devices, delay) as (closed, still_open):
+            before = load_state(spark, f"{path}/_ends", before=batch_id, schema=ENDS)
+            save_state(_merged_ends(before.unionByName(_ends(closed))), f"{path}/_ends", batch_id)
+            ends = _merged_ends(load_state(spark, f"{path}/_ends", before=batch_id + 1).unionByName(_ends(still_open)))
+            inside = [(F.col(f"{c}.side") == "inside").cast("bigint") for c in ("last", "first")]
+            value = ends.where("low <> high").groupBy("site_id").agg(F.sum(inside[0] - inside[1]).alias("value"))
+            save_state(with_load_time(value, mon_time(batch_id) if mon_time else None), path, batch_id)
+    return run_carried if carry else run
 
 
 def stream_occupancy(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str,
                      static_devices: DataFrame | None = None, trigger: dict | None = None,
-                     mon_time: Callable[[int], int] | None = None):
-    return each_batch(s, occupancy_job(ap_dim, path, static_devices, mon_time), checkpoint, trigger=trigger)
+                     mon_time: Callable[[int], int] | None = None, carry: bool = False, delay: int = LATE_SECONDS):
+    return each_batch(s, occupancy_job(ap_dim, path, static_devices, mon_time, carry, delay), checkpoint, trigger=trigger)
 
 
 def trajectory_rows_job(ap_dim: DataFrame, path: str, static_devices: DataFrame | None = None,
-                        mon_time: Callable[[int], int] | None = None) -> Callable[[DataFrame, int], None]:
-    """One row (site_id, value -1, time) per trajectory point of the batch; `load_all` reads those of all batches."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        traj = signal.trajectory(batch, ap_dim, static_devices)
+                        mon_time: Callable[[int], int] | None = None, carry: bool = False,
+                        delay: int = LATE_SECONDS) -> Callable[[DataFrame, int], None]:
+    """One row (site_id, value -1, time) per trajectory point of the batch; `load_all` reads those of all batches.
+
+    With `carry` a version has the points that became final with the batch, over all batches (`carried_points`);
+    `load_trajectory_rows` reads them and those that may still change.
+    """
+    def publish(traj: DataFrame, to: str, batch_id: int) -> None:
         rows = traj.select(F.lit(0).alias("site_id"), F.lit(-1).cast("bigint").alias("value"))
-        save_state(with_load_time(rows, mon_time(batch_id) if mon_time else None), path, batch_id)
-    return run
+        save_state(with_load_time(rows, mon_time(batch_id) if mon_time else None), to, batch_id)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        publish(signal.trajectory(batch, ap_dim, static_devices), path, batch_id)
+
+    def run_carried(batch: DataFrame, batch_id: int) -> None:
+        with carried_points(batch, batch_id, ap_dim, path, static_devices, delay) as (closed, still_open):
+            publish(closed, path, batch_id)
+            publish(still_open, f"{path}/_open", batch_id)
+    return run_carried if carry else run
+
+
+def load_trajectory_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that `stream_trajectory_rows` with `carry` has published so far: the final ones and the last open ones."""
+    cols = [f.name for f in RESULT]
+    return load_all(spark, path, RESULT).select(*cols).unionByName(load_state(spark, f"{path}/_open", schema=RESULT).select(*cols))
 
 
 def stream_trajectory_rows(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str,
                            static_devices: DataFrame | None = None, trigger: dict | None = None,
-                           mon_time: Callable[[int], int] | None = None):
-    return each_batch(s, trajectory_rows_job(ap_dim, path, static_devices, mon_time), checkpoint, trigger=trigger)
+                           mon_time: Callable[[int], int] | None = None, carry: bool = False, delay: int = LATE_SECONDS):
+    return each_batch(s, trajectory_rows_job(ap_dim, path, static_devices, mon_time, carry, delay), checkpoint, trigger=trigger)
 
 
 VISIT_COLUMNS = ("device", "site_id", "start_ts", "end_ts")

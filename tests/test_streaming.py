@@ -1,6 +1,7 @@
 """Streams over several micro-batches against the batch operators."""
 
 import os
+import random
 import uuid
 
 import pytest
@@ -178,3 +179,25 @@ def test_refresh_counts_a_device_once_over_batches(spark, drops, dim, rows, tmp_
     out, cp = _paths(tmp_path)
     jobs.refresh_traffic(s, dim, str(tmp_path / "lake"), out, cp, mon_time=lambda b: b).awaitTermination()
     assert [rows(load_state(spark, out, before=v + 1)) for v in range(3)] == [[(1, 2, 0)], [(1, 3, 1)], [(1, 1, 2)]]
+
+
+@pytest.mark.parametrize("seed, delay", [(1, 0), (2, 600)])
+def test_carried_points_do_not_depend_on_the_cuts(spark, dim, sightings, rows, tmp_path, seed, delay):
+    """After every batch of a random cut: net flow and number of points are those of all readings so far."""
+    rng = random.Random(seed)
+    data = [(rng.choice("DE"), rng.choice("OIPJX"), rng.randint(-80, -40), rng.randrange(0, 9000, 30)) for _ in range(400)]
+    # out of order by up to `delay` seconds
+    data.sort(key=lambda r: r[3] + rng.randint(0, delay))
+    cuts = [0, *sorted(rng.sample(range(1, len(data)), 4)), len(data)]
+    out, points = _paths(tmp_path)
+    occupancy = jobs.occupancy_job(dim, out, mon_time=lambda b: b, carry=True, delay=delay)
+    trajectory = jobs.trajectory_rows_job(dim, points, mon_time=lambda b: b, carry=True, delay=delay)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        for _ in range(2 if i == 2 else 1):  # a batch that is repeated changes nothing
+            occupancy(sightings(data[a:b]), i)
+            trajectory(sightings(data[a:b]), i)
+        traj = signal.trajectory(sightings(data[:b]), dim)
+        net = flow.net_flow(flow.come_go_counts(flow.side_moves(traj)))
+        assert rows(load_state(spark, out), "site_id", "value") == rows(net, "site_id", "net")
+        assert jobs.load_trajectory_rows(spark, points).count() == traj.count()
+    assert load_state(spark, f"{out}/_means").count() < len(data) / 2
