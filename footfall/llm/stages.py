@@ -26,12 +26,21 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by five-word shingle similarity of 0.8 or more the smallest doc_id stays.
 
-    Rows with a null doc_id stay, as do texts without words.
+    Rows are told apart by a 64-bit hash of doc_id and text, so an id may come with several texts and ids may be null:
+    of a component the row with the smallest (doc_id, hash) stays, null ids last. Rows equal in both stay or go
+    together; texts without words stay.
     """
     session(spark)
-    found = jaccard_join.jaccard_components(docs, size=5, percent=80)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    found = jaccard_join.jaccard_components(docs.select(key.alias("doc_id"), "text"), size=5, percent=80)
+    found = stored(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "near-components")
+    several = found.where("_key <> component_id").select("component_id").distinct()
+    ids = docs.select(key.alias("_key"), "doc_id").distinct()
+    members = stored(found.join(several, "component_id").join(ids, "_key").select(
+        "component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("row")), "near-members")
+    kept = members.groupBy("component_id").agg(F.min("row").alias("kept"))
+    gone = stored(members.join(kept, "component_id").where("row._key <> kept._key").select(F.col("row._key").alias("_gone")).distinct(), "near-copies")
+    return docs.join(gone, key == gone["_gone"], "left_anti")
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

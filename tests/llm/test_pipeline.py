@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from footfall.llm import toxicity
+from footfall.llm import stages, toxicity
 
 
 def _shingles(text):
@@ -70,3 +70,16 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == [c.split()[0] for c in schema.split(", ")] and docs.count() == 0, name
+
+
+def test_near_copies_by_id_and_text(spark, tmp_path):
+    """An id with two texts, null ids, near copies of the same id."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10 ** 6)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, c + " tail"), (None, d), (None, d + " tail"), (None, b + " tail"),
+            (4, None), (5, ""), (None, "  "), (6, d[::-1])]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = [(r.doc_id, r.text) for r in stages.no_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert len(got) == 8
+    assert {(1, a), (2, b), (4, None), (5, ""), (None, "  "), (6, d[::-1])} <= set(got)
+    assert sum(i == 3 for i, _ in got) == 1 and sum(t is not None and t.startswith(d) for _, t in got) == 1
