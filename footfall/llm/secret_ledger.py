@@ -39,6 +39,8 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", "[0-9a-f]+", 0, 24),
 )
+# Slices of a table that the query works off one after the other, the ledger written in between.
+INCREMENTS = 2
 LEDGER = "blob STRING, rule STRING, spans ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>"
 
 
@@ -99,6 +101,14 @@ def update(spark: SparkSession, docs: DataFrame, ledger: DataFrame | None = None
     return new if ledger is None else ledger.select("blob", "rule", "spans").unionByName(new)
 
 
+def in_increments(spark: SparkSession, docs: DataFrame, ledger: DataFrame | None = None, increments: int = INCREMENTS) -> DataFrame:
+    """The ledger with the entries of all docs added slice by slice; each slice scans only what the ledger lacks by then."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(increments))
+    for i in range(increments):
+        ledger = update(spark, docs.where(part == i), ledger)
+    return ledger
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of docs: doc_id, found: sorted array of (start, rank of the rule, stop, kind), empty if none."""
     keyed = F.lit(None).cast("struct<rank:int,kind:string>")
@@ -124,7 +134,7 @@ def secrets(spark: SparkSession, docs: DataFrame, ledger: DataFrame | None = Non
 
     Repeated rows are each reported; an empty table gives no rows. This method adds no spans beyond the three kinds.
     """
-    found = findings(docs, update(spark, docs, ledger))
+    found = findings(docs, in_increments(spark, docs, ledger))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")

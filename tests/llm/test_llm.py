@@ -1,6 +1,7 @@
 """The document operators against plain versions, on small frames with nulls, empty and repeated texts."""
 
 import base64
+import dataclasses
 import hashlib
 import textwrap
 import zlib
@@ -263,3 +264,28 @@ def test_license_alignment_against_plain_edit_distance():
                     new.append(min(row[i - 1] + (t != w), row[i] + 1, new[i - 1] + 1))
                 row = new
             assert row[-1] == distance
+
+
+def test_ledger_increments(docs, spark, monkeypatch):
+    """Only a new blob and a raised rule version are scanned; the query's second slice skips the blobs of the first."""
+    ledger = secret_ledger.update(spark, docs)
+    new = spark.createDataFrame([(70, "token = abcdefgh")], "doc_id BIGINT, text STRING")
+    more = docs.select("doc_id", "text").unionByName(new)
+    keys = sorted(r.key for r in secret_ledger.RULES)
+    assert sorted((r.blob, r.rule) for r in secret_ledger.scan(more, ledger).collect()) == [(sha("token = abcdefgh"), k) for k in keys]
+    ledger = secret_ledger.update(spark, more, ledger)
+    raised = (dataclasses.replace(secret_ledger.RULES[0], version=2), *secret_ledger.RULES[1:])
+    got = sorted((r.blob, r.rule) for r in secret_ledger.scan(more, ledger, raised).collect())
+    blobs = {sha(t or "") for _, t in ROWS} | {sha("token = abcdefgh")}
+    assert got == sorted((b, raised[0].key) for b in blobs)
+    seen, scan = [], secret_ledger.scan
+
+    def watched(d, known=None, *a):
+        x = scan(d, known, *a)
+        seen.append((known is not None, [r.blob for r in x.collect()]))
+        return x
+
+    monkeypatch.setattr(secret_ledger, "scan", watched)
+    same = spark.createDataFrame([(i, "password=hunter2hunter2") for i in range(20)], "doc_id BIGINT, text STRING")
+    assert secret_ledger.secrets(spark, same).count() == 20
+    assert [k for k, _ in seen] == [False, True] and len(seen[0][1]) == 3 and seen[1][1] == []
