@@ -1,7 +1,7 @@
 """Source divergence audit: how far the word use of sources of one language lies apart, and by which terms.
 
 Counting sorts pointers to word starts instead of hashing words. Within a task the bytes of the texts stay where Arrow
-put them; every word is a pointer into them. The pointers of a slice (about 16 MB of texts, cut by language and
+put them; every word is a pointer into them. The pointers of a slice (about 8 MB of texts, cut by language and
 source) are sorted by a multikey quicksort whose characters are eight bytes wide: the slice is sorted by the first
 character, and every run of equal ones is a smaller slice that is sorted by the next. A run that stays equal to its
 words' ends is a term; its length is the count, and the changes of document within it are the document frequency.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import stored
 
-SLICE_BYTES = 16 << 20
-CELLS = 1 << 20
+SLICE_BYTES = 8 << 20
+CELLS = 1 << 16
 LEAST_DOCS, TOP, UNIT, EXTRA = 30, 50, 10 ** 9, 5
 
 _BYTES = np.arange(256, dtype=np.uint8)
