@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from footfall.operators import clean, traffic
+from footfall.functions.strings import wire_line
 from footfall.plans.jobs import entry_exit_report
 from footfall.plans.queries import query
 from footfall.plans.tables import EVENT_SCHEMA, TICK, aps, as_sightings, raw_sightings, sightings, stream_events, table, vendors, wire_lines
@@ -17,7 +18,8 @@ from footfall.session import fresh_path
 from footfall.sinks import tables as sinks
 from footfall.sources import scans
 from footfall.streaming import jobs, operators
-from footfall.streaming.sources import file_lines, stream_scans
+from footfall.streaming.buffers import BUFFERED
+from footfall.streaming.sources import file_lines, stream_scans, stream_tail
 
 MON_TIME = 1706659200
 
@@ -61,14 +63,14 @@ def _(spark, d):
     return _appended(spark, operators.stream_mean_rssi(clean.filter_rssi(_stream(spark, d, 21600))), "means")
 
 
-@query("device_buffer", """, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site_id, device, ap ORDER BY ts, seq) AS gap FROM rsite),
+@query("buffer_digest", """, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site_id, device, ap ORDER BY ts, seq) AS gap FROM rsite),
     m AS (SELECT *, sum(CASE WHEN gap <= 9273 THEN 0 ELSE 1 END) OVER (
     PARTITION BY site_id, device, ap ORDER BY ts, seq) AS no FROM g)
     SELECT site_id, device, ap, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS readings, min(rssi) AS min_rssi,
     max(rssi) AS max_rssi FROM m GROUP BY site_id, device, ap, no
     HAVING max(ts) + 9273 <= (SELECT max(ts) - 600 FROM r)""", "rsite")
 def _(spark, d):
-    return _appended(spark, operators.device_buffer(clean.with_site(_stream(spark, d), aps(spark))), "buffers")
+    return _appended(spark, operators.buffer_digest(clean.with_site(_stream(spark, d), aps(spark))), "buffers")
 
 
 @query("running_count", "SELECT device, ap, count(*) AS n FROM r GROUP BY device, ap", "r")
@@ -88,6 +90,32 @@ def _by_slices(spark, d, start, parts=4):
         start(spark.readStream.schema(EVENT_SCHEMA).parquet(folder)).awaitTermination()
 
 
+@query("device_buffer", """, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site_id, device, ap ORDER BY ts, seq) AS gap FROM rsite),
+    m AS (SELECT *, sum(CASE WHEN gap <= 9273 THEN 0 ELSE 1 END) OVER (
+    PARTITION BY site_id, device, ap ORDER BY ts, seq) AS no FROM g),
+    b AS (SELECT *, min(ts) OVER w AS first_ts, max(ts) OVER w AS last_ts FROM m WINDOW w AS (PARTITION BY site_id, device, ap, no))
+    SELECT site_id, device, ap, first_ts, ts, rssi FROM b WHERE last_ts + 9273 <= (SELECT max(ts) - 600 FROM r)""", "rsite")
+def _(spark, d):
+    path, checkpoint = fresh_path(spark, "buffers"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.stream_buffers(clean.with_site(as_sightings(e, 1), aps(spark)), path, checkpoint))
+    return spark.read.schema(BUFFERED).parquet(path)
+
+
+@query("stream_tail", """SELECT device, rssi, ts, ap FROM r, (SELECT min(ts) AS lo, max(ts) AS hi FROM r)
+    WHERE floor((ts - lo) * 4 / (hi - lo + 1)) > 0""", "r")
+def _(spark, d):
+    """The first quarter of the sightings is there before the query starts; it is history."""
+    root, path, checkpoint = (fresh_path(spark, n) for n in ("scans", "tail", "checkpoint"))
+    s = raw_sightings(spark, d)
+    lo, hi = sinks.one_row(s.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")), "lo", "hi")
+    for i in range(4 if lo is not None else 0):
+        part = s.where(F.floor((F.col("ts") - lo) * 4 / (hi - lo + 1)) == i)
+        part.select(wire_line("device", "rssi", "ts").alias("value"), "ap").write.partitionBy("ap").mode("append").text(root)
+        jobs.stream_to(stream_tail(spark, root), path, checkpoint).awaitTermination()
+    found = spark.read.schema("device STRING, rssi DOUBLE, ts BIGINT, ap STRING").parquet(path)
+    return found.withColumn("ap", F.regexp_replace("ap", "^ap=", ""))
+
+
 @query("stream_occupancy", f"SELECT site_id, come - go AS value, CAST({MON_TIME} AS BIGINT) AS mon_time FROM counts", "counts")
 def _(spark, d):
     path, checkpoint = fresh_path(spark, "occupancy"), fresh_path(spark, "checkpoint")

@@ -27,7 +27,7 @@ def ap_from_path(path: Column | None = None) -> Column:
 
 def day_from_path(path: Column | None = None) -> Column:
     path = F.col("_metadata.file_path") if path is None else path
-    return F.to_date(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(\d{8})", 1), "yyyyMMdd")
+    return F.try_to_date(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(\d{8})", 1), "yyyyMMdd")
 
 
 def split_lines(lines: DataFrame, layout: str = "v4", value: str = "value") -> DataFrame:

@@ -16,10 +16,11 @@ from footfall.functions.clock import local_day
 from footfall.operators import flow, signal, stats, visits
 from footfall.operators.clean import drop_static_devices, filter_rssi, with_load_time, with_site
 from footfall.operators.sequence import in_order
-from footfall.schema import LOCAL_ZONE, RECENT_SECONDS, RESULT, RSSI_FLOOR, VISIT
+from footfall.schema import IDLE_SECONDS, LOCAL_ZONE, RECENT_SECONDS, RESULT, RSSI_FLOOR, VISIT
 from footfall.plans.jobs import realtime_traffic
 from footfall.sinks.tables import lines_of, load_all, load_state, one_row, save_state, versions
 from footfall.sources.scans import land, read_lake
+from footfall.streaming.buffers import device_buffer, rocksdb_state
 
 
 def stream_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -242,6 +243,13 @@ def stream_visits(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str, s
     return each_batch(s, visits_job(ap_dim, path, seconds, policy, every, origin), checkpoint, trigger=trigger)
 
 
+def stream_buffers(s: DataFrame, path: str, checkpoint: str, idle_seconds: int = IDLE_SECONDS, delay: str | None = None,
+                   trigger: dict | None = None):
+    """Write the readings of every buffer (`buffers.device_buffer`) once a silence has closed it."""
+    with rocksdb_state(s.sparkSession):
+        return stream_to(device_buffer(s, idle_seconds, delay), path, checkpoint, trigger=trigger)
+
+
 def stream_land(s: DataFrame, path: str, checkpoint: str, tz: str = LOCAL_ZONE, salt: str | None = None,
                 trigger: dict | None = None):
     """Append every sighting to the lake, each batch in partitions of its own."""

@@ -48,12 +48,10 @@ def running_count(s: DataFrame, keys: Sequence[str]) -> DataFrame:
     return s.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def device_buffer(s: DataFrame, idle_seconds: int = IDLE_SECONDS, delay: str = DELAY) -> DataFrame:
-    """Per (site, device, access point): a buffer that closes after a silence (append mode).
+def buffer_digest(s: DataFrame, idle_seconds: int = IDLE_SECONDS, delay: str = DELAY) -> DataFrame:
+    """Per (site, device, access point): span, number and range of the readings up to a silence (append mode).
 
-    The state of a buffer is a fixed-size digest - span, number of readings,
-    weakest and strongest signal - whatever the length of the stay. The
-    readings themselves belong in the lake, where (device, ts) finds them.
+    The state is of a fixed size whatever the length of the stay; `buffers.device_buffer` holds the readings.
     """
     x = with_event_time(s, delay)
     w = F.session_window("event_time", f"{int(idle_seconds)} seconds")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.sources.scans import ap_from_path, day_from_path, parse_lines
+from footfall.streaming.tail import TailSource
 
 
 def kafka_lines(spark: SparkSession, servers: str, topics: str, options: Mapping[str, str] | None = None) -> DataFrame:
@@ -31,13 +32,19 @@ def stream_scans(lines: DataFrame, layout: str = "v5") -> DataFrame:
     return parse_lines(lines.select("value"), layout)
 
 
-def stream_tail(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Follow `<root>/<ap>/<day...>` drops: new lines with their access point and day.
+def tail_lines(spark: SparkSession, root: str, names: str = "*", history: bool = False) -> DataFrame:
+    """(path, start, value): lines appended to the files below a folder, with the byte each begins at.
 
-    The source tracks files, not bytes, so producers drop a new file for every
-    batch of lines (named `<yyyyMMdd>-<anything>`) instead of appending to one.
+    Lines that exist when the query first starts are skipped, unless `history` is set; a line counts once its line
+    break is there. `names` limits the files, e.g. "20240115*".
     """
-    lines = file_lines(spark, root, files_per_trigger)
+    spark.dataSource.register(TailSource)
+    return spark.readStream.format(TailSource.name()).option("names", names).option("history", history).load(root)
+
+
+def stream_tail(spark: SparkSession, root: str, names: str = "*", history: bool = False) -> DataFrame:
+    """Follow `<root>/<ap>/<yyyyMMdd...>` files that grow or appear: new lines with their access point and day."""
+    lines = tail_lines(spark, root, names, history)
     return parse_lines(lines.select("value", ap_from_path(F.col("path")).alias("ap"),
                                     day_from_path(F.col("path")).alias("day")), "scan")
 

@@ -55,9 +55,9 @@ def test_mean_rssi(spark, drops, rows, tmp_path):
     assert ("A", 10, "O", -51.0) in got and len(got) == 5
 
 
-def test_device_buffer(spark, drops, dim, rows, tmp_path):
+def test_buffer_digest(spark, drops, dim, rows, tmp_path):
     s = clean.with_site(drops([("A", "O", -50, 0)], [("A", "O", -40, 100)], [("A", "O", -60, 900)], [("Z", "I", -50, 90000)]), dim)
-    got = rows(_appended(spark, operators.device_buffer(s, 300), tmp_path), "device", "first_ts", "last_ts", "readings", "max_rssi")
+    got = rows(_appended(spark, operators.buffer_digest(s, 300), tmp_path), "device", "first_ts", "last_ts", "readings", "max_rssi")
     assert got == [("A", 0, 100, 2, -40.0), ("A", 900, 900, 1, -60.0)]
 
 
@@ -135,7 +135,7 @@ def test_tail_takes_new_files(spark, rows, tmp_path):
     root, (out, cp) = tmp_path / "tail", _paths(tmp_path)
     (root / "A1").mkdir(parents=True)
     (root / "A1" / "20170502-0").write_text("D|-40|1\n")
-    df = stream_tail(spark, str(root)).selectExpr("device", "ap", "CAST(day AS STRING) AS day", "ts")
+    df = stream_tail(spark, str(root), history=True).selectExpr("device", "ap", "CAST(day AS STRING) AS day", "ts")
     jobs.stream_to(df, out, cp).awaitTermination()
     (root / "A1" / "20170503-0").write_text("D|-40|2\n")
     jobs.stream_to(df, out, cp).awaitTermination()
