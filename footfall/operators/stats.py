@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.functions.special import student_p
 from footfall.operators.signal import mean_rssi
 
 
@@ -154,18 +157,66 @@ def feature_vectors(df: DataFrame, cols: Sequence[str], out: str = "features") -
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
 
 
-def peak_interval_clusters(intervals: DataFrame, k: int = 2, value: str = "seconds", seed: int = 7) -> DataFrame:
-    """Centres of a k-means clustering of peak intervals; k rows."""
-    from pyspark.ml.clustering import KMeans
-    points = feature_vectors(intervals.select(F.col(value).cast("double").alias(value)), [value])
-    model = KMeans(k=k, seed=seed).fit(points)
-    centres = sorted(float(c[0]) for c in model.clusterCenters())
-    return intervals.sparkSession.createDataFrame(
-        list(enumerate(centres)), "cluster INT, centre DOUBLE")
+def _best_cuts(values: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
+    """Ends of the k stretches of sorted values with the least sum of squares within them; of ties the first ones.
+
+    Sums of a stretch are differences of prefix sums. The best last cut never falls as the end moves on, which halves
+    the search again and again: k * m * log m steps for m values.
+    """
+    m = len(values)
+    x = values - np.average(values, weights=weights)  # smaller numbers, smaller errors
+    w, s, q = (np.concatenate([[0.0], np.cumsum(v)]) for v in (weights, weights * x, weights * x * x))
+
+    def within(starts: np.ndarray, end: int) -> np.ndarray:
+        return q[end] - q[starts] - (s[end] - s[starts]) ** 2 / (w[end] - w[starts])
+
+    cost = np.array([0.0] + [float(within(np.array([0]), e)[0]) for e in range(1, m + 1)])
+    cuts = []
+    for parts in range(2, k + 1):
+        new, at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+        todo = [(parts, m, parts - 1, m - 1)]  # ends, and cuts that can be best for them
+        while todo:
+            first, last, low, high = todo.pop()
+            if first > last:
+                continue
+            end = (first + last) // 2
+            starts = np.arange(low, min(high, end - 1) + 1)
+            all_costs = cost[starts] + within(starts, end)
+            best = int(np.argmin(all_costs))
+            new[end], at[end] = all_costs[best], starts[best]
+            todo += [(first, end - 1, low, at[end]), (end + 1, last, at[end], high)]
+        cost = new
+        cuts.append(at)
+    ends = [m]
+    for at in reversed(cuts):
+        ends.append(int(at[ends[-1]]))
+    return ends[::-1]
+
+
+def peak_interval_clusters(intervals: DataFrame, k: int = 2, value: str = "seconds") -> DataFrame:
+    """(cluster, centre, n, low, high) of the exact k-means clustering of intervals, by rising centre.
+
+    Clusters on a line are stretches of the sorted values, so only counts per distinct value are needed, and the best
+    cuts follow from their prefix sums. The counts are taken by all tasks; one task works on the counts, of which
+    there are as many as distinct values: for whole seconds at most the length of the period, whatever the number of
+    intervals. Nulls are left out; fewer distinct values than k give a cluster each.
+    """
+    def cluster(h: pd.DataFrame) -> pd.DataFrame:
+        h = h.sort_values("v", ignore_index=True)
+        values, n = h["v"].to_numpy(float), h["n"].to_numpy(float)
+        ends = _best_cuts(values, n, min(k, len(h)))
+        starts = [0, *ends[:-1]]
+        parts = [slice(a, z) for a, z in zip(starts, ends, strict=True)]
+        return pd.DataFrame({"cluster": range(len(parts)), "centre": [np.average(values[p], weights=n[p]) for p in parts],
+                             "n": [int(n[p].sum()) for p in parts], "low": [values[p][0] for p in parts],
+                             "high": [values[p][-1] for p in parts]})
+
+    counts = intervals.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).where("v IS NOT NULL")
+    return counts.groupBy().applyInPandas(cluster, "cluster INT, centre DOUBLE, n BIGINT, low DOUBLE, high DOUBLE")
 
 
 def welch(groups: DataFrame, a, b) -> DataFrame:
-    """Welch's t and degrees of freedom for two labels.
+    """Welch's t, degrees of freedom and two-sided p-value for two labels.
 
     `groups` holds (label, n, mean, var), as `group_moments` computes it in
     batch or on a stream.
@@ -176,9 +227,10 @@ def welch(groups: DataFrame, a, b) -> DataFrame:
     ea, eb = F.col("_var_a") / F.col("_n_a"), F.col("_var_b") / F.col("_n_b")
     # Undefined (null) rather than an error without variance.
     spread = ea * ea / (F.col("_n_a") - 1) + eb * eb / (F.col("_n_b") - 1)
-    return x.select(
+    x = x.select(
         F.try_divide(F.col("_mean_a") - F.col("_mean_b"), F.sqrt(ea + eb)).alias("t"),
         F.try_divide(F.pow(ea + eb, 2), spread).alias("df"))
+    return x.withColumn("p", student_p(F.col("t"), F.col("df")))
 
 
 def group_moments(df: DataFrame, label: str = "label", value: str = "value") -> DataFrame:

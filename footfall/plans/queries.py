@@ -6,6 +6,7 @@ DuckDB SQL over views of the tables. A query without SQL is checked by tests.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
@@ -143,7 +144,7 @@ def _sql(select: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    return "WITH " + ", ".join(f"{n} AS ({_CTE[n][1]})" for n in order) + " " + select if order else select
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({_CTE[n][1]})" for n in order) + " " + select if order else select
 
 
 def query(name: str, select: str | None = None, *needs: str):
@@ -876,9 +877,32 @@ def _(spark, d):
     return x.select(F.round("t", 4).alias("t"), F.round("df", 4).alias("df"))
 
 
-@query("peak_clusters")
+@query("ab_test_p", """, g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY event_type),
+    w AS (SELECT a.event_type AS a, b.event_type AS b, abs(a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, pow(a.v / a.n + b.v / b.n, 2) /
+    (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS df FROM g a JOIN g b ON a.event_type < b.event_type),
+    angle AS (SELECT *, atan(t / sqrt(df)) AS lo FROM w),
+    area AS (SELECT a, b, sum(pow(cos(lo + (pi() / 2 - lo) * i / 20000), df - 1) * CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * (any_value(pi() / 2 - lo)) AS tail, sum(pow(cos(pi() / 2 * i / 20000), df - 1) * CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * pi() / 2 AS whole FROM angle, range(20001) r(i) GROUP BY a, b)
+    SELECT a, b, round(tail / whole, 6) AS p FROM area""", "dim")
 def _(spark, d):
-    return stats.peak_interval_clusters(sessions.peak_intervals(jobs.peak_instants(sightings(spark, d), aps(spark))))
+    """Every two event types; the oracle integrates the density instead."""
+    moments = stats.group_moments(table(spark, d, "events"), "event_type", "value")
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    tests = [stats.welch(moments, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round("p", 6).alias("p"))
+             for i, a in enumerate(kinds) for b in kinds[i + 1:]]
+    return functools.reduce(lambda x, y: x.unionByName(y), tests)
+
+
+@query("peak_clusters", """, h AS (SELECT gap AS v, count(*) AS n FROM pgaps WHERE gap IS NOT NULL GROUP BY gap),
+    c AS (SELECT v, sum(n) OVER (ORDER BY v) AS n, sum(n * v) OVER (ORDER BY v) AS s, sum(n) OVER () AS nn, sum(n * v) OVER () AS ss,
+    lead(v) OVER (ORDER BY v) AS next, min(v) OVER () AS low, max(v) OVER () AS high FROM h),
+    cut AS (SELECT * FROM c WHERE next IS NOT NULL ORDER BY s::DOUBLE * s / n + (ss - s)::DOUBLE * (ss - s) / (nn - n) DESC, v LIMIT 1)
+    SELECT 0 AS cluster, round(s / n, 6) AS centre, n::BIGINT AS n, low::DOUBLE AS low, v::DOUBLE AS high FROM cut UNION ALL
+    SELECT 1, round((ss - s) / (nn - n), 6), (nn - n)::BIGINT, next::DOUBLE, high::DOUBLE FROM cut""", "pgaps")
+def _(spark, d):
+    found = stats.peak_interval_clusters(sessions.peak_intervals(jobs.peak_instants(sightings(spark, d), aps(spark))))
+    return found.withColumn("centre", F.round("centre", 6))
 
 
 # --- text -----------------------------------------------------------------------
@@ -912,6 +936,32 @@ def _(spark, d):
     return terms.term_counts(table(spark, d, "documents"), _stop_list(spark), _STOP_PATTERNS)
 
 
+# Terms in a fiftieth of the documents are the word list, so its length is bounded by fifty documents' words.
+@query("seg_terms", r""", lex AS (SELECT term, sum(n) AS n FROM terms GROUP BY term
+        HAVING count(*) * 50 >= (SELECT count(*) FROM documents)),
+    size AS (SELECT sum(n) AS total, max(length(term)) AS longest FROM lex),
+    runs AS (SELECT run, count(*) AS times FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS run FROM documents) GROUP BY run),
+    begin AS (SELECT run, unnest(range(length(run))) AS i FROM runs),
+    piece AS (SELECT run, i, j, substr(run, i + 1, j - i) AS term FROM (SELECT run, i,
+        unnest(range(i + 1, least(length(run), i + (SELECT longest FROM size)) + 1)) AS j FROM begin)),
+    edge AS (SELECT run, i, j, CASE WHEN l.term IS NULL THEN (round(1000000 * ln(total))::BIGINT + 5000000) * 1000 + 1
+        ELSE round(1000000 * ln(total / l.n))::BIGINT * 1000 + 1 END AS cost FROM piece LEFT JOIN lex l USING (term), size
+        WHERE l.term IS NOT NULL OR j = i + 1),
+    into_ AS (SELECT run, j, list({'i': i, 'cost': cost}) AS edges FROM edge GROUP BY run, j),
+    way AS (SELECT run, 0 AS j, [0::BIGINT] AS costs, [0::BIGINT] AS starts FROM runs UNION ALL
+        SELECT run, way.j + 1, list_append(costs, best.cost), list_append(starts, best.i) FROM way JOIN into_ USING (run),
+        LATERAL (SELECT list_min(list_transform(edges, lambda e: {'cost': costs[e.i + 1] + e.cost, 'i': e.i})) AS best) WHERE into_.j = way.j + 1),
+    back AS (SELECT run, starts, j AS z, starts[j + 1] AS a FROM way WHERE j = length(run) UNION ALL
+        SELECT run, starts, a, starts[a + 1] FROM back WHERE a > 0)
+    SELECT term, sum(times)::BIGINT AS n FROM (SELECT substr(run, a + 1, z - a) AS term, times FROM back JOIN runs USING (run)) GROUP BY term""", "terms")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    counts = terms.term_counts(docs, _stop_list(spark), _STOP_PATTERNS)
+    lexicon = counts.where(F.col("docs") * 50 >= docs.select(F.count("*")).scalar())
+    found = terms.segmented_terms(docs, terms.segmenter_of(lexicon))
+    return found.groupBy("term").agg(F.count("*").alias("n"))
+
+
 def _synonyms(spark, d):
     """Synonym lines: each brand with the part types sold under it."""
     p = table(spark, d, "part").select(F.lower("p_brand").alias("b"), F.lower("p_type").alias("t")).distinct()

@@ -1,8 +1,12 @@
+import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from footfall.functions.special import incomplete_beta, log_gamma, student_p
 from footfall.operators import stats, terms
 
 
@@ -78,3 +82,85 @@ def test_terms(spark, rows):
     assert rows(terms.term_counts(docs, stop, ["i."])) == [("2", 1, 1), ("cat", 3, 2), ("quick", 1, 1)]
     heads = terms.synonym_heads(spark.createDataFrame([("pet\tcat\tdog",)], "value STRING"))
     assert rows(terms.normalize_synonyms(found, heads).groupBy("term").agg(F.count("*"))) == [("2", 1), ("pet", 3), ("quick", 1)]
+
+
+def _plain_cost(values, ends):
+    cost, a = 0.0, 0
+    for z in ends:
+        part = values[a:z]
+        mean = sum(part) / len(part)
+        cost += sum((v - mean) ** 2 for v in part)
+        a = z
+    return cost
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_clusters_are_the_best_there_are(spark, seed):
+    """Against every choice of cuts; equal values, few distinct values, nulls."""
+    rng = random.Random(seed)
+    values = sorted(rng.choice([rng.randint(0, 9), rng.randint(0, 1000)]) for _ in range(rng.randint(1, 14)))
+    k = rng.randint(1, 4)
+    distinct = sorted(set(values))
+    few = min(k, len(distinct))
+    best = min(_plain_cost(values, [*cuts, len(values)])
+               for cuts in itertools.combinations([i for i in range(1, len(values)) if values[i] != values[i - 1]], few - 1))
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "seconds BIGINT")
+    got = stats.peak_interval_clusters(df, k).collect()
+    ends = list(itertools.accumulate(r.n for r in got))
+    assert [r.cluster for r in got] == list(range(few)) and ends[-1] == len(values)
+    assert _plain_cost(values, ends) == pytest.approx(best)
+    for r, a, z in zip(got, [0, *ends], ends):
+        assert (r.low, r.high) == (values[a], values[z - 1]) and r.centre == pytest.approx(sum(values[a:z]) / (z - a))
+    assert stats.peak_interval_clusters(df.limit(0)).count() == 0
+
+
+def test_many_values_are_cut_in_time():
+    ends = stats._best_cuts(np.arange(20_000.0), np.ones(20_000), 4)
+    assert ends == [5000, 10_000, 15_000, 20_000]
+
+
+def test_p_values(spark):
+    """Closed forms for 1, 2 and 4 degrees of freedom, tabulated values, the normal limit."""
+    cases = [(t, 1.0, 1 - 2 / math.pi * math.atan(t)) for t in (0.1, 1.0, 12.706204736, 700.0)]
+    cases += [(t, 2.0, 1 - t / math.sqrt(2 + t * t)) for t in (0.01, 1.0, 4.30265273)]
+    cases += [(t, 4.0, 1 - t / math.sqrt(4 + t * t) * (1 + 2 / (4 + t * t))) for t in (0.5, 2.0, 9.0)]
+    cases += [(2.228138852, 10.0, 0.05), (3.169272673, 10.0, 0.01), (2.042272456, 30.0, 0.05), (1.983971519, 100.0, 0.05)]
+    cases += [(x, 1e7, math.erfc(x / math.sqrt(2))) for x in (0.3, 1.959963985, 4.0)] + [(0.0, 5.0, 1.0), (None, 5.0, None), (1.0, None, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i INT, t DOUBLE, df DOUBLE, want DOUBLE")
+    got = df.select("i", student_p(F.col("t"), F.col("df")).alias("p"), student_p(-F.col("t"), F.col("df")).alias("q")).orderBy("i").collect()
+    for r, (_, _, want) in zip(got, cases):
+        assert (r.p, r.q) == ((None, None) if want is None else (pytest.approx(want, abs=1e-7),) * 2)
+    x = spark.createDataFrame([(v,) for v in (0.5, 1.0, 3.5, 120.0, 1e6)], "x DOUBLE").select("x", log_gamma(F.col("x")).alias("g"))
+    assert all(r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-10) for r in x.collect())
+    beta = spark.range(11).select((F.col("id") / 10).alias("x")).select("x", incomplete_beta(F.col("x"), F.lit(3.0), F.lit(2.0)).alias("b"))
+    assert all(r.b == pytest.approx(4 * r.x ** 3 - 3 * r.x ** 4, abs=1e-12) for r in beta.collect())
+
+
+def test_segmentation_takes_the_most_probable_path():
+    """Against all ways to cut, over random dictionaries."""
+    rng = random.Random(5)
+    for _ in range(300):
+        words = {"".join(rng.choices("abc", k=rng.randint(1, 4))): rng.randint(1, 60) for _ in range(rng.randint(1, 12))}
+        seg = terms.Segmenter(words)
+        total = sum(words.values())
+        run = "".join(rng.choices("abcd", k=rng.randint(1, 9)))
+        ways = []
+        for mask in range(1 << (len(run) - 1)):
+            cuts = [0, *[i + 1 for i in range(len(run) - 1) if mask >> i & 1], len(run)]
+            pieces = [run[a:z] for a, z in zip(cuts, cuts[1:])]
+            if all(p in words or len(p) == 1 for p in pieces):
+                cost = sum(round(1e6 * math.log(total / words[p])) if p in words else round(1e6 * math.log(total)) + terms.UNKNOWN for p in pieces)
+                ways.append((cost, len(pieces), [-len(p) for p in reversed(pieces)], pieces))
+        assert seg.cut(run) == min(ways)[3]
+
+
+def test_segmented_documents(spark, rows):
+    """Text without spaces; ambiguous strings, words of the user, unknown letters, nulls."""
+    listed = spark.createDataFrame([("研究", 50), ("研究生", 20), ("生命", 40), ("命", 5), ("起源", 30), ("三个", 9), ("和尚", 9), ("个", 30), ("", 4), ("坏", 0)], "term STRING, n BIGINT")
+    docs = spark.createDataFrame([("d1", "研究生命起源。三个和尚X坏"), ("d2", None), ("d3", ""), (None, "研究生")], "doc_id STRING, text STRING")
+    got = rows(terms.segmented_terms(docs, terms.segmenter_of(listed)))
+    assert got == [(None, 0, "研究生"), *[("d1", i, t) for i, t in enumerate(["研究", "生命", "起源", "三个", "和尚", "x", "坏"])]]
+    own = spark.createDataFrame([("研究生命",), ("x坏",)], "term STRING")
+    seg = terms.segmenter_of(listed, own, {"三个和尚": ["三", "个", "和尚"]})
+    assert seg.cut("研究生命起源三个和尚x坏") == ["研究生命", "起源", "三", "个", "和尚", "x坏"]
+    assert terms.segmenter_of(listed.limit(0)).cut("ab") == ["a", "b"] and seg.cut("") == []
