@@ -16,6 +16,7 @@ from footfall.plans.tables import EVENT_SCHEMA, TICK, aps, as_sightings, raw_sig
 from footfall.schema import RESULT
 from footfall.session import fresh_path
 from footfall.sinks import tables as sinks
+from footfall.sinks.log import append_batch, load_table, read_batches
 from footfall.sources import scans
 from footfall.streaming import jobs, operators
 from footfall.streaming.buffers import BUFFERED
@@ -73,12 +74,6 @@ def _(spark, d):
     return _appended(spark, operators.buffer_digest(clean.with_site(_stream(spark, d), aps(spark))), "buffers")
 
 
-@query("running_count", "SELECT device, ap, count(*) AS n FROM r GROUP BY device, ap", "r")
-def _(spark, d):
-    counts = operators.running_count(_stream(spark, d), ["device", "ap"])
-    return _published(spark, lambda p, c: jobs.publish_complete(counts, p, c), "counts")
-
-
 def _by_slices(spark, d, start, parts=4):
     """Let the stream `start(events)` read the events in several micro-batches, in the order of time."""
     folder, x = fresh_path(spark, "events"), table(spark, d, "events")
@@ -90,6 +85,13 @@ def _by_slices(spark, d, start, parts=4):
         start(spark.readStream.schema(EVENT_SCHEMA).parquet(folder)).awaitTermination()
 
 
+@query("running_count", "SELECT device, ap, count(*) AS n FROM r GROUP BY device, ap", "r")
+def _(spark, d):
+    path, checkpoint = fresh_path(spark, "counts"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.stream_counts(as_sightings(e, 1), ["device", "ap"], path, checkpoint))
+    return load_table(spark, path, ["device", "ap"], "device STRING, ap STRING, n BIGINT")
+
+
 @query("device_buffer", """, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site_id, device, ap ORDER BY ts, seq) AS gap FROM rsite),
     m AS (SELECT *, sum(CASE WHEN gap <= 9273 THEN 0 ELSE 1 END) OVER (
     PARTITION BY site_id, device, ap ORDER BY ts, seq) AS no FROM g),
@@ -155,17 +157,16 @@ def _(spark, d):
     AND (ts + 28800) // 86400 = (SELECT max((ts + 28800) // 86400) FROM r) GROUP BY ALL)
     QUALIFY w = max(w) OVER (PARTITION BY site_id)""", "rsite")
 def _(spark, d):
-    s = _stream(spark, d)
-    return _published(spark, lambda p, c: jobs.refresh_traffic(
-        s, aps(spark), fresh_path(spark, "lake"), p, c, mon_time=lambda _: MON_TIME), "traffic-now")
+    path, checkpoint = fresh_path(spark, "traffic-now"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.refresh_traffic(as_sightings(e, 1), aps(spark), path, checkpoint, mon_time=lambda _: MON_TIME))
+    return sinks.load_state(spark, path, schema=RESULT)
 
 
-@query("stream_mean_rssi_vendors", """SELECT device, ts, ap, round(avg(rssi)) AS rssi FROM r
-    WHERE ap IN ('AP0', 'AP1') AND substr(device, 1, 6) IN (SELECT prefix FROM oui)
-    GROUP BY device, ts, ap""", "r", "oui")
+@query("stream_mean_rssi_vendors", """, v AS (SELECT * FROM r WHERE ap IN ('AP0', 'AP1') AND substr(device, 1, 6) IN (SELECT prefix FROM oui))
+    SELECT device, ts, ap, round(avg(rssi)) AS rssi FROM v WHERE ts <= (SELECT max(ts) - 600 FROM v) GROUP BY device, ts, ap""", "r", "oui")
 def _(spark, d):
     s = clean.keep_known_vendors(clean.filter_aps(_stream(spark, d), ["AP0", "AP1"]), vendors(spark, d))
-    return _published(spark, lambda p, c: jobs.publish_complete(operators.stream_mean_rssi(s), p, c), "vendor-means")
+    return _appended(spark, operators.stream_mean_rssi(s), "vendor-means")
 
 
 @query("stream_ab_test", """, g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v
@@ -236,8 +237,9 @@ def _(spark, d):
     path = fresh_path(spark, "results")
     s = sightings(spark, d)
     seen = clean.with_site(s, aps(spark)).groupBy("site_id").agg(F.count_distinct("device").alias("value"))
-    sinks.append_results(clean.with_load_time(seen, 1), path)
+    append_batch(clean.with_load_time(seen, 1), path, 0)
     report = entry_exit_report(s, aps(spark), window=None)
     net = report.select("site_id", F.col("net").alias("value"))
-    sinks.append_results(clean.with_load_time(net, 2), path)
-    return spark.read.parquet(path)
+    for _ in range(2):  # repeated, it counts once
+        append_batch(clean.with_load_time(net, 2), path, 1)
+    return read_batches(spark, path, RESULT)

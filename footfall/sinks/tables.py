@@ -16,7 +16,7 @@ from footfall.operators.sets import device_series
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    """Append (site_id, value, mon_time) rows to a parquet table."""
+    """Append (site_id, value, mon_time) rows to a parquet table; `log.append_batch` appends a batch once if retried."""
     df.write.mode("append").parquet(path)
 
 
@@ -27,12 +27,17 @@ def append_results_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 1
      .jdbc(url, table, properties=dict(properties or {})))
 
 
-def save_state(df: DataFrame, path: str, version: int) -> None:
+def save_state(df: DataFrame, path: str, version: int, keep: int | None = None) -> None:
     """Write a snapshot as a version of its own; nothing that may be in use is overwritten.
 
-    Repeating a version replaces it, so a retried micro-batch is harmless.
+    Repeating a version replaces it, so a retried micro-batch is harmless. With `keep` the versions before the last so
+    many are deleted.
     """
     df.write.mode("overwrite").parquet(f"{path}/version={int(version)}")
+    if keep is not None:
+        fs, old = _folder(df.sparkSession, f"{path}/version={int(version) - keep}")
+        if fs.exists(old):
+            fs.delete(old, True)
 
 
 def _folder(spark: SparkSession, path: str):

@@ -6,7 +6,7 @@ replaces its own output and reads the same predecessor.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +17,9 @@ from footfall.operators import flow, signal, stats, visits
 from footfall.operators.clean import drop_static_devices, filter_rssi, with_load_time, with_site
 from footfall.operators.sequence import in_order
 from footfall.schema import IDLE_SECONDS, LOCAL_ZONE, RECENT_SECONDS, RESULT, RSSI_FLOOR, VISIT
-from footfall.plans.jobs import realtime_traffic
+from footfall.sinks.log import load_table, save_changes
 from footfall.sinks.tables import lines_of, load_all, load_state, one_row, save_state, versions
-from footfall.sources.scans import land, read_lake
+from footfall.sources.scans import land
 from footfall.streaming.buffers import device_buffer, rocksdb_state
 
 
@@ -42,7 +42,10 @@ def each_batch(df: DataFrame, job: Callable[[DataFrame, int], None], checkpoint:
 MEANS = "device STRING, ap STRING, ts BIGINT, total DOUBLE, n BIGINT, left_rssi DOUBLE"
 HELD = "device STRING, ts BIGINT, ap STRING, rssi DOUBLE"
 ENDS = "site_id INT, device STRING, first STRUCT<ts: BIGINT, side: STRING>, last STRUCT<ts: BIGINT, side: STRING>, low STRING, high STRING"
+END_KEYS = ["site_id", "device"]
 LATE_SECONDS = 600
+# Snapshots of a state that a retried batch or a reader may still want.
+KEEP_VERSIONS = 20
 
 
 @contextmanager
@@ -87,8 +90,8 @@ def carried_points(batch: DataFrame, batch_id: int, ap_dim: DataFrame, path: str
         held = decided.where("_open").select(*held_cols)
         closed = decided.where("_open IS NULL").select(*held_cols)
         save_state(known.where(~settled).select("device", "ap", "ts", "total", "n", F.col("rssi_prev").alias("left_rssi")),
-                   f"{path}/_means", batch_id)
-        save_state(held, f"{path}/_held", batch_id)
+                   f"{path}/_means", batch_id, KEEP_VERSIONS)
+        save_state(held, f"{path}/_held", batch_id, KEEP_VERSIONS)
 
         def points(peaks: DataFrame) -> DataFrame:
             return signal.strongest_per_instant(with_site(peaks, ap_dim)).select("device", "ts", "side", "site_id", "rssi")
@@ -136,9 +139,12 @@ def occupancy_job(ap_dim: DataFrame, path: str, static_devices: DataFrame | None
     def run_carried(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with carried_points(batch, batch_id, ap_dim, path, static_devices, delay) as (closed, still_open):
-            before = load_state(spark, f"{path}/_ends", before=batch_id, schema=ENDS)
-            save_state(_merged_ends(before.unionByName(_ends(closed))), f"{path}/_ends", batch_id)
-            ends = _merged_ends(load_state(spark, f"{path}/_ends", before=batch_id + 1).unionByName(_ends(still_open)))
+            before = load_table(spark, f"{path}/_ends", END_KEYS, ENDS, before=batch_id)
+            new = _merged_ends(_ends(closed))
+            met = before.join(new.select(*END_KEYS), END_KEYS, "left_semi")
+            save_changes(_merged_ends(met.unionByName(new)), f"{path}/_ends", batch_id, END_KEYS, ENDS)
+            now = load_table(spark, f"{path}/_ends", END_KEYS, ENDS, before=batch_id + 1)
+            ends = _merged_ends(now.unionByName(_ends(still_open)))
             inside = [(F.col(f"{c}.side") == "inside").cast("bigint") for c in ("last", "first")]
             value = ends.where("low <> high").groupBy("site_id").agg(F.sum(inside[0] - inside[1]).alias("value"))
             save_state(with_load_time(value, mon_time(batch_id) if mon_time else None), path, batch_id)
@@ -159,9 +165,9 @@ def trajectory_rows_job(ap_dim: DataFrame, path: str, static_devices: DataFrame
     With `carry` a version has the points that became final with the batch, over all batches (`carried_points`);
     `load_trajectory_rows` reads them and those that may still change.
     """
-    def publish(traj: DataFrame, to: str, batch_id: int) -> None:
+    def publish(traj: DataFrame, to: str, batch_id: int, keep: int | None = None) -> None:
         rows = traj.select(F.lit(0).alias("site_id"), F.lit(-1).cast("bigint").alias("value"))
-        save_state(with_load_time(rows, mon_time(batch_id) if mon_time else None), to, batch_id)
+        save_state(with_load_time(rows, mon_time(batch_id) if mon_time else None), to, batch_id, keep)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         publish(signal.trajectory(batch, ap_dim, static_devices), path, batch_id)
@@ -169,7 +175,7 @@ def trajectory_rows_job(ap_dim: DataFrame, path: str, static_devices: DataFrame
     def run_carried(batch: DataFrame, batch_id: int) -> None:
         with carried_points(batch, batch_id, ap_dim, path, static_devices, delay) as (closed, still_open):
             publish(closed, path, batch_id)
-            publish(still_open, f"{path}/_open", batch_id)
+            publish(still_open, f"{path}/_open", batch_id, KEEP_VERSIONS)
     return run_carried if carry else run
 
 
@@ -187,7 +193,8 @@ def stream_trajectory_rows(s: DataFrame, ap_dim: DataFrame, path: str, checkpoin
 
 VISIT_COLUMNS = ("device", "site_id", "start_ts", "end_ts")
 SEEN = "device STRING, site_id INT, ts BIGINT"
-FIRST_VISIT = "device STRING, site_id INT, start_ts BIGINT, first_run BIGINT, last_run BIGINT, run_end BIGINT, end_ts BIGINT"
+FIRST_VISIT = "device STRING, site_id INT, start_ts BIGINT, first_run BIGINT, last_run BIGINT, run_end BIGINT"
+TICK = "tick BIGINT, origin BIGINT, every BIGINT"
 
 
 def visits_job(ap_dim: DataFrame, path: str, seconds: int = RECENT_SECONDS, policy: str = "first_visit",
@@ -201,7 +208,7 @@ def visits_job(ap_dim: DataFrame, path: str, seconds: int = RECENT_SECONDS, poli
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = load_state(spark, f"{path}/tick", before=batch_id, schema="tick BIGINT")
+        last = load_state(spark, f"{path}/tick", before=batch_id, schema=TICK)
         (after,) = one_row(last, "tick")
         after = -1 if after is None else after
         seen = load_state(spark, f"{path}/seen", before=batch_id, schema=SEEN).unionByName(
@@ -218,11 +225,12 @@ def visits_job(ap_dim: DataFrame, path: str, seconds: int = RECENT_SECONDS, poli
                     save_state(now.where("end_ts IS NULL"), f"{path}/open", batch_id)
                     now.unpersist()
                 else:
-                    known = load_state(spark, f"{path}/first", before=batch_id, schema=FIRST_VISIT).drop("end_ts")
-                    now = visits.carry_first_visits(known, found, after)
-                    save_state(visits.with_end(now, origin, every, F.lit(tick)), f"{path}/first", batch_id)
-            save_state(seen.where(F.col("ts") > origin + (tick + 1) * every - seconds), f"{path}/seen", batch_id)
-            save_state(spark.range(1).select(F.lit(tick).cast("bigint").alias("tick")), f"{path}/tick", batch_id)
+                    known = load_table(spark, f"{path}/first", visits.KEYS, FIRST_VISIT, before=batch_id)
+                    met = known.join(found.select(*visits.KEYS).distinct(), visits.KEYS, "left_semi")
+                    save_changes(visits.carry_first_visits(met, found, after), f"{path}/first", batch_id, visits.KEYS, FIRST_VISIT)
+            save_state(seen.where(F.col("ts") > origin + (tick + 1) * every - seconds), f"{path}/seen", batch_id, KEEP_VERSIONS)
+            now_at = spark.range(1).select(*[F.lit(v).cast("bigint").alias(n) for v, n in ((tick, "tick"), (origin, "origin"), (every, "every"))])
+            save_state(now_at, f"{path}/tick", batch_id, KEEP_VERSIONS)
         finally:
             seen.unpersist()
     return run
@@ -230,7 +238,9 @@ def visits_job(ap_dim: DataFrame, path: str, seconds: int = RECENT_SECONDS, poli
 
 def load_visits(spark: SparkSession, path: str) -> DataFrame:
     """Visits that `stream_visits` has published so far, by either policy."""
-    first = load_state(spark, f"{path}/first", schema=FIRST_VISIT)
+    tick, origin, every = one_row(load_state(spark, f"{path}/tick", schema=TICK), "tick", "origin", "every")
+    first = load_table(spark, f"{path}/first", visits.KEYS, FIRST_VISIT)
+    first = visits.with_end(first, origin or 0, every or 1, F.lit(tick).cast("bigint"))
     still = load_state(spark, f"{path}/open", schema=VISIT)
     found = first.select(*VISIT_COLUMNS).unionByName(still.select(*VISIT_COLUMNS))
     if not versions(spark, f"{path}/ended"):
@@ -258,15 +268,55 @@ def stream_land(s: DataFrame, path: str, checkpoint: str, tz: str = LOCAL_ZONE,
     return each_batch(s, run, checkpoint, trigger=trigger)
 
 
-def stream_ab_test(s: DataFrame, a, b, path: str, checkpoint: str, trigger: dict | None = None):
-    """Publish Welch's t and degrees of freedom over everything seen so far."""
+def stream_ab_test(s: DataFrame, a, b, path: str, checkpoint: str, trigger: dict | None = None, alpha: float | None = None,
+                   most_batches: int | None = None):
+    """Publish Welch's t, degrees of freedom and p-value over everything seen so far.
+
+    With `alpha` no further version is published once a p-value lies below it, nor after `most_batches` versions;
+    `run_ab_test` stops the query then.
+    """
     from footfall.streaming.operators import stream_moments
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        save_state(stats.welch(batch, a, b), path, batch_id)
+        if not _decided(batch.sparkSession, path, batch_id, alpha, most_batches):
+            save_state(stats.welch(batch, a, b), path, batch_id)
     return each_batch(stream_moments(s), run, checkpoint, mode="complete", trigger=trigger)
 
 
+def _decided(spark: SparkSession, path: str, before: int | None, alpha: float | None, most_batches: int | None) -> bool:
+    """Whether the versions so far end a test. A decision is read from what is published, so a restart keeps it."""
+    done = [v for v in versions(spark, path) if before is None or v < before]
+    if not done or (alpha is None and most_batches is None):
+        return False
+    (p,) = one_row(load_state(spark, path, before=before), "p")
+    return (alpha is not None and p is not None and p < alpha) or (most_batches is not None and len(done) >= most_batches)
+
+
+def run_ab_test(s: DataFrame, a, b, path: str, checkpoint: str, alpha: float = 0.05, most_batches: int | None = None,
+                trigger: dict | None = None, poll_seconds: float = 1.0) -> bool:
+    """Run `stream_ab_test` until its stop rule holds or its source ends; true if the last p-value lies below `alpha`."""
+    spark = s.sparkSession
+    if not _decided(spark, path, None, alpha, most_batches):
+        test = stream_ab_test(s, a, b, path, checkpoint, trigger, alpha, most_batches)
+        while not test.awaitTermination(poll_seconds):
+            if _decided(spark, path, None, alpha, most_batches):
+                test.stop()  # whatever batch is under way would publish nothing
+                break
+    (p,) = one_row(load_state(spark, path, schema="t DOUBLE, df DOUBLE, p DOUBLE"), "p")
+    return p is not None and p < alpha
+
+
+def stream_counts(s: DataFrame, keys: Sequence[str], path: str, checkpoint: str, trigger: dict | None = None):
+    """Running totals per key as a keyed log: a batch writes the keys it changed. `load_table` reads them."""
+    from footfall.streaming.operators import running_count
+
+    counts = running_count(s, keys)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        save_changes(batch, path, batch_id, keys, counts.schema)
+    return each_batch(counts, run, checkpoint, mode="update", trigger=trigger)
+
+
 def publish_complete(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Publish the whole result of an aggregation as a version after every batch (complete mode)."""
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -274,33 +324,40 @@ def publish_complete(df: DataFrame, path: str, checkpoint: str, trigger: dict |
     return each_batch(df, run, checkpoint, mode="complete", trigger=trigger)
 
 
-def traffic_job(ap_dim: DataFrame, lake: str, path: str, window: str = "5 minutes", tz: str = LOCAL_ZONE,
-                mon_time: Callable[[int], int] | None = None) -> Callable[[DataFrame, int], None]:
-    """Add the batch to the lake and publish every site's latest window of the current day.
+LATEST_WINDOWS = "site_id INT, window_start BIGINT, value BIGINT"
+
+
+def traffic_job(path: str, tz: str = LOCAL_ZONE, mon_time: Callable[[int], int] | None = None) -> Callable[[DataFrame, int], None]:
+    """Add a batch of new visitors (site_id, device, window_start) and publish the sites' latest windows of the newest day.
 
-    Only the folder of the batch's last day is listed and read again, so a
-    device seen in several batches counts once per window.
+    Visitors are new when they come here, so adding up is enough, and a site's latest window never gets an earlier
+    one: the state is one row per site.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            (day,) = one_row(batch.agg(F.max(local_day("ts", tz)).cast("string").alias("day")), "day")
-            if day is None:
-                return
-            land(batch, lake, tz, batch_id=batch_id)
-            today = read_lake(batch.sparkSession, lake, day).where(F.col("batch") <= batch_id)
-            now = mon_time(batch_id) if mon_time else None
-            save_state(realtime_traffic(today, ap_dim, window, now), path, batch_id)
-        finally:
-            batch.unpersist()
+        spark = batch.sparkSession
+        known = load_state(spark, f"{path}/_latest", before=batch_id, schema=LATEST_WINDOWS)
+        new = batch.groupBy("site_id", "window_start").agg(F.count("*").alias("value"))
+        now = known.unionByName(new).groupBy("site_id", "window_start").agg(F.sum("value").alias("value"))
+        now = now.groupBy("site_id").agg(F.max("window_start").alias("window_start"), F.max_by("value", "window_start").alias("value"))
+        save_state(now, f"{path}/_latest", batch_id, KEEP_VERSIONS)
+        now = load_state(spark, f"{path}/_latest", before=batch_id + 1)
+        today = now.select(F.max(local_day("window_start", tz))).scalar()
+        value = now.where(local_day("window_start", tz) == today).select("site_id", "value")
+        save_state(with_load_time(value, mon_time(batch_id) if mon_time else None), path, batch_id)
     return run
 
 
-def refresh_traffic(s: DataFrame, ap_dim: DataFrame, lake: str, path: str, checkpoint: str,
-                    window: str = "5 minutes", trigger: dict | None = None,
-                    mon_time: Callable[[int], int] | None = None):
-    """Keep the latest visitor counts of all sites up to date, e.g. trigger={"processingTime": "30 seconds"}."""
-    return each_batch(s, traffic_job(ap_dim, lake, path, window, mon_time=mon_time), checkpoint, trigger=trigger)
+def refresh_traffic(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str, window: str = "5 minutes",
+                    trigger: dict | None = None, mon_time: Callable[[int], int] | None = None, delay: int = LATE_SECONDS):
+    """Keep the latest visitor counts of all sites up to date, e.g. trigger={"processingTime": "30 seconds"}.
+
+    A keyed state passes each (site, device, window) once and forgets it when the window is over, so a trigger's work
+    follows its new readings; nothing is read again. Readings more than `delay` seconds behind the newest may be left out.
+    """
+    from footfall.streaming.operators import new_visitors
+
+    seen = new_visitors(with_site(filter_rssi(s), ap_dim, unknown="drop"), window, f"{delay} seconds")
+    return each_batch(seen, traffic_job(path, mon_time=mon_time), checkpoint, trigger=trigger)
 
 
 def stream_publish(s: DataFrame, servers: str, topic: str, checkpoint: str,

@@ -22,6 +22,17 @@ def with_event_time(s: DataFrame, delay: str = DELAY) -> DataFrame:
     return s.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
 
 
+def new_visitors(s: DataFrame, window: str = "5 minutes", delay: str = DELAY, offset: str | None = None) -> DataFrame:
+    """(site_id, device, window): each device once per site and window, as soon as it is seen.
+
+    The keyed state forgets a window when the watermark has passed its end.
+    """
+    span = F.window("event_time", window, window, offset) if offset else F.window("event_time", window)
+    return (with_event_time(s, delay).select("site_id", "device", span.alias("window"))
+            .dropDuplicates(["site_id", "device", "window"])
+            .select("site_id", "device", "window", F.unix_timestamp("window.start").alias("window_start")))
+
+
 def stream_traffic(s: DataFrame, window: str = "5 minutes", delay: str = DELAY,
                    offset: str | None = None) -> DataFrame:
     """Distinct devices per site and closed window (append mode).
@@ -29,9 +40,7 @@ def stream_traffic(s: DataFrame, window: str = "5 minutes", delay: str = DELAY,
     Devices are deduplicated in a keyed state of their own, so that no window
     holds a set that grows with its visitors.
     """
-    span = F.window("event_time", window, window, offset) if offset else F.window("event_time", window)
-    seen = (with_event_time(s, delay).select("site_id", "device", span.alias("window"))
-            .dropDuplicates(["site_id", "device", "window"]))
+    seen = new_visitors(s, window, delay, offset)
     return (seen.groupBy("site_id", "window").agg(F.count("*").alias("traffic"))
             .select("site_id", F.unix_timestamp("window.start").alias("window_start"), "traffic"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from footfall.operators import clean, flow, signal, traffic, visits
 from footfall.schema import RESULT
 from footfall.sinks import tables
+from footfall.sinks.log import load_table
 from footfall.sinks.tables import load_all, load_state, save_state, versions
 from footfall.streaming import jobs, operators
 from footfall.streaming.sources import file_lines, kafka_lines, stream_scans, stream_table, stream_tail
@@ -63,8 +64,10 @@ def test_buffer_digest(spark, drops, dim, rows, tmp_path):
 
 def test_running_count(spark, drops, rows, tmp_path):
     out, cp = _paths(tmp_path)
-    jobs.publish_complete(operators.running_count(drops(*GROUPS), ["device"]), out, cp).awaitTermination()
-    assert rows(load_state(spark, out)) == [("A", 4), ("B", 1), ("C", 1), ("Z", 1)]
+    jobs.stream_counts(drops(*GROUPS), ["device"], out, cp).awaitTermination()
+    counts = [rows(load_table(spark, out, ["device"], "device STRING, n BIGINT", before=v + 1)) for v in range(3)]
+    assert counts == [[("A", 2), ("B", 1)], [("A", 4), ("B", 1), ("C", 1)], [("A", 4), ("B", 1), ("C", 1), ("Z", 1)]]
+    assert rows(spark.read.parquet(f"{out}/log/version=1"), "device", "n") == [("A", 4), ("C", 1)]
 
 
 def _inside_out(start, come):
@@ -177,7 +180,7 @@ def test_refresh_counts_a_device_once_over_batches(spark, drops, dim, rows, tmp_
     s = drops([("A", "O", -50, 10), ("B", "O", -50, 20)], [("A", "I", -50, 30), ("C", "O", -50, 40)],
               [("A", "O", -50, 90000)])
     out, cp = _paths(tmp_path)
-    jobs.refresh_traffic(s, dim, str(tmp_path / "lake"), out, cp, mon_time=lambda b: b).awaitTermination()
+    jobs.refresh_traffic(s, dim, out, cp, mon_time=lambda b: b).awaitTermination()
     assert [rows(load_state(spark, out, before=v + 1)) for v in range(3)] == [[(1, 2, 0)], [(1, 3, 1)], [(1, 1, 2)]]
 
 
@@ -201,3 +204,4 @@ def test_carried_points_do_not_depend_on_the_cuts(spark, dim, sightings, rows, t
         assert rows(load_state(spark, out), "site_id", "value") == rows(net, "site_id", "net")
         assert jobs.load_trajectory_rows(spark, points).count() == traj.count()
     assert load_state(spark, f"{out}/_means").count() < len(data) / 2
+    assert load_table(spark, f"{out}/_ends", jobs.END_KEYS, jobs.ENDS).count() <= 2 * 2
