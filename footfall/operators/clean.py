@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.clock import local_day, local_hour, local_text
@@ -82,13 +82,15 @@ def with_site(s: DataFrame, ap_dim: DataFrame, unknown: str = "zero") -> DataFra
     return s.join(dim, "ap", "left").withColumn("site_id", F.coalesce("site_id", F.lit(0)))
 
 
-def with_four_sides(df: DataFrame) -> DataFrame:
-    """Sides of a four-AP site kept apart: its second pair becomes outside1 / inside1.
+def with_four_sides(s: DataFrame, ap_dim: DataFrame) -> DataFrame:
+    """Attach site and side, the access points of a side kept apart: the second one's side is outside1 or inside1.
 
-    Needs `pair` (0 or 1) from the access-point dimension.
+    Access points of a side are numbered in the order of their names, a third one would be outside2. Readings of
+    unlisted access points have site 0 and no side.
     """
-    return df.withColumn("side", F.when(F.col("pair") == 1, F.concat("side", F.lit("1")))
-                         .otherwise(F.col("side")))
+    number = F.row_number().over(Window.partitionBy("site_id", "side").orderBy("ap")) - 1
+    suffix = F.when(number > 0, number.cast("string")).otherwise("")
+    return with_site(s, ap_dim.select("ap", "site_id", F.concat("side", suffix).alias("side")))
 
 
 def with_hour(s: DataFrame, tz: str = LOCAL_ZONE) -> DataFrame:

@@ -52,8 +52,9 @@ def short_sessions(found: DataFrame, seconds: int = PASSER_BY_SECONDS, keep_last
     short = found.where(F.col("seconds") < seconds)
     if keep_last:
         return short
-    last = found.groupBy("device").agg(F.max("session_start").alias("_last"))
-    return short.join(last, "device").where(F.col("session_start") < F.col("_last")).drop("_last")
+    last = F.max("session_start").over(Window.partitionBy("device"))
+    marked = found.withColumn("_last", last)
+    return marked.where((F.col("seconds") < seconds) & (F.col("session_start") < F.col("_last"))).drop("_last")
 
 
 def classify_visits(points: DataFrame, gap: int = VISIT_GAP, keys: Sequence[str] = ("device",),
@@ -99,6 +100,14 @@ def classify_visits(points: DataFrame, gap: int = VISIT_GAP, keys: Sequence[str]
     )
 
 
+def visit_actions(visits: DataFrame, action_dim: DataFrame) -> DataFrame:
+    """One row per action of a classified visit, with its code and type: come, go, passer-by, stay, else other."""
+    codes = F.array_compact(F.array(*[F.when(hit, F.lit(code)) for hit, code in (
+        (F.col("come") > 0, 0), (F.col("go") > 0, 1), (F.col("passer_by"), 2), (F.col("stay") > 0, 3))]))
+    codes = F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit(4)))
+    return visits.withColumn("action_code", F.explode(codes)).join(action_dim, "action_code", "left")
+
+
 def flow_by_bucket(visits: DataFrame, tz: str = LOCAL_ZONE, seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Sum of come - go + stay per bucket of the local day; buckets without visits are 0."""
     spark = visits.sparkSession

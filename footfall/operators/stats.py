@@ -245,3 +245,42 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{m}").cast("double").alias(m) for m in measures])
             for c in cols]
     return wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+
+
+MOMENTS = "column STRING, n BIGINT, mean DOUBLE, m2 DOUBLE, min DOUBLE, max DOUBLE"
+
+
+def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, n, mean, m2, min, max), one row per column; m2 is the sum of squared distances from the mean."""
+    wide = df.agg(*[fn(F.col(c).cast("double")).alias(f"{c}__{m}") for c in cols for m, fn in (
+        ("n", F.count), ("mean", F.avg), ("var", F.var_pop), ("min", F.min), ("max", F.max))])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__mean").alias("mean"),
+                     (F.col(f"{c}__var") * F.col(f"{c}__n")).alias("m2"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
+            for c in cols]
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """`moments` of the whole from those of some parts, two for each column in a running summary.
+
+    Means are moved by their differences, so large means take no digits from the variance.
+    """
+    def add(x, y):
+        n = x["n"] + y["n"]
+        far = y["mean"] - x["mean"]
+        return F.struct(n.alias("n"), (x["mean"] + far * y["n"] / n).alias("mean"),
+                        (x["m2"] + y["m2"] + far * far * x["n"] * y["n"] / n).alias("m2"))
+
+    one = F.struct("n", "mean", "m2")
+    some = parts.groupBy("column").agg(F.collect_list(F.when(F.col("n") > 0, one)).alias("_parts"), F.min("min").alias("min"), F.max("max").alias("max"))
+    empty = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    total = F.aggregate("_parts", empty, lambda x, y: F.when(x["n"] == 0, y).otherwise(add(x, y)))
+    some = some.withColumn("_total", total)
+    has = F.col("_total.n") > 0
+    return some.select("column", F.col("_total.n").alias("n"), *[F.when(has, F.col(f"_total.{c}")).alias(c) for c in ("mean", "m2")], "min", "max")
+
+
+def described(parts: DataFrame) -> DataFrame:
+    """`moments` in the form of `describe`."""
+    spread = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return parts.select("column", F.col("n").cast("double").alias("count"), "mean", spread.alias("stddev"), "min", "max")

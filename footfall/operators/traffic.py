@@ -40,10 +40,15 @@ def hour_coverage(s: DataFrame, per_ap: bool = True, tz: str = LOCAL_ZONE) -> Da
     The hours of a day are bits of one integer: a fixed-size buffer that is
     fully combined before the shuffle.
     """
+    bits = hour_bits(s, per_ap, tz)
+    return bits.withColumn("hours", F.bit_count("bits").cast("bigint")).drop("bits")
+
+
+def hour_bits(s: DataFrame, per_ap: bool = True, tz: str = LOCAL_ZONE) -> DataFrame:
+    """(device, [ap,] day, bits): the local hours of a day as bits, which any two parts of the readings can be OR-ed from."""
     keys = ["device", "ap"] if per_ap else ["device"]
     return (s.withColumn("day", local_day("ts", tz)).withColumn("_hour", local_hour("ts", tz))
-            .groupBy(*keys, "day")
-            .agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, _hour)"))).cast("bigint").alias("hours")))
+            .groupBy(*keys, "day").agg(F.bit_or(F.expr("shiftleft(1L, _hour)")).alias("bits")))
 
 
 def always_on_devices(s: DataFrame, hours: int = ALWAYS_ON_HOURS, per_ap: bool = True,

@@ -558,6 +558,11 @@ def _(spark, d):
     return traffic.always_on_devices(raw_sightings(spark, d), per_ap=False, per_day=False)
 
 
+@query("always_on_total", "SELECT device FROM dcover GROUP BY device HAVING sum(hours) >= 65", "dcover")
+def _(spark, d):
+    return traffic.always_on_devices(raw_sightings(spark, d), hours=65, per_ap=False, per_day=False)
+
+
 @query("always_on_in_a_day", "SELECT DISTINCT device FROM dcover WHERE hours >= 6", "dcover")
 def _(spark, d):
     return traffic.always_on_devices(raw_sightings(spark, d), hours=6, per_ap=False, per_day=True)

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from footfall.operators import clean, traffic
+from footfall.functions import clock, strings
+from footfall.functions.clock import local_day
 from footfall.functions.strings import wire_line
-from footfall.plans.jobs import entry_exit_report
+from footfall.operators import clean, order, sessions, stats, traffic
+from footfall.plans.jobs import entry_exit_report, peak_instants
 from footfall.plans.queries import query
-from footfall.plans.tables import EVENT_SCHEMA, TICK, aps, as_sightings, raw_sightings, sightings, stream_events, table, vendors, wire_lines
+from footfall.plans.tables import EVENT_SCHEMA, TICK, aps, as_sightings, device_of, raw_sightings, sightings, stream_events, table, vendors, wire_lines
 from footfall.schema import RESULT
 from footfall.session import fresh_path
 from footfall.sinks import tables as sinks
 from footfall.sinks.log import append_batch, load_table, read_batches
-from footfall.sources import scans
+from footfall.sources import dims, scans
 from footfall.streaming import jobs, operators
 from footfall.streaming.buffers import BUFFERED
 from footfall.streaming.sources import file_lines, stream_scans, stream_tail
@@ -203,12 +205,11 @@ def _(spark, d):
     return pruned.select("device", "rssi", "ts", "ap")
 
 
-@query("stream_lake", """SELECT device, rssi, ts, ap FROM r WHERE ap = 'AP2' AND ts >= 1704816000 AND ts < 1704902400""", "r")
+@query("stream_lake", "SELECT device, rssi, ts, ap FROM r", "r")
 def _(spark, d):
     lake = fresh_path(spark, "lake")
     jobs.stream_land(_stream(spark, d), lake, fresh_path(spark, "checkpoint")).awaitTermination()
-    pruned = clean.prune(scans.read_lake(spark, lake), ("2024-01-10", "2024-01-10"), ["AP2"])
-    return pruned.select("device", "rssi", "ts", "ap")
+    return scans.read_lake(spark, lake).select("device", "rssi", "ts", "ap")
 
 
 @query("written_series", """SELECT device, ts, rssi, ap, seq,
@@ -243,3 +244,107 @@ def _(spark, d):
     for _ in range(2):  # repeated, it counts once
         append_batch(clean.with_load_time(net, 2), path, 1)
     return read_batches(spark, path, RESULT)
+
+
+@query("stream_always_on", "SELECT DISTINCT device FROM cover WHERE hours >= 3", "cover")
+def _(spark, d):
+    path, checkpoint = fresh_path(spark, "always-on"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.stream_always_on(as_sightings(e, 1), path, checkpoint, hours=3))
+    return jobs.load_static(spark, path)
+
+
+@query("stream_describe", """SELECT 'value' AS "column", CAST(count(value) AS DOUBLE) AS count, round(avg(value), 4) AS mean,
+    round(stddev_samp(value), 4) AS stddev, min(value) AS min, max(value) AS max FROM events UNION ALL
+    SELECT 'user_id', count(user_id), round(avg(user_id), 4), round(stddev_samp(user_id), 4), min(user_id), max(user_id) FROM events""", "dim")
+def _(spark, d):
+    path, checkpoint = fresh_path(spark, "summary"), fresh_path(spark, "checkpoint")
+    _by_slices(spark, d, lambda e: jobs.stream_summary(e, ["value", "user_id"], path, checkpoint))
+    x = stats.described(sinks.load_state(spark, path))
+    return x.withColumns({"mean": F.round("mean", 4), "stddev": F.round("stddev", 4)})
+
+
+# --- files written and read back -------------------------------------------------
+
+@query("scan_files", "SELECT device, rssi, ts, ap FROM r WHERE ap IN ('AP1', 'AP4', 'AP5')", "r")
+def _(spark, d):
+    """One folder by its path, two by a pattern."""
+    root = fresh_path(spark, "scans")
+    raw_sightings(spark, d).select(wire_line("device", "rssi", "ts").alias("value"), "ap").write.partitionBy("ap").text(root)
+    found = scans.read_scans(spark, f"{root}/ap=AP1").unionByName(scans.read_scans(spark, f"{root}/ap=AP[45]/*"))
+    return found.select("device", "rssi", "ts", F.regexp_replace("ap", "^ap=", "").alias("ap"))
+
+
+@query("read_oui", "SELECT DISTINCT upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 6)) AS prefix FROM customer")
+def _(spark, d):
+    path = fresh_path(spark, "oui")
+    table(spark, d, "customer").select(wire_line(device_of("c_custkey"), "c_name").alias("value")).write.text(path)
+    return dims.read_oui(spark, path)
+
+
+@query("read_static_devices", "SELECT device FROM static_ap", "static_ap")
+def _(spark, d):
+    path = fresh_path(spark, "static")
+    sinks.save_static_devices(traffic.always_on_devices(raw_sightings(spark, d), hours=3), path, 4)
+    return dims.read_static_devices(spark, path)
+
+
+@query("read_labelled", "SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS label, l_quantity::DOUBLE AS a, l_tax::DOUBLE AS b FROM lineitem")
+def _(spark, d):
+    path = fresh_path(spark, "labelled")
+    table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int"), "l_quantity", "l_tax").write.csv(path)
+    return dims.read_vectors(spark, path, ["a", "b"], "label")
+
+
+@query("read_corpus", "SELECT p_name AS text FROM part")
+def _(spark, d):
+    path = fresh_path(spark, "corpus")
+    table(spark, d, "part").select("p_name").write.text(path)
+    return dims.read_documents(spark, path)
+
+
+@query("loaded_dims", "SELECT seq, device, site_id, side FROM site", "site")
+def _(spark, d):
+    """Access points from a CSV file; the actions are the built-in ones."""
+    path = fresh_path(spark, "dims")
+    aps(spark).withColumn("pos_code", F.lit("0001")).write.option("header", True).csv(path)
+    return clean.with_site(sightings(spark, d), dims.load_dims(spark, path)["ap_dim"]).select("seq", "device", "site_id", "side")
+
+
+@query("exported_csv", "SELECT site_id, ts // 300 * 300 AS window_start, count(DISTINCT device) AS traffic FROM rsite GROUP BY ALL", "rsite")
+def _(spark, d):
+    path = fresh_path(spark, "csv")
+    sinks.export_csv(traffic.traffic_per_window(clean.with_site(raw_sightings(spark, d), aps(spark))), path)
+    return spark.read.csv(path, header=True, schema="site_id INT, window_start BIGINT, traffic BIGINT")
+
+
+@query("bracket_rows", "SELECT device, ap, ts FROM r", "r")
+def _(spark, d):
+    rows = raw_sightings(spark, d).select(F.format_string("[%s,%s,%s]", "device", "ap", "ts").alias("row"))
+    f = rows.select(strings.bracket_fields("row").alias("f"))
+    return f.select(F.col("f")[0].alias("device"), F.col("f")[1].alias("ap"), F.col("f")[2].cast("bigint").alias("ts"))
+
+
+@query("daily_counts", """SELECT CAST(day AS VARCHAR) AS day, count(ts) AS n FROM (SELECT unnest(generate_series(DATE '2024-01-01',
+    DATE '2024-01-01' + INTERVAL 59 DAY, INTERVAL 1 DAY))::DATE AS day) LEFT JOIN r ON (ts + 28800) // 86400 = date_diff('day', DATE '1970-01-01', day)
+    GROUP BY day""", "r")
+def _(spark, d):
+    """Sixty days in their order, those without readings too."""
+    s = raw_sightings(spark, d)
+    n = s.groupBy(local_day("ts").alias("day")).agg(F.count("*").alias("n"))
+    days = clock.date_range(spark, "2024-01-01", 60).join(n, "day", "left")
+    return order.sorted_output(clean.zero_fill(days, ["n"]), ["day"]).select(F.col("day").cast("string").alias("day"), "n")
+
+
+@query("four_sides", """SELECT seq, device, site_id, side || CASE WHEN n > 1 THEN CAST(n - 1 AS VARCHAR) ELSE '' END AS side
+    FROM s JOIN (SELECT *, row_number() OVER (PARTITION BY site_id, side ORDER BY ap) AS n FROM dim) USING (ap)""", "s", "dim")
+def _(spark, d):
+    return clean.with_four_sides(sightings(spark, d), aps(spark)).select("seq", "device", "site_id", "side")
+
+
+@query("visit_actions", """SELECT device, session_start, action_code, action_type FROM (SELECT *, unnest(CASE WHEN len(codes) > 0 THEN codes
+    ELSE [4] END) AS action_code FROM (SELECT *, list_filter([CASE WHEN come > 0 THEN 0 END, CASE WHEN go > 0 THEN 1 END, CASE WHEN passer_by THEN 2 END,
+    CASE WHEN stay > 0 THEN 3 END], lambda c: c IS NOT NULL) AS codes FROM visits)) JOIN (VALUES (0, '进入大楼'), (1, '离开大楼'), (2, '路人'),
+    (3, '在楼内走动'), (4, '其他')) a(action_code, action_type) USING (action_code)""", "visits")
+def _(spark, d):
+    visits = sessions.classify_visits(peak_instants(sightings(spark, d), aps(spark)), 2 * TICK)
+    return sessions.visit_actions(visits, dims.action_dim(spark)).select("device", "session_start", "action_code", "action_type")

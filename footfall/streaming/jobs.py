@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.clock import local_day
-from footfall.operators import flow, signal, stats, visits
+from footfall.operators import flow, signal, stats, traffic, visits
 from footfall.operators.clean import drop_static_devices, filter_rssi, with_load_time, with_site
 from footfall.operators.sequence import in_order
 from footfall.schema import IDLE_SECONDS, LOCAL_ZONE, RECENT_SECONDS, RESULT, RSSI_FLOOR, VISIT
@@ -317,6 +317,48 @@ def stream_counts(s: DataFrame, keys: Sequence[str], path: str, checkpoint: str,
     return each_batch(counts, run, checkpoint, mode="update", trigger=trigger)
 
 
+def stream_summary(s: DataFrame, cols: Sequence[str], path: str, checkpoint: str, trigger: dict | None = None):
+    """Keep `stats.moments` of everything seen so far: each batch adds its own to the last version."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        known = load_state(batch.sparkSession, path, before=batch_id, schema=stats.MOMENTS)
+        save_state(stats.merged_moments(known.unionByName(stats.moments(batch, cols))), path, batch_id, KEEP_VERSIONS)
+    return each_batch(s, run, checkpoint, trigger=trigger)
+
+
+HOUR_KEYS = ["device", "ap", "day"]
+HOUR_BITS = "device STRING, ap STRING, day DATE, bits BIGINT"
+
+
+def stream_always_on(s: DataFrame, path: str, checkpoint: str, hours: int, tz: str = LOCAL_ZONE, delay: int = LATE_SECONDS,
+                     trigger: dict | None = None):
+    """Keep the devices seen in at least `hours` hours of one day at one access point; `load_static` reads them.
+
+    State: the hours of each (device, access point, day) as bits, OR-ed per batch, and the list. Days that no reading
+    within `delay` seconds of the newest can reach are deleted, so no earlier day is read again.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = load_table(spark, f"{path}/hours", HOUR_KEYS, HOUR_BITS, before=batch_id)
+        (newest,) = one_row(batch.agg(F.max("ts").alias("ts")), "ts")
+        if newest is None:
+            return
+        new = traffic.hour_bits(batch, tz=tz)
+        met = known.join(new.select(*HOUR_KEYS), HOUR_KEYS, "left_semi")
+        now = met.unionByName(new).groupBy(*HOUR_KEYS).agg(F.bit_or("bits").alias("bits"))
+        over = F.col("day") < local_day(F.lit(newest - delay), tz)
+        old = known.where(over).join(new.select(*HOUR_KEYS), HOUR_KEYS, "left_anti")
+        changed = now.withColumn("_gone", over).unionByName(old.withColumn("_gone", F.lit(True)))
+        found = now.where(F.bit_count("bits") >= hours).select("device").distinct()
+        listed = load_table(spark, f"{path}/devices", ["device"], "device STRING", before=batch_id)
+        save_changes(changed, f"{path}/hours", batch_id, HOUR_KEYS, HOUR_BITS)
+        save_changes(traffic.newly_static_devices(listed, found), f"{path}/devices", batch_id, ["device"], "device STRING")
+    return each_batch(s, run, checkpoint, trigger=trigger)
+
+
+def load_static(spark: SparkSession, path: str) -> DataFrame:
+    return load_table(spark, f"{path}/devices", ["device"], "device STRING")
+
+
 def publish_complete(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Publish the whole result of an aggregation as a version after every batch (complete mode)."""
     def run(batch: DataFrame, batch_id: int) -> None:

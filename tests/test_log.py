@@ -114,3 +114,36 @@ def test_ab_test_stops(spark, tmp_path):
     assert run(lambda j: float(j % 7) + 9, "far") == (True, 1)
     assert run(lambda j: float(j % 7), "alike", most_batches=3) == (False, 3)
     assert run(lambda j: float(j % 7), "whole") == (False, 5)
+
+
+def test_always_on_day_by_day(spark, rows, tmp_path):
+    """After each batch the list equals the batch operator over all readings; bits of days that are over are gone."""
+    from footfall.operators import traffic
+
+    rng = random.Random(3)
+    data = sorted(((rng.choice("ABCD"), rng.choice("OI"), -50.0, rng.randrange(0, 4 * 86400)) for _ in range(260)), key=lambda r: r[3])
+    schema = "device STRING, ap STRING, rssi DOUBLE, ts BIGINT"
+    folder, out, cp = (str(tmp_path / uuid.uuid4().hex) for _ in range(3))
+    for a, b in ((0, 70), (70, 140), (140, 260)):
+        spark.createDataFrame(data[a:b], schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.stream_always_on(stream_table(spark, folder, schema), out, cp, hours=7).awaitTermination()
+        assert rows(jobs.load_static(spark, out)) == rows(traffic.always_on_devices(spark.createDataFrame(data[:b], schema), hours=7))
+        left = log.load_table(spark, f"{out}/hours", jobs.HOUR_KEYS, jobs.HOUR_BITS)
+        assert left.select("day").distinct().count() == 1 and left.count() <= 8
+    assert jobs.load_static(spark, out).count() > 0
+
+
+@pytest.mark.parametrize("cuts", [(0, 40), (0, 1, 2, 40), (0, 13, 13, 29, 40)])
+def test_moments_do_not_depend_on_the_cuts(spark, cuts):
+    from footfall.operators import stats
+
+    rng = random.Random(1)
+    data = [(1e9 + rng.random(), float(i) if i % 3 else None, None) for i in range(40)]
+    schema = "a DOUBLE, b DOUBLE, c DOUBLE"
+    known = spark.createDataFrame([], stats.MOMENTS)
+    for x, y in zip(cuts, cuts[1:]):
+        known = stats.merged_moments(known.unionByName(stats.moments(spark.createDataFrame(data[x:y], schema), ["a", "b", "c"])))
+    got = {r["column"]: r for r in stats.described(known).collect()}
+    for r in stats.describe(spark.createDataFrame(data, schema), ["a", "b", "c"]).collect():
+        for c in ("count", "mean", "stddev", "min", "max"):
+            assert got[r["column"]][c] == (None if r[c] is None else pytest.approx(r[c], rel=1e-7))
