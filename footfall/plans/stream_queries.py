@@ -6,12 +6,14 @@ stream ends when the available files are read (`availableNow`).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from footfall.functions import clock, strings
 from footfall.functions.clock import local_day
 from footfall.functions.strings import wire_line
-from footfall.operators import clean, order, sessions, stats, traffic
+from footfall.operators import clean, order, sessions, signal, stats, traffic
 from footfall.plans.jobs import entry_exit_report, peak_instants
 from footfall.plans.queries import query
 from footfall.plans.tables import EVENT_SCHEMA, TICK, aps, as_sightings, device_of, raw_sightings, sightings, stream_events, table, vendors, wire_lines
@@ -220,6 +222,14 @@ def _(spark, d):
     return spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
 
 
+@query("series_table_means", "SELECT device, ts, ap, rssi FROM means", "means")
+def _(spark, d):
+    """From a bucketed table: the readings are not shuffled again."""
+    name = f"series_{uuid.uuid4().hex}"
+    sinks.write_series_table(sightings(spark, d), name, 16)
+    return signal.mean_rssi(clean.filter_rssi(spark.table(name))).select("device", "ts", "ap", "rssi")
+
+
 @query("stored_static_devices", "SELECT device FROM static_ap", "static_ap")
 def _(spark, d):
     path = fresh_path(spark, "static")

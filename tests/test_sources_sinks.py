@@ -145,3 +145,13 @@ def test_landing_a_batch_again_replaces_it(spark, rows, sightings, tmp_path):
     assert rows(scans.read_lake(spark, lake), "device", "ts", "batch") == [
         ("D", 5, 0), ("D", 6, 0), ("E", 7, 1), ("E", 90000, 1)]
     assert rows(scans.read_lake(spark, lake, "1970-01-02"), "ts", "ap") == [(90000, "I")]
+
+
+def test_series_table_is_read_without_a_shuffle(spark, rows, sightings):
+    from footfall.operators import signal
+
+    data = [(f"D{i % 7}", "OI"[i % 2], -40.0 - i % 5, i // 3) for i in range(200)]
+    sinks.write_series_table(sightings(data), "series_test", 4)
+    means = signal.mean_rssi(spark.table("series_test"))
+    assert "Exchange" not in means._jdf.queryExecution().executedPlan().toString()
+    assert rows(means) == rows(signal.mean_rssi(sightings(data)))
