@@ -1,7 +1,7 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
 Texts longer than `CHUNK` characters are cut before encoding where no match of the pattern can reach across: between
-a character that is no white space and a space or line break. Runs of white space too long for the library's regular
+a character that is no white space and a space, tab or line break. Runs of white space too long for the library's regular
 expression engine are one match each and are merged directly. Ids decode to raw bytes, which need not be UTF-8.
 
 The pattern is a parameter, but the safe cuts assume that no match has white space after another character, as in
@@ -26,7 +26,7 @@ CHUNK = 1 << 16
 LONG_SPACE = 5000
 # White_Space of Unicode; fixed values.
 _SPACE = "\t-\r \x85\xa0  -     　"
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+_CUT = re.compile(r"(?<=\S)(?=[ \t\n])")
 _RUN = re.compile(f"[{_SPACE}]{{{LONG_SPACE},}}")
 _CODECS: dict[bytes, Codec] = {}
 
@@ -59,12 +59,15 @@ class Codec:
         return ids
 
     def _encode(self, text: str) -> list[int]:
-        if len(text) < LONG_SPACE or not (run := _RUN.search(text)):
-            return self.encoding.encode_ordinary(text)
-        # a run before another character leaves its last space to the next match
-        end = run.end() if run.end() == len(text) else run.end() - 1
-        return [*self.encoding.encode_ordinary(text[:run.start()]),
-                *self.encoding._encode_single_piece(text[run.start():end]), *self._encode(text[end:])]
+        ids: list[int] = []
+        at = 0
+        for run in _RUN.finditer(text) if len(text) >= LONG_SPACE else ():
+            # a run before another character leaves its last space to the next match
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.encoding.encode_ordinary(text[at:run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start():end])
+            at = end
+        return ids + self.encoding.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)

@@ -9,7 +9,8 @@ a pair is found by one rare token of both extended prefixes or by a combination
 2. Counters of fixed size estimate how frequent tokens are; they decide on the order only, never on results.
 3. Tokens of extended prefixes that occur in one class only are dropped.
 4. Stars: members of an index group that are not in the group's largest component are compared with one member of it.
-   After a few rounds a group of many near copies is one component, and its pairs need not be listed.
+   After a few rounds a group of many near copies that are like its leaders is one component, and its pairs need not
+   be listed.
 5. What is left - pairs of different components within a group - is filtered by exact bounds (sizes, parity bitmaps)
    and verified. No pair is left out, so the components are exact.
 """
@@ -29,13 +30,15 @@ from footfall.llm.shingles import mixed, parity_bits, segments, shingles
 
 SHINGLE, PERCENT = 3, 90
 RARE = 64
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 BLOCK_PAIRS = 200_000
 # Parity bits of the second filter, for the texts of candidate pairs only.
 FINE = 1 << 14
 # Counters of the frequency estimate, and the slices in which they are summed.
 COUNTERS, SLICES = 1 << 22, 64
 _MAP = [f"m{i}" for i in range(16)]
+# The first frequent tokens of a member, by which groups that are not a pair's first one are told; 0 where there is none.
+_HEAD = [f"t{i}" for i in range(8)]
 
 
 def _need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -204,9 +207,13 @@ def _majors(members: DataFrame, *group: str) -> DataFrame:
                                          F.col("top.lead_n").alias("lead_n"))
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each outsider with the leader that most of its groups name."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
+def _stars(members: DataFrame, percent: int, step: int) -> DataFrame:
+    """(a, b): each outsider with the leader that most of its groups name.
+
+    Sets of a band of sizes are together; every other round has its bands half a step further on, so that two sizes
+    close to each other share a band in one of them.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 0.5 * (step % 2))
     members = members.withColumn("band", band)
     majors = stored(_majors(members, "token", "band"), "majors")
     x = members.join(majors, ["token", "band"]).where((F.col("comp") != F.col("major")) & _sizes_allow(F.col("n"), F.col("lead_n"), percent))
@@ -216,22 +223,24 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """Index entries (g1, g2, sid, n, comp): rare tokens alone, frequent ones in pairs."""
+    """Index entries (g1, g2, sid, n, comp, t0..): rare tokens alone, frequent ones in pairs g1 < g2, with the first of them."""
     count = stored(members.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                    .where("lo < hi").select("token", "df"), "token-counts")
     x = stored(members.join(count, "token"), "index-tokens")
-    rare = x.where(F.col("df") <= RARE).select(F.col("token").alias("g1"), F.lit(0).cast("long").alias("g2"), "sid", "n", "comp")
+    rare = x.where(F.col("df") <= RARE).select(F.col("token").alias("g1"), F.lit(0).cast("long").alias("g2"), "sid", "n", "comp", *[F.lit(0).cast("long").alias(t) for t in _HEAD])
     lists = x.where(F.col("df") > RARE).groupBy("sid", "n", "comp").agg(F.array_sort(F.collect_list("token")).alias("t"))
-    firsts = lists.select("sid", "n", "comp", "t", F.posexplode("t").alias("i", "g1"))
+    head = [F.coalesce(F.get("t", F.lit(i)), F.lit(0)).alias(t) for i, t in enumerate(_HEAD)]
+    firsts = lists.select("sid", "n", "comp", "t", *head, F.posexplode("t").alias("i", "g1"))
     pairs = firsts.select("g1", F.explode(F.slice("t", F.col("i") + 2, F.greatest(F.size("t") - F.col("i") - 1, F.lit(0)))).alias("g2"),
-                          "sid", "n", "comp")
+                          "sid", "n", "comp", *_HEAD)
     return rare.unionByName(pairs)
 
 
 def _remaining(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all pairs of different components in an index group that sizes and parity bitmaps allow.
 
-    Pairs are looked at in blocks of at most BLOCK_PAIRS and only the ones left over are rows.
+    Pairs are looked at in blocks of at most BLOCK_PAIRS and only the ones left over are rows. A pair whose members
+    share a token that makes an earlier pair of tokens is left to that group, as far as their first tokens show it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -250,6 +259,7 @@ def _remaining(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
         g1, g2, sid, n, comp = (table[c].to_numpy() for c in ("g1", "g2", "sid", "n", "comp"))
         maps_ = np.stack([table[m].to_numpy() for m in _MAP], 1).view(np.uint64)
+        heads = np.stack([table[t].to_numpy() for t in _HEAD], 1)
         rows = len(sid)
         new = np.ones(rows, bool)
         new[1:] = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])
@@ -268,6 +278,10 @@ def _remaining(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             apart = np.bitwise_count(maps_[i] ^ maps_[j]).sum(1, dtype=np.int64)
             keep = (100 + percent) * (total - apart) >= 2 * percent * total
             i, j = i[keep], j[keep]
+            mine = heads[i]
+            earlier = (mine != 0) & ((mine < g1[i][:, None]) | ((mine > g1[i][:, None]) & (mine < g2[i][:, None])))
+            later = ~((mine[:, :, None] == heads[j][:, None, :]).any(2) & earlier).any(1)
+            i, j = i[later], j[later]
             pair = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
             if len(pair):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0].copy()), "b": pa.array(pair[:, 1].copy())})
@@ -295,13 +309,17 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     needed = members.select("sid").distinct().join(classes, "sid").select("sid", F.col("first").alias("doc_id"), "h")
     texts = stored(_hashed(docs).join(needed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("sid", "text"), "texts", "zstd")
     maps = stored(_bitmaps(texts, size), "bitmaps")
-    links, found = None, None
+    links, found, idle = None, None, 0
     for step in range(rounds + 1):
         at = _with_components(members, found)
-        pairs = _plausible(_stars(at, percent), maps, percent) if step < rounds else _remaining(stored(at, "members"), maps, percent)
+        stars = step < rounds and idle < 2  # once neither kind of bands brings links, the rest is compared
+        pairs = _plausible(_stars(at, percent, step), maps, percent) if stars else _remaining(stored(at, "members"), maps, percent)
         new = stored(_verified(stored(pairs, "pairs"), texts, size, percent), "links")
+        idle = idle + 1 if new.isEmpty() else 0
         links = new if links is None else links.unionByName(new)
         found = components(links)
+        if not stars:
+            break
     first = classes.join(found.select(F.col("v").alias("sid"), "c"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     smallest = stored(first.groupBy("c").agg(F.min("first").alias("component_id")), "smallest")
     label = stored(first.join(smallest, "c").select("sid", "n", "component_id"), "component-labels")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+# A polynomial modulo a power of two has equal values for words that are made for it; such words are long.
+LONG_WORD = 24
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
 _TABLE = np.random.default_rng(20240229).integers(1, 2 ** 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -39,6 +43,9 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     # polynomial hash of a word by differences of running sums
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _powers(_STEP, len(data) - 1))])
     words = mixed((sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts] ^ (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        words[i] = np.frombuffer(digest, "<u8")[0]
     borders = np.cumsum([0] + [len(r) + 1 for r in raw])
     count = np.diff(np.searchsorted(starts, borders))
     doc = np.repeat(np.arange(len(texts)), count)

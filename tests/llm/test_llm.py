@@ -289,3 +289,57 @@ def test_ledger_increments(docs, spark, monkeypatch):
     same = spark.createDataFrame([(i, "password=hunter2hunter2") for i in range(20)], "doc_id BIGINT, text STRING")
     assert secret_ledger.secrets(spark, same).count() == 20
     assert [k for k, _ in seen] == [False, True] and len(seen[0][1]) == 3 and seen[1][1] == []
+
+
+def test_long_words_made_for_a_polynomial_hash_differ(docs, spark):
+    """A word of 1,024 letters and its complement, by the parity of ones; they share nothing."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    frame = spark.createDataFrame([(1, a), (2, b), (3, a.upper()), (4, f"{a} x y"), (5, f"{b} x y")], "doc_id BIGINT, text STRING")
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)}
+
+
+def test_byte_bpe_of_long_white_space():
+    with open(RANKS, "rb") as f:
+        raw = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.Codec.of(raw, public_tokenizers.PATTERN)
+    assert len(codec.encode(("x" + "\t" * 5000) * 1100)) > 10 ** 6  # as deep as it is long for a recursion
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        text = "".join(str(rng.choice(["word", "é", "12", " ", "\n", "\t\t", "  ", " " * 5100, "\t" * 5001, "!?"])) for _ in range(rng.integers(1, 60)))
+        assert codec.encode(text, 50) == plain.encode_ordinary(text) and codec.decode(codec.encode(text, 50)) == text.encode()
+
+
+def test_word_ids_equal_the_library(docs, spark):
+    """Whole texts: added tokens in any case, Latin-1, other scripts, white space beyond ASCII, long words, a megabyte."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from footfall.llm.word_bpe import WordEncoder
+
+    library = Tokenizer.from_file(WORDS)
+    with open(WORDS) as f:
+        encoder = WordEncoder.of(f.read())
+    rng = random.Random(3)
+    pieces = ["a", "B", "é", "É", "ß", "Σσ", "İ", "日本", "한", " ", "  ", "\n", "\t", "\x0b", "\x85", "\xa0", "'s", "'LL", "’t", "1", "23", "!", "...",
+              "<|endoftext|>", "<|ENDOFTEXT|>", "<|start", "oftext|>", "K", "ſ", "é", "́", "ª", "µ", "×", "÷", "😀", "​", "\x00", "\x1c", "word" * 30]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + [None, LONG * 20]
+    texts.append(" ".join(rng.choice(pieces) for _ in range(200_000)))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode([t or "" for t in texts])] == want and encoder.encode([]) == []
+    frame = spark.createDataFrame(list(enumerate(texts[-300:])), "doc_id BIGINT, text STRING").repartition(3)
+    read = {r.doc_id: r for r in token_files.read(spark, token_files.write(frame, WORDS, 1)).collect()}
+    packed = {}
+    for r in packing.pack(frame, WORDS, 1, keep_ids=True).collect():
+        packed.setdefault(r.doc_id, []).append((r.piece, r.start, bytes(r.ids), r.sequence_id))
+    start = 0
+    for i, ids in enumerate(want[-300:]):
+        raw = np.array([*ids, 1], "<u4").tobytes()
+        assert (read[i].start, read[i].n_tokens, bytes(read[i].ids)) == (start, len(ids) + 1, raw)
+        start += len(ids) + 1
+        assert b"".join(x for _, _, x, _ in sorted(packed[i])) == raw
+    sequences = len({s for p in packed.values() for *_, s in p})
+    assert sequences <= 1.1 * (start / 4096) + 1
