@@ -75,8 +75,13 @@ def test_occupancy_and_base(spark, rows):
 
 
 def test_four_sides(spark, rows):
-    df = spark.createDataFrame([("inside", 0), ("inside", 1), ("outside", 1)], "side STRING, pair INT")
-    assert rows(clean.with_four_sides(df), "side") == [("inside",), ("inside1",), ("outside1",)]
+    """The second access point of a side is kept apart, by the order of names; unlisted ones have no side."""
+    from footfall.sources.dims import ap_dim
+
+    dim = ap_dim(spark, [("C", 3, "outside"), ("A", 3, "outside"), ("B", 3, "inside"), ("D", 3, "inside"), ("E", 1, "inside")])
+    df = spark.createDataFrame([(x,) for x in "ABCDEX"], "ap STRING")
+    assert rows(clean.with_four_sides(df, dim), "ap", "site_id", "side") == [
+        ("A", 3, "outside"), ("B", 3, "inside"), ("C", 3, "outside1"), ("D", 3, "inside1"), ("E", 1, "inside"), ("X", 0, None)]
 
 
 def test_properties_on_given_data(spark):
