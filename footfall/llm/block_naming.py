@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import hex_sha, rows_of, stored
+from footfall.llm.common import hex_sha, rows_of, stored, unused
 
 BLOCK_BYTES = 16384
 _KEY = ("doc_id", "text_sha256", "n_blocks")
@@ -95,11 +95,12 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, digest=F.xxhash64) ->
 
 
 def keep_last_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id stays; of rows that repeat a doc_id and text one remains."""
+    """The rows of docs whose doc_id stays, with all their columns; of rows that repeat a doc_id and text one remains."""
     def one(doc_id, sha):
         return F.concat_ws(":", sha, doc_id.cast("string"))
 
-    kept = exact_dedup(docs).where("kept").select(one(F.col("doc_id"), F.col("text_sha256")).alias("_one"))
+    key = unused(docs, "one")
+    kept = exact_dedup(docs).where("kept").select(one(F.col("doc_id"), F.col("text_sha256")).alias(key))
     sha = hex_sha(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    out = docs.withColumn("_one", one(F.col("doc_id"), sha)).dropDuplicates(["_one"])
-    return out.join(kept, "_one", "left_semi").drop("_one")
+    out = docs.withColumn(key, one(F.col("doc_id"), sha)).dropDuplicates([key])
+    return out.join(kept, key, "left_semi").drop(key)

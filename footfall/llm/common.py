@@ -36,3 +36,11 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 def hex_sha(c: Column | str) -> Column:
     """Lowercase hex SHA-256 of a text column's UTF-8 bytes or of a binary column."""
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has in any case: `name` behind enough underscores."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

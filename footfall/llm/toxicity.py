@@ -1,8 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 Labels are read only of documents whose crc32(doc_id as text) mod 3 is not 1. The lexicon has words and word beginnings
-that toxic documents have far more often; trees and calibration learn, on disjoint rows, from features that a lexicon of
-the other half of the rows gives. Fitting takes a sample of at most about `MAX_LABELLED` labelled rows, chosen by a hash of doc_id; scores take whole texts of all.
+that toxic documents have far more often, counted over all rows with such a label. Trees and calibration learn, on
+disjoint rows, from a sample of at most about `MAX_LABELLED` labelled rows, chosen by a hash of doc_id; their features
+come from a lexicon of the other half of the rows. Scores take whole texts of all.
 
 Features, per text: densities and weights of lexicon hits, nearness of hits to second-person words, capitals,
 punctuation, and signs of obfuscation. Neither doc_id, lang, source nor labels enter a score.
@@ -10,7 +11,6 @@ punctuation, and signs of obfuscation. Neither doc_id, lang, source nor labels e
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -22,15 +22,16 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import hex_sha, stored
+from footfall.llm.common import hex_sha, stored, unused
 
 MAX_LABELLED = 30_000
-MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6)
-LEAST_DOCS, LEAST_LOG_ODDS = 3, 2.5
+# A term of the lexicon is in at least so many toxic documents, so large a share of them, and has such log odds.
+LEAST_DOCS, LEAST_SHARE, LEAST_LOG_ODDS = 3, 0.001, 2.5
 THRESHOLD = 0.7
 NEAR = 5
-KEEP_WORDS = 300_000
+# A task forgets the words it knows beyond so many characters of them.
+KEEP_CHARS = 4_000_000
 # Common insults and second-person words.
 INSULTS = ("idiot moron loser stupid dumb scum trash garbage worthless pathetic disgusting clown fool ugly freak filth liar "
            "imbécile idiote crétin débile nul idiota imbécil estúpido tonto basura dumm dummkopf abschaum müll trottel").split()
@@ -41,6 +42,9 @@ _STRIP = ".,;:!?\"'()[]{}<>|#$%&*+=~^/\\@`_…-"
 FEATURES = ("words", "insults", "term_density", "prefix_density", "term_hits", "weight_density", "weight_most", "second_person",
             "near_second_person", "nearest", "capitals", "capital_words", "exclamation", "question", "punctuation", "digits_in_words",
             "symbols_in_words", "stretched", "leet_insults")
+# What a word says on its own; white space has none of it, so sums over words are sums over the text.
+FACTS = ("insult", "term", "prefix", "weight", "second_person", "capital_word", "digit_in_word", "symbol_in_word", "stretched",
+         "leet_insult", "upper", "exclamation", "question", "punctuation")
 
 
 def learns(doc_id: Column) -> Column:
@@ -55,36 +59,56 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.concat(words, *ends))
 
 
-def lexicon(labelled: DataFrame) -> dict[str, float]:
-    """Log odds of the terms that mark toxic texts, of rows (text, toxic); at most MAX_TERMS, by documents."""
-    total = labelled.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
-    if not total.n or not total.toxic or total.toxic == total.n:
+def term_counts(labelled: DataFrame) -> DataFrame:
+    """term, t0, n0, t1, n1: toxic and all documents with the term, of rows (text, toxic, half), by half.
+
+    Terms are summed up within tasks before they are shuffled.
+    """
+    terms = labelled.select("toxic", "half", F.explode(_terms(F.col("text"))).alias("term"))
+    sums = [F.sum(F.when(F.col("half") == h, x)).alias(f"{name}{h}") for h in (0, 1) for name, x in (("t", F.col("toxic")), ("n", F.lit(1)))]
+    return terms.groupBy("term").agg(*sums).na.fill(0)
+
+
+def lexicon(counts: DataFrame, totals: dict[int, tuple[int, int]], halves: tuple[int, ...]) -> dict[str, float]:
+    """Log odds of the terms that mark toxic texts in the given halves; totals: documents and toxic ones of each half.
+
+    A term is in LEAST_SHARE of all toxic documents, so there are at most 1 / LEAST_SHARE times as many terms as a toxic
+    document has on average, whatever the number of documents.
+    """
+    n, toxic = (sum(totals.get(h, (0, 0))[i] for h in halves) for i in (0, 1))
+    if not n or not toxic or toxic == n:
         return {}
-    seen = (labelled.select("toxic", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term")
-            .agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= LEAST_DOCS))
-    odds = (F.log((F.col("t") + 0.5) / F.lit(total.toxic + 1.0))
-            - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(total.n - total.toxic + 1.0)))
-    rows = (seen.withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-            .orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect())
-    return {r.term: r.odds for r in rows}
+    t, all_ = (sum((F.col(f"{name}{h}") for h in halves[1:]), F.col(f"{name}{halves[0]}")) for name in "tn")
+    odds = F.log((t + 0.5) / F.lit(toxic + 1.0)) - F.log((all_ - t + 0.5) / F.lit(n - toxic + 1.0))
+    rows = counts.where((t >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (odds >= LEAST_LOG_ODDS)).select("term", odds.alias("odds"))
+    return {r.term: r.odds for r in rows.collect()}
 
 
-class _Words:
-    """What a word says on its own, kept for words seen before."""
+class _Words(dict):
+    """The row in `table` of each word seen before: what it says on its own."""
 
     def __init__(self, terms: dict[str, float]):
-        self.terms, self.known = terms, {}
-        self.insults, self.second = set(INSULTS), set(SECOND_PERSON)
-
-    def facts(self, words: list[str]) -> np.ndarray:
-        out = list(map(self.known.get, words))
-        if None in out:
-            if len(self.known) > KEEP_WORDS:
-                self.known.clear()
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = self.known[words[i]] = self._fact(words[i])
-        return np.array(out, np.float32).reshape(-1, 9)
+        super().__init__()
+        self.terms, self.insults, self.second = terms, set(INSULTS), set(SECOND_PERSON)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.table, self.new, self.chars = np.zeros((0, len(FACTS)), np.float32), [], 0
+
+    def __missing__(self, raw: str) -> int:
+        self[raw] = at = len(self)
+        self.new.append(self._fact(raw))
+        self.chars += len(raw) + 50
+        return at
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def facts(self, rows: np.ndarray) -> np.ndarray:
+        if self.new:
+            self.table, self.new = np.concatenate([self.table, np.array(self.new, np.float32)]), []
+        return self.table[rows]
 
     def _fact(self, raw: str) -> tuple:
         word = raw.lower().strip(_STRIP)
@@ -92,41 +116,55 @@ class _Words:
         begin = max((self.terms.get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) > n), default=0.0)
         plain = word.translate(_LEET).replace(".", "") if word and not word.isalpha() else word
         letters = any(c.isalpha() for c in word)
-        return (word in self.insults, weight, begin, word in self.second, len(raw) > 2 and raw.isupper(),
+        return (word in self.insults, weight > 0, begin > 0, max(weight, begin), word in self.second, len(raw) > 2 and raw.isupper(),
                 letters and any(c.isdigit() for c in word), letters and any(not c.isalnum() and c not in "'’-" for c in word),
                 any(a == b == c and a.isalpha() for a, b, c in zip(word, word[1:], word[2:], strict=False)),
-                plain != word and (plain in self.insults or self.terms.get(plain, 0.0) > 0))
-
-
-def text_features(text: str, words: _Words) -> list[float]:
-    tokens = _WORD.findall(text)
-    if not tokens:
-        return [0.0] * len(FEATURES)
-    x, n, chars = words.facts(tokens), len(tokens), len(text)
-    weight = np.maximum(x[:, 1], x[:, 2])
-    hits = np.flatnonzero((weight > 0) | (x[:, 0] > 0))
-    second = np.flatnonzero(x[:, 3])
-    gaps = np.zeros(0)
-    if len(hits) and len(second):
-        at = np.searchsorted(second, hits)
-        gaps = np.minimum(np.abs(hits - second[np.minimum(at, len(second) - 1)]), np.abs(hits - second[np.maximum(at - 1, 0)]))
-    upper = sum(map(str.isupper, text)) if text != text.lower() else 0
-    mean = x.mean(0)
-    return [math.log1p(n), mean[0], (x[:, 1] > 0).mean(), (x[:, 2] > 0).mean(), math.log1p(len(hits)), weight.mean(), weight.max(),
-            mean[3], (gaps <= NEAR).sum() / n, 1 / (1 + gaps.min()) if len(gaps) else 0.0, upper / chars, mean[4],
-            text.count("!") / n, text.count("?") / n, sum(map(text.count, ".,;:#$%&*")) / chars, mean[5], mean[6], mean[7], mean[8]]
+                plain != word and (plain in self.insults or self.terms.get(plain, 0.0) > 0),
+                sum(map(str.isupper, raw)), raw.count("!"), raw.count("?"), sum(map(raw.count, ".,;:#$%&*")))
+
+
+def batch_features(texts: list[str], words: _Words) -> np.ndarray:
+    """One row of features per text; a text without words has zeros. Each distinct word is looked at once."""
+    out = np.zeros((len(texts), len(FEATURES)))
+    rows = [words.rows(_WORD.findall(t)) for t in texts]
+    full = [i for i, r in enumerate(rows) if len(r)]
+    if full:
+        n = np.array([len(rows[i]) for i in full])
+        chars = np.array([len(texts[i]) for i in full])
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        x = words.facts(np.concatenate([rows[i] for i in full]))
+        f = dict(zip(FACTS, np.add.reduceat(x, starts, axis=0, dtype=np.float64).T, strict=True))
+        hit = (x[:, FACTS.index("weight")] > 0) | (x[:, 0] > 0)
+        hits = np.add.reduceat(hit, starts, dtype=np.int64)
+        near, nearest = np.zeros(len(full)), np.zeros(len(full))
+        second = x[:, FACTS.index("second_person")] > 0
+        for i in np.flatnonzero((hits > 0) & (f["second_person"] > 0)):
+            a, b = starts[i], starts[i] + n[i]
+            here, other = np.flatnonzero(hit[a:b]), np.flatnonzero(second[a:b])
+            at = np.searchsorted(other, here)
+            gaps = np.minimum(np.abs(here - other[np.minimum(at, len(other) - 1)]), np.abs(here - other[np.maximum(at - 1, 0)]))
+            near[i], nearest[i] = (gaps <= NEAR).sum() / n[i], 1 / (1 + gaps.min())
+        most = np.maximum.reduceat(x[:, FACTS.index("weight")], starts)
+        out[full] = np.column_stack([
+            np.log1p(n), f["insult"] / n, f["term"] / n, f["prefix"] / n, np.log1p(hits), f["weight"] / n, most, f["second_person"] / n,
+            near, nearest, f["upper"] / chars, f["capital_word"] / n, f["exclamation"] / n, f["question"] / n, f["punctuation"] / chars,
+            f["digit_in_word"] / n, f["symbol_in_word"] / n, f["stretched"] / n, f["leet_insult"] / n])
+    if words.chars > KEEP_CHARS:
+        words.forget()
+    return out
 
 
 def features(docs: DataFrame, terms: dict[str, float], *keep: str) -> DataFrame:
     """doc_id, sha, x: the features of every row, with its integer columns `keep`. Null text counts as empty: all zero."""
     rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # at most MAX_TERMS entries
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # of a bounded number, see lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(shared.value)
         for batch in batches:
-            x = [[float(v) for v in text_features(t, words)] for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "sha": batch["sha"], "x": pa.array(x, pa.list_(pa.float64())),
+            x = batch_features(batch["text"].to_pylist(), words)
+            ends = np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "sha": batch["sha"], "x": pa.ListArray.from_arrays(ends, x.ravel()),
                                               **{k: batch[k].cast(pa.int64()) for k in keep}})
 
     schema = "doc_id BIGINT, sha STRING, x ARRAY<DOUBLE>" + "".join(f", {k} BIGINT" for k in keep)
@@ -142,18 +180,21 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     known = labels.where(F.col("toxic").isNotNull() & learns(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = stored(known, "toxicity-labels")  # so that Spark knows its size and broadcasts it only if it is small
     n = known.count()
     dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000))
     rate = min(1.0, MAX_LABELLED / max(n, 1)) * 1_000_000
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(10))
-    chosen = learns(F.col("doc_id")) & (dealt < rate)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = stored(texts.where(chosen).join(known.where(chosen), "doc_id").withColumn("part", part), "toxicity-labelled")
-    halves = [sample.where("part % 2 = 0"), sample.where("part % 2 = 1")]
+    labelled = texts.where(learns(F.col("doc_id"))).join(known, "doc_id").withColumn("part", part).withColumn("half", F.col("part") % 2)
+    counts = stored(term_counts(labelled).where(F.col("t0") + F.col("t1") >= LEAST_DOCS), "toxicity-terms")
+    totals = {r.half: (r.n, r.t) for r in labelled.groupBy("half").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
+    sample = stored(labelled.where(dealt < rate), "toxicity-labelled")
+    halves = [sample.where(F.col("half") == h) for h in (0, 1)]
     # rows to learn from get the features that the other half's lexicon gives them
-    own = [features(half, lexicon(other), "part", "toxic") for half, other in (halves, halves[::-1])]
+    own = [features(halves[h], lexicon(counts, totals, (1 - h,)), "part", "toxic") for h in (0, 1)]
     fit = stored(own[0].unionByName(own[1]), "toxicity-rows").withColumn("features", array_to_vector("x"))
-    x = stored(features(docs, lexicon(sample)), "toxicity-features").withColumn("features", array_to_vector("x"))
+    x = stored(features(docs, lexicon(counts, totals, (0, 1))), "toxicity-features").withColumn("features", array_to_vector("x"))
     held = (~learns(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("held_out")
     shares = {r.late: (r.n, r.t) for r in fit.groupBy((F.col("part") >= 8).alias("late")).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
     if len(shares) < 2 or any(t in (0, n) for n, t in shares.values()):
@@ -171,10 +212,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic."""
+    """The rows of docs that are not predicted toxic, with all their columns."""
     def one(doc_id: Column, sha: Column) -> Column:
         return F.concat_ws(":", sha, doc_id.cast("string"))
 
-    bad = stored(score(docs, labels).where("predicted = 1").select(one(F.col("doc_id"), F.col("sha")).alias("_one")).distinct(), "toxic")
-    rows = docs.withColumn("_one", one(F.col("doc_id").cast("long"), hex_sha(F.coalesce("text", F.lit("")))))
-    return rows.join(bad, "_one", "left_anti").drop("_one")
+    key = unused(docs, "one")
+    bad = stored(score(docs, labels).where("predicted = 1").select(one(F.col("doc_id"), F.col("sha")).alias(key)).distinct(), "toxic")
+    rows = docs.withColumn(key, one(F.col("doc_id").cast("long"), hex_sha(F.coalesce("text", F.lit("")))))
+    return rows.join(bad, key, "left_anti").drop(key)

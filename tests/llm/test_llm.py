@@ -105,6 +105,53 @@ def test_fingerprints(docs):
     assert bottom_k.compare_edits(docs.limit(0)).count() == 0
 
 
+def test_sketches_against_plain_sets(spark):
+    """Likeness, containment, distinct count and merging are exact below k, near the truth above, and follow doc_id."""
+    rng = np.random.default_rng(7)
+    pool = [f"w{i}" for i in range(3000)]
+    ids = sorted({int(i) for i in rng.integers(-2 ** 62, 2 ** 62, 40)} | {0, 1, 4095, 4096, 2 ** 62 + 1, 2 ** 62 - 1}, reverse=True)
+    texts, base = [], list(rng.choice(pool, 1500))
+    for n in range(len(ids)):
+        size = int(rng.choice([0, 3, 40, 60, 900]))
+        texts.append(" ".join(base[:size] + list(rng.choice(pool, size // 4))))
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id BIGINT, text STRING")
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    def near(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    got = {r.doc_id: r for r in bottom_k.compare_edits(frame).collect()}
+    for i, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+        other, half = texts[(i + 1) % len(ids)], len(text) // 2
+        edit = text[:len(text) - half] + other[:half]
+        assert got[doc_id].edited_sha256 == sha(edit)
+        for found, a, b in ((got[doc_id].near_edited, text, edit), (got[doc_id].near_next, text, other)):
+            a, b = shingles(a), shingles(b)
+            assert abs(found - near(a, b)) <= (1e-9 if len(a | b) <= bottom_k.K else 0.2)
+    a, b = bottom_k.F.col("a"), bottom_k.F.col("b")
+    pairs = spark.createDataFrame(list(zip(texts, texts[1:])), "s STRING, t STRING").select(
+        "s", "t", bottom_k.sketch(bottom_k.F.col("s")).alias("a"), bottom_k.sketch(bottom_k.F.col("t")).alias("b"))
+    for r in pairs.select("s", "t", bottom_k.distinct_count(a).alias("n"), bottom_k.containment(a, b).alias("c")).collect():
+        x, y = shingles(r.s), shingles(r.t)
+        exact = len(x | y) < bottom_k.K
+        assert abs(r.n - len(x)) <= (1e-9 if len(x) < bottom_k.K else 0.35 * len(x))
+        assert abs(r.c - (len(x & y) / len(x) if x else 1.0)) <= (1e-9 if exact else 0.35)
+    whole = bottom_k.merged(bottom_k.fingerprints(frame).withColumn("one", bottom_k.F.lit(1)), "one").first().sketch
+    hashes = {h for r in bottom_k.fingerprints(frame, 10 ** 6).collect() for h in r.sketch}
+    assert whole == sorted(hashes)[:bottom_k.K]
+
+
+def test_next_lower_segment_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(bottom_k, "SEGMENT_BITS", 2)
+    values = sorted({int(v) for v in np.random.default_rng(1).integers(-500, 500, 60)} | {-(2 ** 62)}, reverse=True)
+    got = bottom_k._next_lower(spark.createDataFrame([(v,) for v in values], "segment BIGINT")).collect()
+    assert {r.segment: r.then for r in got} == dict(zip(values, [*values[1:], None], strict=True))
+    assert len(got) == len(values)
+
+
 def test_jaccard(docs):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
     assert {(1, 8, 1), (2, 0, 2), (3, 0, 3), (4, 8, 1), (9, 0, 9), (None, 1, None)} <= got
@@ -187,6 +234,56 @@ def test_toxicity_learns_from_its_rows_only(spark):
     assert {r.score for r in toxicity.score(docs, spark.createDataFrame([], schema)).collect()} == {0.0}
 
 
+def _plain_features(text, terms):
+    """The features one after the other, straight from their description."""
+    words = text.split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    bare = [w.lower().strip(toxicity._STRIP) for w in words]
+    weight = [max([terms.get(w, 0.0)] + [terms.get(w[:n] + "*", 0.0) for n in toxicity.PREFIXES if len(w) > n]) for w in bare]
+    insult = [w in toxicity.INSULTS for w in bare]
+    second = [i for i, w in enumerate(bare) if w in toxicity.SECOND_PERSON]
+    hits = [i for i in range(len(bare)) if weight[i] > 0 or insult[i]]
+    gaps = [min(abs(i - j) for j in second) for i in hits] if second else []
+    n, chars = len(words), len(text)
+    plain = [w if not w or w.isalpha() else w.translate(toxicity._LEET).replace(".", "") for w in bare]
+    letters = [any(map(str.isalpha, w)) for w in bare]
+    return [np.log1p(n), sum(insult) / n, sum(terms.get(w, 0) > 0 for w in bare) / n,
+            sum(any(terms.get(w[:k] + "*", 0) > 0 for k in toxicity.PREFIXES if len(w) > k) for w in bare) / n, np.log1p(len(hits)),
+            sum(weight) / n, max(weight), len(second) / n, sum(g <= toxicity.NEAR for g in gaps) / n, 1 / (1 + min(gaps)) if gaps else 0,
+            sum(c.isupper() for c in text) / chars, sum(len(w) > 2 and w.isupper() for w in words) / n, text.count("!") / n,
+            text.count("?") / n, sum(c in ".,;:#$%&*" for c in text) / chars,
+            sum(a and any(map(str.isdigit, w)) for a, w in zip(letters, bare)) / n,
+            sum(a and any(not c.isalnum() and c not in "'’-" for c in w) for a, w in zip(letters, bare)) / n,
+            sum(any(w[i].isalpha() and w[i] == w[i + 1] == w[i + 2] for i in range(len(w) - 2)) for w in bare) / n,
+            sum(p != w and (p in toxicity.INSULTS or terms.get(p, 0) > 0) for p, w in zip(plain, bare)) / n]
+
+
+def test_toxicity_features_against_a_plain_version(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = ["you", "idiot,", "id1ot", "YOUR", "Scumbag!", "scum", "soooo", "fine!?", "$tupid", "don't", "a.b", "É", "ÇA", "x" * 300, "12", "...", "vil3"]
+    terms = {"scum*": 3.5, "vile": 2.75, "fine": 4.0}
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 40))) for _ in range(200)] + ["", "   \n", "you " * 5000 + "idiot"]
+    want = [_plain_features(t, terms) for t in texts]
+    for keep in (toxicity.KEEP_CHARS, 100):
+        monkeypatch.setattr(toxicity, "KEEP_CHARS", keep)
+        words = toxicity._Words(terms)
+        got = np.concatenate([toxicity.batch_features(texts[i:i + 7], words) for i in range(0, len(texts), 7)])
+        assert np.allclose(got, want)
+
+
+def test_toxicity_lexicon_counts_all_labelled_rows(spark):
+    """Terms of both halves; a share of toxic documents is needed, so the number of terms does not grow."""
+    rows = [("vile thing" if i % 4 == 0 else "calm thing", int(i % 4 == 0), (i // 4) % 2) for i in range(400)] + [("rarity", 1, 0)] * 2
+    counts = toxicity.term_counts(spark.createDataFrame(rows, "text STRING, toxic INT, half INT"))
+    r = {c.term: c for c in counts.collect()}
+    assert (r["vile"].t0, r["vile"].n0, r["vile"].t1, r["vile"].n1) == (50, 50, 50, 50)
+    assert (r["thing"].t0, r["thing"].n0, r["rarity"].t0, r["rarity"].t1) == (50, 200, 2, 0)
+    totals = {0: (202, 52), 1: (200, 50)}
+    assert set(toxicity.lexicon(counts, totals, (0, 1))) == set(toxicity.lexicon(counts, totals, (1,))) == {"vile"}
+    assert toxicity.lexicon(counts, {}, (0, 1)) == {}
+
+
 def test_license_scan(spark):
     rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, None), (3, "my license to drive"), (4, "All rights reserved."),
             (5, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0.")]
@@ -239,6 +336,31 @@ def test_several_licenses_in_one_block():
     assert names("Released under MIT License.") == ["MIT"]
 
 
+def test_licenses_come_from_their_dictionaries():
+    """Each notice is found; with the dictionaries of other templates, which save nothing, most are not."""
+    scanner = license_scan.Scanner(license_scan.templates_of_the_package())
+    texts = [(n, t) for n, many in license_scan.TEMPLATES.items() for t in ([many] if isinstance(many, str) else many)]
+    assert all([m[0] for m in scanner.find(t)] == [n] for n, t in texts)
+    given = [t.given for t in scanner.templates]
+    for t, other in zip(scanner.templates, given[::-1], strict=True):
+        t.given = other
+    assert sum([m[0] for m in scanner.find(t)] != [n] for n, t in texts) > len(texts) / 3
+
+
+def test_license_blocks_hold_every_span():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        t = license_scan.Template("t", "a " * int(rng.integers(1, 30)))
+        length = int(rng.integers(1, 400))
+        cues = sorted({int(c) for c in rng.integers(0, length, rng.integers(1, 40))})
+        blocks = list(t.blocks(cues, length))
+        most = t.n + t.most
+        assert all(hi - lo <= 4 * most for lo, hi in blocks)
+        for c in cues:
+            for start in range(max(0, c - most + 1), c + 1):
+                assert any(lo <= start and min(start + most, length) <= hi for lo, hi in blocks)
+
+
 def test_license_alignment_against_plain_edit_distance():
     rng = np.random.default_rng(2)
     for _ in range(300):
@@ -266,6 +388,14 @@ def test_license_alignment_against_plain_edit_distance():
             assert row[-1] == distance
 
 
+def test_secrets_of_one_long_text(spark):
+    """Many matches in one text, in linear time; positions equal the plain version's."""
+    text = "".join(f"token = abc{i} é secret: x{'yz' * (i % 4)} " for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "token = abcdef")], "doc_id BIGINT, text STRING")
+    got = sorted((tuple(r) for r in secret_ledger.secrets(spark, docs).collect()), key=str)
+    assert got == secrets([(1, text), (2, "token = abcdef")])
+
+
 def test_ledger_increments(docs, spark, monkeypatch):
     """Only a new blob and a raised rule version are scanned; the query's second slice skips the blobs of the first."""
     ledger = secret_ledger.update(spark, docs)

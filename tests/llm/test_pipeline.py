@@ -83,3 +83,20 @@ def test_near_copies_by_id_and_text(spark, tmp_path):
     assert len(got) == 8
     assert {(1, a), (2, b), (4, None), (5, ""), (None, "  "), (6, d[::-1])} <= set(got)
     assert sum(i == 3 for i, _ in got) == 1 and sum(t is not None and t.startswith(d) for _, t in got) == 1
+
+
+def test_stages_keep_columns_named_like_helpers(spark, tmp_path):
+    """Further columns keep their names and values, also those that a stage would take for itself."""
+    extra = ["blob", "cuts", "_blob", "_one", "one", "_key", "row", "start", "Found", "component_id", "sha", "x.y"]
+    rows = [(1, "password = 'hunter2hunter2' among words", 40), (2, "a fine day for all of us here", 29), (2, "a fine day for all of us here", 29),
+            (3, "a fine day for all of us here", 29), (4, None, 0), (None, "", 0)]
+    docs = spark.createDataFrame([(i, t, n, *[f"{c}{k}" for c in extra]) for k, (i, t, n) in enumerate(rows)],
+                                 ["doc_id", "text", "n_chars", *extra])
+    spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            k = int(r["blob"][4:])
+            assert [r[c] for c in extra] == [f"{c}{k}" for c in extra], name
+            assert r["text"] == ("[secret]' among words" if name == "secret scans" and k == 0 else rows[k][1])
