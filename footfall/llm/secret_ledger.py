@@ -10,12 +10,13 @@ matches themselves give all positions as running sums, without a Python function
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import hex_sha, rows_of, stored
+from footfall.llm.common import hex_sha, rows_of, stored, unused
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,8 @@ RULES = (
 )
 # Slices of a table that the query works off one after the other, the ledger written in between.
 INCREMENTS = 2
-LEDGER = "blob STRING, rule STRING, spans ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>"
+SPANS = "array<struct<start:bigint,stop:bigint>>"
+LEDGER = f"blob STRING, rule STRING, spans {SPANS}"
 
 
 def _quick(rule: Rule) -> str:
@@ -50,25 +52,53 @@ def _quick(rule: Rule) -> str:
     return f"{rule.pattern[:-1]}{{{rule.least},}}" if one_class and rule.pattern.endswith("+") else rule.pattern
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, stop) of the matches of one rule."""
-    whole, part = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
-    between = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(F.zip_with(F.slice(between, 1, F.size(whole)), whole,
-                                    lambda b, w: F.struct(F.length(b).alias("gap"), F.length(w).alias("n"))), part,
-                         lambda x, p: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(p).alias("part")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"),
-                    F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("out"))
+def _none() -> Column:
+    return F.array().cast(SPANS)
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _placed(pieces: Column, least: int) -> Column:
+    """(start, stop) of the pieces (gap, n, part) with a long enough part, each piece after the one before it.
+
+    Sums run over stretches of about the square root of the number of pieces, then over the stretches, so that no array
+    grows match by match to the length of them all.
+    """
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         stop = start + x["n"]
         found = F.array(F.struct(start.alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], found))
+        return F.struct(stop.alias("at"), F.when(x["part"] >= least, F.concat(F.coalesce(acc["out"], _none()), found))
                         .otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    return F.when(text.rlike(_quick(rule)), F.aggregate(lengths, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def stretches(all_: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(all_))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(all_), size), lambda i: F.aggregate(F.slice(all_, i, size), zero, step))
+
+    def moved(done: Column) -> Column:
+        first = F.array(F.lit(0).cast("long"))
+        offsets = F.aggregate(done, first, lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d["at"])))
+        shifted = F.zip_with(done, offsets, lambda d, o: F.transform(F.coalesce(d["out"], _none()), lambda s: F.struct(
+            (s["start"] + o).alias("start"), (s["stop"] + o).alias("stop"))))
+        return F.flatten(shifted)
+
+    return F.when(F.size(pieces) == 0, _none()).otherwise(_with(_with(pieces, stretches), moved))
+
+
+def spans(text: Column, rule: Rule) -> Column:
+    """Array of (start, stop) of the matches of one rule."""
+    whole, part = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
+    between = F.split(text, rule.pattern, -1)
+    pieces = F.zip_with(F.zip_with(between, whole, lambda b, w: F.struct(F.length(b).alias("gap"), F.length(w).alias("n"))), part,
+                        lambda x, p: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(p).alias("part")))
+    # the text after the last match has no match of its own
+    matches = _with(pieces, lambda all_: _with(F.slice(all_, 1, F.size(all_) - 1), lambda m: _placed(m, rule.least)))
+    return F.when(text.rlike(_quick(rule)), matches).otherwise(_none())
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -144,31 +174,29 @@ def secrets(spark: SparkSession, docs: DataFrame, ledger: DataFrame | None = Non
 
 
 def redacted(spark: SparkSession, docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every span replaced by `mark` and n_chars, if there, counted anew; overlapping spans merge first."""
-    hits = stored(secret_cuts(spark, docs), "cuts")
-    out = docs.withColumn("_blob", hex_sha(F.coalesce("text", F.lit("")))).join(hits, F.col("_blob") == hits["blob"], "left")
-    keep = F.transform("cuts", lambda c: F.substring(F.col("text"), c["start"].cast("int") + 1, (c["stop"] - c["start"]).cast("int")))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(keep, mark))
+    """docs with every span replaced by `mark` and n_chars, if there, counted anew; overlapping spans merge first.
+
+    Further columns stay as they are, whatever their names.
+    """
+    blob, cuts = unused(docs, "blob"), unused(docs, "cuts")
+    hits = stored(secret_cuts(spark, docs).select(F.col("blob").alias(blob), F.col("cuts").alias(cuts)), "cuts")
+    out = docs.withColumn(blob, hex_sha(F.coalesce("text", F.lit("")))).join(hits, blob, "left")
+    keep = F.transform(cuts, lambda c: F.substring(F.col("text"), c["start"].cast("int") + 1, (c["stop"] - c["start"]).cast("int")))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(keep, mark))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def secret_cuts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(blob, cuts): the stretches of code points outside all spans, for blobs with spans."""
-    ledger = update(spark, docs)
-    by_blob = (ledger.where(F.size("spans") > 0).groupBy("blob")
-               .agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("found")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        outside = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), s["start"].alias("stop"))))
-        first = F.size(acc["out"]) == 0
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"),
-                        F.when(first | (s["start"] >= acc["at"]), outside).otherwise(acc["out"]).alias("out"))
-
+    every = update(spark, docs).select("blob", F.inline("spans"))
+    order = Window.partitionBy("blob").orderBy("start", "stop")
+    # where all spans before this one end; a span that starts behind that leaves a stretch in between
+    at = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    outside = F.when(F.col("start") >= F.col("at"), F.struct(F.col("at").alias("start"), F.col("start").alias("stop")))
     end = F.lit(2 ** 31 - 2).cast("long")
-    last = F.array(F.struct(F.col("cut.at").alias("start"), end.alias("stop")))
-    cut = by_blob.select("blob", F.aggregate("found", zero, step).alias("cut"))
-    return cut.select("blob", F.concat("cut.out", last).alias("cuts"))
+    return (every.withColumn("at", at).groupBy("blob")
+            .agg(F.sort_array(F.collect_list(outside)).alias("cuts"), F.max("stop").alias("last"))
+            .select("blob", F.concat("cuts", F.array(F.struct(F.col("last").alias("start"), end.alias("stop")))).alias("cuts")))
