@@ -19,8 +19,8 @@ from footfall.llm.common import hex_sha, rows_of, stored
 
 K = 128
 SHINGLE = 5
-# Consecutive doc_ids share a window partition of at most so many different ids.
-SEGMENT_IDS = 4096
+# Doc_ids that agree but for so many low bits share a window partition.
+SEGMENT_BITS = 12
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,20 +86,35 @@ def merged(sketches: DataFrame, *keys: str, k: int = K) -> DataFrame:
 def _in_order(docs: DataFrame) -> tuple[DataFrame, Window]:
     """Rows dealt by segment of doc_id, and the order within a segment: descending doc_id, null last, then by digest."""
     rows = rows_of(docs).withColumn("sha", hex_sha("text"))
-    rows = rows.withColumn("segment", F.coalesce(F.floor(F.col("doc_id") / SEGMENT_IDS), F.lit(-(2 ** 62))))
+    rows = rows.withColumn("segment", F.coalesce(F.shiftright("doc_id", SEGMENT_BITS), F.lit(-(2 ** 62))))
     return rows.repartition("segment"), Window.partitionBy("segment").orderBy(F.desc_nulls_last("doc_id"), F.desc("sha"))
 
 
+def _next_lower(segments: DataFrame) -> DataFrame:
+    """(segment, then): the next lower of the distinct segments, null for the lowest.
+
+    Segments are put in segments of their own, level by level, until one window holds them: with sparse ids there may be
+    as many as documents, and no task gets more than 2 ** SEGMENT_BITS of them.
+    """
+    falling = F.desc("segment")
+    if segments.count() <= 2 ** SEGMENT_BITS:
+        return segments.select("segment", F.lead("segment").over(Window.orderBy(falling)).alias("then"))
+    rows = segments.withColumn("upper", F.shiftright("segment", SEGMENT_BITS))
+    heads = stored(rows.groupBy("upper").agg(F.max("segment").alias("head")), "heads")
+    bridge = (_next_lower(heads.select(F.col("upper").alias("segment")))
+              .join(heads.withColumnRenamed("upper", "then"), "then").select(F.col("segment").alias("upper"), "head"))
+    within = F.lead("segment").over(Window.partitionBy("upper").orderBy(falling))
+    return rows.withColumn("then", within).join(bridge, "upper", "left").select("segment", F.coalesce("then", "head").alias("then"))
+
+
 def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch: the next document by descending doc_id, the first after the last.
 
-    Each segment looks ahead on its own; what follows its last document is the first one of the next lower segment,
-    of which there is one row per segment.
+    Each segment looks ahead on its own; what follows its last document is the first one of the next lower segment.
     """
     rows, w = _in_order(docs)
     first = stored(rows.withColumn("place", F.row_number().over(w)).where("place = 1").select("segment", "text"), "segments")
-    order = Window.orderBy(F.desc("segment"))
-    after = first.select("segment", F.lead("segment").over(order).alias("then"))
+    after = _next_lower(first.select("segment"))
     after = after.withColumn("then", F.coalesce("then", F.lit(first.agg(F.max("segment")).first()[0]).cast("long")))
     bridge = (after.join(first.withColumnRenamed("segment", "then"), "then")
               .select("segment", F.col("text").alias("bridge"), sketch(F.col("text"), k).alias("bridge_sketch")))
