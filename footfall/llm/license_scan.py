@@ -1,12 +1,13 @@
 """License scans by conditional compression.
 
-A text is taken as its words, so line breaks and comment marks do not count. Windows around cues of licensing, as long
-as a template and its allowed differences, are aligned with the template by word edit distance, in order
-(bit-parallel, Myers 1999). A span is confirmed by at most MOST_DIFFERENT of the template's words missing, replaced
-or added, and by saving bytes when compressed with the template as raw dictionary instead of alone. In short
-notices the license's own name and version are not among the words that may differ. Every template is tried; of spans
-that overlap the one with the most matching words beyond its differences stays, then the one that saves most. One
-block may give several licenses. SPDX tags are read as they are.
+A text is taken as its words, so line breaks and comment marks do not count. Candidate blocks are runs of words around
+cues of licensing, long enough for a template and its allowed differences; where they meet, longer runs of at most
+four times that length that overlap by half. Each block is compressed alone and with the template as raw dictionary.
+Of a text, all pairs of block and template are ranked by the bytes that the dictionary saves; each one that saves any is
+confirmed in that order by the exact differences in wording: a span of the block, aligned with the template by word
+edit distance (bit-parallel, Myers 1999), with at most MOST_DIFFERENT of the template's words missing, replaced or
+added. In short notices the license's own name and version are not among the words that may differ. A span stays
+unless it overlaps one that ranked higher. One block may give several licenses. SPDX tags are read as they are.
 """
 
 from __future__ import annotations
@@ -125,17 +126,19 @@ class Template:
                 return False
         return True
 
-    def windows(self, cues: Sequence[int], length: int) -> Iterator[tuple[int, int]]:
-        """Runs of words that hold every span with a cue; windows that meet are one."""
-        reach, lo, hi = self.n + self.most, None, 0
+    def blocks(self, cues: Sequence[int], length: int) -> Iterator[tuple[int, int]]:
+        """Runs of words, at most four times as long as the longest span; every span with a cue lies in one of them."""
+        reach = self.n + self.most
+        runs: list[list[int]] = []
         for c in cues:
-            if lo is not None and c - reach <= hi:
-                hi = min(c + reach, length)
+            if runs and c - reach <= runs[-1][1]:
+                runs[-1][1] = min(c + reach, length)
             else:
-                if lo is not None:
-                    yield lo, hi
-                lo, hi = max(c - reach, 0), min(c + reach, length)
-        if lo is not None:
+                runs.append([max(c - reach, 0), min(c + reach, length)])
+        for lo, hi in runs:
+            while hi - lo > 4 * reach:
+                yield lo, lo + 4 * reach
+                lo += 2 * reach
             yield lo, hi
 
     def spans(self, words: Sequence[str], lo: int, hi: int) -> list[tuple[int, int, int]]:
@@ -169,34 +172,30 @@ class Scanner:
         self.templates = [Template(n, t) for n, many in templates.items() for t in ([many] if isinstance(many, str) else many)]
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
-        """(license, bytes saved, template words missing) of every confirmed span, in the order of the text."""
+        """(license, bytes saved on its block, template words missing) of every confirmed span, in the order of the text."""
         tags = [(i, 0, 0) for m in _SPDX.finditer(text) for i in self.tagged(m[1])]
         places = list(_WORD.finditer(text))
         ends = [m.end() for m in places]
         # the word that holds the first character of a cue
         cues = sorted({bisect_left(ends, m.start() + 1) for m in _CUE.finditer(text)})
         words = words_of(text)
-        have, found = Counter(words), []
-        for t in self.templates:
-            if not t.n or not t.may_be_in(have):
-                continue
-            for lo, hi in t.windows(cues, len(words)):
-                for start, end, distance in t.spans(words, lo, hi):
-                    span = words[start:end]
-                    if not t.named.issubset(span):
-                        continue
-                    raw = " ".join(span).encode()
-                    gain = len(self.alone.compress(raw)) - len(t.given.compress(raw))
-                    if gain > 0:
-                        missing = t.missing(span)
-                        found.append((t.n - missing - distance, gain, t.name, start, end, missing))
+        have = Counter(words)
+        ranked = [(self.saving(t, words[lo:hi]), at, lo, hi) for at, t in enumerate(self.templates) if t.n and t.may_be_in(have)
+                  for lo, hi in t.blocks(cues, len(words))]
         chosen: list[tuple] = []
-        for _, gain, name, start, end, missing in sorted(found, key=lambda f: (-f[0], -f[1], *f[2:])):
-            at = bisect_left(chosen, (end,))
-            if not at or chosen[at - 1][1] <= start:
-                insort(chosen, (start, end, name, gain, missing))
+        for gain, which, lo, hi in sorted((r for r in ranked if r[0] > 0), key=lambda r: (-r[0], *r[1:])):
+            t = self.templates[which]
+            for start, end, _ in t.spans(words, lo, hi):
+                span, at = words[start:end], bisect_left(chosen, (end,))
+                if t.named.issubset(span) and (not at or chosen[at - 1][1] <= start):
+                    insort(chosen, (start, end, t.name, gain, t.missing(span)))
         return tags + [(name, gain, missing) for _, _, name, gain, missing in chosen]
 
+    def saving(self, template: Template, words: Sequence[str]) -> int:
+        """Bytes that the template as dictionary saves on a block."""
+        raw = " ".join(words).encode()
+        return len(self.alone.compress(raw)) - len(template.given.compress(raw))
+
     @staticmethod
     def tagged(expression: str) -> list[str]:
         """Licenses of an SPDX expression, without exceptions and operators."""
