@@ -31,13 +31,14 @@ LEAST_DOCS, LEAST_SHARE, LEAST_LOG_ODDS = 3, 0.001, 2.5
 THRESHOLD = 0.7
 NEAR = 5
 # A task forgets the words it knows beyond so many characters of them.
-KEEP_CHARS = 4_000_000
+KEEP_CHARS = 20_000_000
 # Common insults and second-person words.
 INSULTS = ("idiot moron loser stupid dumb scum trash garbage worthless pathetic disgusting clown fool ugly freak filth liar "
            "imbécile idiote crétin débile nul idiota imbécil estúpido tonto basura dumm dummkopf abschaum müll trottel").split()
 SECOND_PERSON = "you your yours yourself u ur tu toi ton ta tes vous votre vos du dich dir dein deine ihr euch usted ustedes tus te".split()
 _LEET = str.maketrans("013457@$!*", "oieastasi.")
 _WORD = re.compile(r"\S+")
+_THRICE = re.compile(r"(.)\1\1", re.S)
 _STRIP = ".,;:!?\"'()[]{}<>|#$%&*+=~^/\\@`_…-"
 FEATURES = ("words", "insults", "term_density", "prefix_density", "term_hits", "weight_density", "weight_most", "second_person",
             "near_second_person", "nearest", "capitals", "capital_words", "exclamation", "question", "punctuation", "digits_in_words",
@@ -90,6 +91,7 @@ class _Words(dict):
     def __init__(self, terms: dict[str, float]):
         super().__init__()
         self.terms, self.insults, self.second = terms, set(INSULTS), set(SECOND_PERSON)
+        self.begins = [(n, {t[:-1]: w for t, w in terms.items() if t[-1] == "*" and len(t) == n + 1}) for n in PREFIXES]
         self.forget()
 
     def forget(self) -> None:
@@ -112,15 +114,23 @@ class _Words(dict):
 
     def _fact(self, raw: str) -> tuple:
         word = raw.lower().strip(_STRIP)
-        weight = self.terms.get(word, 0.0)
-        begin = max((self.terms.get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) > n), default=0.0)
-        plain = word.translate(_LEET).replace(".", "") if word and not word.isalpha() else word
-        letters = any(c.isalpha() for c in word)
+        weight, begin = self.terms.get(word, 0.0), 0.0
+        for n, known in self.begins:
+            if len(word) > n:
+                begin = max(begin, known.get(word[:n], 0.0))
+        if word.isalpha():  # most words: nothing to look for among the characters
+            digit = symbol = leet = False
+            stretched = _THRICE.search(word) is not None
+        else:
+            letters = any(map(str.isalpha, word))
+            digit = letters and any(map(str.isdigit, word))
+            symbol = letters and any(not c.isalnum() and c not in "'’-" for c in word)
+            stretched = any(m[1].isalpha() for m in _THRICE.finditer(word))
+            plain = word.translate(_LEET).replace(".", "")
+            leet = plain != word and (plain in self.insults or self.terms.get(plain, 0.0) > 0)
+        marks = (0, 0, 0) if raw.isalpha() else (raw.count("!"), raw.count("?"), sum(map(raw.count, ".,;:#$%&*")))
         return (word in self.insults, weight > 0, begin > 0, max(weight, begin), word in self.second, len(raw) > 2 and raw.isupper(),
-                letters and any(c.isdigit() for c in word), letters and any(not c.isalnum() and c not in "'’-" for c in word),
-                any(a == b == c and a.isalpha() for a, b, c in zip(word, word[1:], word[2:], strict=False)),
-                plain != word and (plain in self.insults or self.terms.get(plain, 0.0) > 0),
-                sum(map(str.isupper, raw)), raw.count("!"), raw.count("?"), sum(map(raw.count, ".,;:#$%&*")))
+                digit, symbol, stretched, leet, 0 if raw.islower() else sum(map(str.isupper, raw)), *marks)
 
 
 def batch_features(texts: list[str], words: _Words) -> np.ndarray:
