@@ -7,7 +7,7 @@ a pair is found by one rare token of both extended prefixes or by a combination
 
 1. Documents with equal sets are one class from here on.
 2. Counters of fixed size estimate how frequent tokens are; they decide on the order only, never on results.
-3. Tokens of extended prefixes that occur in one class only are dropped.
+3. Tokens of extended prefixes that occur in one class only are dropped, frequent ones after the stars.
 4. Stars: members of an index group that are not in the group's largest component are compared with one member of it.
    After a few rounds a group of many near copies that are like its leaders is one component, and its pairs need not
    be listed.
@@ -31,7 +31,7 @@ from footfall.llm.shingles import mixed, parity_bits, segments, shingles
 SHINGLE, PERCENT = 3, 90
 RARE = 64
 STAR_ROUNDS = 3
-BLOCK_PAIRS = 200_000
+BLOCK_PAIRS, BLOCK_ROWS = 200_000, 65_536
 # Parity bits of the second filter, for the texts of candidate pairs only.
 FINE = 1 << 14
 # Counters of the frequency estimate, and the slices in which they are summed.
@@ -106,10 +106,56 @@ def _prefixes(docs: DataFrame, size: int, percent: int, classes: np.ndarray) ->
             # tokens are sorted within a document, so a stable sort by class leaves them in order of class and token
             keep = np.concatenate([np.zeros(0, np.int64), *[x + np.argsort(rank[x:z], kind="stable")[:m]
                                                             for (x, z), m in zip(segments(doc, len(n)), most.tolist(), strict=True)]])
-            yield pa.RecordBatch.from_pydict({"token": pa.array(h[keep].view(np.int64)), "sid": pa.array(sid[doc[keep]]),
-                                              "n": pa.array(n[doc[keep]], pa.int64())})
+            mine = sid[doc[keep]]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(h[keep].view(np.int64)), "sid": pa.array(mine), "n": pa.array(n[doc[keep]], pa.int64()),
+                                              "deal": pa.array(np.where(rank[keep] > 0, mine | 1, 0), pa.int64())})
 
-    return rows_of(docs).mapInArrow(run, "token BIGINT, sid BIGINT, n BIGINT")
+    return rows_of(docs).mapInArrow(run, "token BIGINT, sid BIGINT, n BIGINT, deal BIGINT")
+
+
+def _several(tokens: DataFrame) -> DataFrame:
+    """token, sid, n, once each, of the tokens that more than one set has; frequent ones stay without a look.
+
+    Rows are shuffled once, by token, those of frequent tokens by token and set. A task sees its tokens in order; of a
+    token it has to know only whether the first and the last set differ, so it holds one block and the rows that have
+    the block's last token and its only set so far: one row, as repeated ones go.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        before = None  # token and set of the last row seen
+        for batch in batches:
+            held.append(np.stack([batch[c].to_numpy() for c in ("token", "sid", "n", "deal")], 1))
+            if sum(map(len, held)) >= BLOCK_ROWS:
+                rows = np.concatenate(held)
+                out, rest, before = block(rows, before, False)
+                held = [rest]
+                yield out
+        if held:
+            yield block(np.concatenate(held), before, True)[0]
+
+    def block(rows: np.ndarray, before: tuple[int, int] | None, end: bool) -> tuple[pa.RecordBatch, np.ndarray, tuple[int, int] | None]:
+        token, sid = rows[:, 0], rows[:, 1]
+        other = np.ones(len(rows), bool)  # not the same token and set as the row above
+        other[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+        goes_on = before is not None and len(rows) > 0 and token[0] == before[0]
+        if goes_on:
+            other[0] = sid[0] != before[1]
+        rows = rows[other]
+        token = rows[:, 0]
+        same = np.zeros(len(rows) + 1, bool)  # place i: rows i - 1 and i have one token
+        same[1:-1] = token[1:] == token[:-1]
+        same[0] = goes_on and len(rows) > 0
+        keep = same[:-1] | same[1:] | (rows[:, 3] != 0)
+        wait = not end and len(rows) > 0 and not keep[-1]  # the last row's token may go on
+        last = before if not len(rows) else (int(token[-1]), int(rows[-1, 1]))
+        if wait:
+            last = (int(token[-2]), int(rows[-2, 1])) if len(rows) > 1 else before
+        out = rows[keep]
+        return (pa.RecordBatch.from_pydict({c: pa.array(out[:, i].copy()) for i, c in enumerate(("token", "sid", "n"))}),
+                rows[-1:] if wait else rows[:0], last)
+
+    dealt = tokens.repartition("token", "deal").sortWithinPartitions("token", "sid")
+    return dealt.mapInArrow(run, "token BIGINT, sid BIGINT, n BIGINT")
 
 
 def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
@@ -138,8 +184,8 @@ def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return x.where((100 + percent) * (F.col("total") - apart) >= 2 * percent * F.col("total")).select("a", "b")
 
 
-def _token_lists(texts: DataFrame, size: int) -> DataFrame:
-    """sid, n, FINE parity bits and the sorted tokens of the set, as bytes."""
+def _fine(texts: DataFrame, size: int) -> DataFrame:
+    """sid, n, FINE parity bits of the set, and the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -147,12 +193,10 @@ def _token_lists(texts: DataFrame, size: int) -> DataFrame:
             doc, h = shingles(batch["text"].to_pylist(), size)
             n = np.bincount(doc, minlength=batch.num_rows)
             fine = parity_bits(doc, mixed(h + np.uint64(11)) % np.uint64(FINE), batch.num_rows, FINE)
-            yield pa.RecordBatch.from_pydict({
-                "sid": batch["sid"], "n": pa.array(n, pa.int64()),
-                "fine": pa.array([x.tobytes() for x in fine], pa.binary()),
-                "tokens": pa.array([x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"sid": batch["sid"], "n": pa.array(n, pa.int64()),
+                                              "fine": pa.array([x.tobytes() for x in fine], pa.binary()), "text": batch["text"]})
 
-    return texts.mapInArrow(run, "sid BIGINT, n BIGINT, fine BINARY, tokens BINARY")
+    return texts.mapInArrow(run, "sid BIGINT, n BIGINT, fine BINARY, text STRING")
 
 
 def _both(pairs: DataFrame, lists: DataFrame, *cols: str) -> DataFrame:
@@ -165,10 +209,10 @@ def _both(pairs: DataFrame, lists: DataFrame, *cols: str) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that reach the similarity, counted exactly on their tokens.
 
-    Every text of a pair is cut up once; its tokens follow only the pairs that the finer parity bits leave.
+    Texts, which take a third of their tokens' bytes, follow only the pairs that the finer parity bits leave.
     """
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair-ends")
-    lists = stored(_token_lists(texts.join(ends, "sid").select("sid", "text"), size), "pair-tokens")
+    lists = stored(_fine(texts.join(ends, "sid").select("sid", "text"), size), "pair-texts", "zstd")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +224,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                      for x, y in zip(batch["a_tokens"].to_pylist(), batch["b_tokens"].to_pylist(), strict=True)]
+            tokens: dict[int, np.ndarray] = {}
+            for end in ("a", "b"):
+                for sid, text in zip(batch[end].to_pylist(), batch[f"{end}_text"], strict=True):
+                    if sid not in tokens:
+                        tokens[sid] = shingles([text.as_py()], size)[1]
+            linked = [_linked(tokens[x], tokens[y], percent) for x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     left = _both(pairs, lists, "n", "fine").mapInArrow(near, "a BIGINT, b BIGINT")
-    return _both(left, lists, "tokens").mapInArrow(same, "a BIGINT, b BIGINT")
+    return _both(left, lists, "text").mapInArrow(same, "a BIGINT, b BIGINT")
 
 
 def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -302,9 +350,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     sets = stored(_sets(docs, size), "sets", "zstd")
     own = sets.where("slice IS NULL").select("doc_id", "n", "sid", "h")
     classes = stored(own.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("first"), F.min_by("h", "doc_id").alias("h")), "classes")
-    tokens = stored(_prefixes(docs, size, percent, _frequencies(sets)), "tokens")
-    shared = stored(tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token"), "shared")
-    members = stored(tokens.join(shared, "token").distinct(), "members")
+    members = stored(_several(_prefixes(docs, size, percent, _frequencies(sets))), "members")
     # By id and hash, as an id may come with several texts; repeated rows then meet in the join's own partitions.
     needed = members.select("sid").distinct().join(classes, "sid").select("sid", F.col("first").alias("doc_id"), "h")
     texts = stored(_hashed(docs).join(needed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("sid", "text"), "texts", "zstd")
