@@ -12,7 +12,8 @@ a pair is found by one rare token of both extended prefixes or by a combination
    After a few rounds a group of many near copies that are like its leaders is one component, and its pairs need not
    be listed.
 5. What is left - pairs of different components within a group - is filtered by exact bounds (sizes, parity bitmaps)
-   and verified. No pair is left out, so the components are exact.
+   and verified: first the few likeliest pairs of any two components in a group, which makes most of the others pairs
+   of one component, then all. No pair of different components is left out, so the components are exact.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from footfall.llm.shingles import mixed, parity_bits, segments, shingles
 
 SHINGLE, PERCENT = 3, 90
 RARE = 64
-STAR_ROUNDS = 3
+STAR_ROUNDS, BEST = 3, 3
 BLOCK_PAIRS, BLOCK_ROWS = 200_000, 65_536
 # Parity bits of the second filter, for the texts of candidate pairs only.
 FINE = 1 << 14
@@ -247,11 +248,12 @@ def _with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return members.join(found.select(F.col("v").alias("sid"), "c"), "sid", "left").withColumn("comp", F.coalesce("c", "sid")).drop("c")
 
 
-def _majors(members: DataFrame, *group: str) -> DataFrame:
-    """Per group with several components its largest one and one member of it; sums within tasks come first."""
-    per = members.groupBy(*group, "comp").agg(F.count("*").alias("k"), F.min("sid").alias("lead"), F.min_by("n", "sid").alias("lead_n"))
-    top = per.groupBy(*group).agg(F.count("*").alias("comps"), F.sum("k").alias("rows"), F.max(F.struct("k", "comp", "lead", "lead_n")).alias("top"))
-    return top.where("comps > 1").select(*group, "rows", F.col("top.comp").alias("major"), F.col("top.lead").alias("lead"),
+def _majors(members: DataFrame, step: int, *group: str) -> DataFrame:
+    """Per group with several components its largest one and one member of it, by another order of all sets in each round."""
+    per = members.groupBy(*group, "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("sid", F.lit(step)).alias("o"), "sid", "n")).alias("lead"))
+    per = per.select(*group, "comp", "k", F.col("lead.sid").alias("lead"), F.col("lead.n").alias("lead_n"))
+    top = per.groupBy(*group).agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp", "lead", "lead_n")).alias("top"))
+    return top.where("comps > 1").select(*group, F.col("top.comp").alias("major"), F.col("top.lead").alias("lead"),
                                          F.col("top.lead_n").alias("lead_n"))
 
 
@@ -263,7 +265,7 @@ def _stars(members: DataFrame, percent: int, step: int) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 0.5 * (step % 2))
     members = members.withColumn("band", band)
-    majors = stored(_majors(members, "token", "band"), "majors")
+    majors = stored(_majors(members, step, "token", "band"), "majors")
     x = members.join(majors, ["token", "band"]).where((F.col("comp") != F.col("major")) & _sizes_allow(F.col("n"), F.col("lead_n"), percent))
     votes = x.groupBy("sid", "lead").agg(F.count("*").alias("k"), F.max(F.col("n") + F.col("lead_n")).alias("total"))
     best = votes.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("k", "lead", "total")).alias("best"))
@@ -284,11 +286,12 @@ def _groups(members: DataFrame) -> DataFrame:
     return rare.unionByName(pairs)
 
 
-def _remaining(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+def _remaining(members: DataFrame, maps: DataFrame, percent: int, best: int | None) -> DataFrame:
     """(a, b) of all pairs of different components in an index group that sizes and parity bitmaps allow.
 
     Pairs are looked at in blocks of at most BLOCK_PAIRS and only the ones left over are rows. A pair whose members
     share a token that makes an earlier pair of tokens is left to that group, as far as their first tokens show it.
+    With best, a block gives of two components only so many pairs, those whose bitmaps differ least.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -325,11 +328,19 @@ def _remaining(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             total = n[i] + n[j]
             apart = np.bitwise_count(maps_[i] ^ maps_[j]).sum(1, dtype=np.int64)
             keep = (100 + percent) * (total - apart) >= 2 * percent * total
-            i, j = i[keep], j[keep]
+            i, j, apart = i[keep], j[keep], apart[keep]
             mine = heads[i]
             earlier = (mine != 0) & ((mine < g1[i][:, None]) | ((mine > g1[i][:, None]) & (mine < g2[i][:, None])))
             later = ~((mine[:, :, None] == heads[j][:, None, :]).any(2) & earlier).any(1)
-            i, j = i[later], j[later]
+            i, j, apart = i[later], j[later], apart[later]
+            if best is not None:
+                x, y = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                order = np.lexsort((apart, y, x))
+                x, y, place = x[order], y[order], np.arange(len(order))
+                first = np.ones(len(order), bool)
+                first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                order = order[place - np.maximum.accumulate(np.where(first, place, 0)) < best]
+                i, j = i[order], j[order]
             pair = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
             if len(pair):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0].copy()), "b": pa.array(pair[:, 1].copy())})
@@ -356,16 +367,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     texts = stored(_hashed(docs).join(needed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("sid", "text"), "texts", "zstd")
     maps = stored(_bitmaps(texts, size), "bitmaps")
     links, found, idle = None, None, 0
-    for step in range(rounds + 1):
-        at = _with_components(members, found)
-        stars = step < rounds and idle < 2  # once neither kind of bands brings links, the rest is compared
-        pairs = _plausible(_stars(at, percent, step), maps, percent) if stars else _remaining(stored(at, "members"), maps, percent)
+    for step in range(rounds):
+        pairs = _plausible(_stars(_with_components(members, found), percent, step), maps, percent)
         new = stored(_verified(stored(pairs, "pairs"), texts, size, percent), "links")
-        idle = idle + 1 if new.isEmpty() else 0
         links = new if links is None else links.unionByName(new)
         found = components(links)
-        if not stars:
+        idle = idle + 1 if new.isEmpty() else 0
+        if idle == 2:  # neither kind of bands brings links
             break
+    for best in (BEST, None):
+        pairs = _remaining(stored(_with_components(members, found), "members"), maps, percent, best)
+        new = stored(_verified(stored(pairs, "pairs"), texts, size, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
     first = classes.join(found.select(F.col("v").alias("sid"), "c"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     smallest = stored(first.groupBy("c").agg(F.min("first").alias("component_id")), "smallest")
     label = stored(first.join(smallest, "c").select("sid", "n", "component_id"), "component-labels")
