@@ -1,9 +1,11 @@
 """Readings held per device until it has been silent for a while.
 
-State is keyed by (site, device, access point) and lies in RocksDB, so it may outgrow the memory of an executor. A key
-holds its readings as a list that only grows at its end, and the spans of its open buffers. Every span has an
-event-time timer at its last reading plus the idle time; an extended span moves its timer, so a timer that fires
-always closes a buffer.
+State is keyed by (site, device, access point) and lies in RocksDB, so it may outgrow the memory of an executor.
+`session_buffer` holds one row per open buffer, a session window with its readings; no Python runs. `device_buffer` is
+for stays over very many batches, where such a row would be written again with each of them: a key holds its readings as
+a list that only grows at its end, and the spans of its open buffers. Every span has an event-time timer at its last
+reading plus the idle time; an extended span moves its timer, so a timer that fires always closes a buffer. It costs
+several calls between Python and the state per buffer.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from footfall.schema import IDLE_SECONDS
@@ -118,3 +121,14 @@ def device_buffer(s: DataFrame, idle_seconds: int = IDLE_SECONDS, delay: str | N
     x = with_event_time(s.where("ts IS NOT NULL"), delay or DELAY)
     return x.groupBy(*KEYS).transformWithStateInPandas(
         IdleBuffer(int(idle_seconds)), outputStructType=BUFFERED, outputMode="append", timeMode="EventTime")
+
+
+def session_buffer(s: DataFrame, idle_seconds: int = IDLE_SECONDS, delay: str | None = None) -> DataFrame:
+    """The rows of `device_buffer`, by session windows."""
+    from footfall.streaming.operators import DELAY, with_event_time
+
+    x = with_event_time(s.where("ts IS NOT NULL"), delay or DELAY)
+    w = F.session_window("event_time", f"{int(idle_seconds)} seconds")
+    held = x.groupBy(*KEYS, w.alias("w")).agg(F.min("ts").alias("first_ts"), F.collect_list(F.struct("ts", "rssi")).alias("readings"))
+    rows = held.select(*KEYS, "first_ts", F.inline(F.sort_array("readings")))
+    return rows.select(F.col("site_id").cast("int").alias("site_id"), "device", "ap", "first_ts", "ts", "rssi")

@@ -20,7 +20,7 @@ from footfall.schema import IDLE_SECONDS, LOCAL_ZONE, RECENT_SECONDS, RESULT, RS
 from footfall.sinks.log import load_table, save_changes
 from footfall.sinks.tables import lines_of, load_all, load_state, one_row, save_state, versions
 from footfall.sources.scans import land
-from footfall.streaming.buffers import device_buffer, rocksdb_state
+from footfall.streaming.buffers import device_buffer, rocksdb_state, session_buffer
 
 
 def stream_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -254,10 +254,15 @@ def stream_visits(s: DataFrame, ap_dim: DataFrame, path: str, checkpoint: str, s
 
 
 def stream_buffers(s: DataFrame, path: str, checkpoint: str, idle_seconds: int = IDLE_SECONDS, delay: str | None = None,
-                   trigger: dict | None = None):
-    """Write the readings of every buffer (`buffers.device_buffer`) once a silence has closed it."""
+                   trigger: dict | None = None, long_stays: bool = False):
+    """Write the readings of every buffer (`buffers.session_buffer`) once a silence has closed it.
+
+    With `long_stays` a batch only adds its readings to an open buffer (`buffers.device_buffer`). A checkpoint belongs to
+    one of the two.
+    """
+    buffered = device_buffer if long_stays else session_buffer
     with rocksdb_state(s.sparkSession):
-        return stream_to(device_buffer(s, idle_seconds, delay), path, checkpoint, trigger=trigger)
+        return stream_to(buffered(s, idle_seconds, delay), path, checkpoint, trigger=trigger)
 
 
 def stream_land(s: DataFrame, path: str, checkpoint: str, tz: str = LOCAL_ZONE, salt: str | None = None,

@@ -46,6 +46,21 @@ def test_buffers_over_random_batches(spark, tmp_path, seed):
     assert len({r[3] for r in got if r[0] == 2}) == 2  # the gap of 301 seconds parts them, that of 300 does not
 
 
+@pytest.mark.parametrize("long_stays", [False, True])
+def test_buffers_need_no_python_unless_stays_are_long(spark, tmp_path, long_stays):
+    schema = "site_id INT, device STRING, ap STRING, ts BIGINT, rssi DOUBLE"
+    data = [(1, "A", "O", 20, -51.0), (1, "A", "O", 20, None), (1, "A", "O", 10, -52.0), (1, "A", "O", 31, -53.0), (1, "B", "O", 9000, -50.0)]
+    folder, out, cp = (str(tmp_path / uuid.uuid4().hex) for _ in range(3))
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(folder)
+    q = jobs.stream_buffers(spark.readStream.schema(schema).parquet(folder), out, cp, 10, "200 seconds", long_stays=long_stays)
+    q.awaitTermination()
+    ran = {op["operatorName"] for p in q.recentProgress for op in p["stateOperators"]}
+    assert any("Pandas" in name for name in ran) == long_stays, ran
+    got = [tuple(r) for r in spark.read.schema(buffers.BUFFERED).parquet(out).coalesce(1).collect()]
+    buffer = [(1, "A", "O", 10, 10, -52.0), (1, "A", "O", 10, 20, None), (1, "A", "O", 10, 20, -51.0)]
+    assert [r for r in got if r[3] == 10] == buffer and len(got) == 4
+
+
 class Handle:
     """Lists and timers of one key, in memory."""
 
