@@ -12,7 +12,7 @@ punctuation, and signs of obfuscation. Neither doc_id, lang, source nor labels e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from footfall.llm.common import hex_sha, stored, unused
+from footfall.llm.common import hex_sha, stored
 
 MAX_LABELLED = 30_000
 PREFIXES = (4, 5, 6)
@@ -164,69 +165,86 @@ def batch_features(texts: list[str], words: _Words) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, terms: dict[str, float], *keep: str) -> DataFrame:
-    """doc_id, sha, x: the features of every row, with its integer columns `keep`. Null text counts as empty: all zero."""
-    rows = docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def features(docs: DataFrame, terms: dict[str, float], *keep: str, text: str = "text") -> DataFrame:
+    """The columns `keep` and x, the features, of every row. Null text counts as empty: all zero."""
+    rows = docs.select(*dict.fromkeys([*keep, text]))
     shared = docs.sparkSession.sparkContext.broadcast(terms)  # of a bounded number, see lexicon
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(shared.value)
         for batch in batches:
-            x = batch_features(batch["text"].to_pylist(), words)
+            x = batch_features([t or "" for t in batch[text].to_pylist()], words)
             ends = np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "sha": batch["sha"], "x": pa.ListArray.from_arrays(ends, x.ravel()),
-                                              **{k: batch[k].cast(pa.int64()) for k in keep}})
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keep], pa.ListArray.from_arrays(ends, x.ravel())], [*keep, "x"])
 
-    schema = "doc_id BIGINT, sha STRING, x ARRAY<DOUBLE>" + "".join(f", {k} BIGINT" for k in keep)
-    return rows.select("doc_id", "text", hex_sha("text").alias("sha"), *keep).mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in keep], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, sha, held_out, score, predicted of every row; see the module for what is learned from what.
+def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """text, toxic, part and half of the documents that have a label in `known`."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(10))
+    joined = texts.where(learns(F.col("doc_id"))).join(known, "doc_id")
+    return joined.select("text", "toxic", part.alias("part")).withColumn("half", F.col("part") % 2)
 
-    A doc_id with several labels counts as toxic if one of them says so; null labels and null doc_ids teach nothing.
-    Without labels of both classes every score is the share of toxic labels, 0 if there are none. Equal texts get equal
-    scores. Repeated rows are scored each; an empty table gives no rows.
-    """
+
+def _learned(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], Callable[[DataFrame], DataFrame]]:
+    """The lexicon, and what puts a score in place of the features x of a frame."""
     known = labels.where(F.col("toxic").isNotNull() & learns(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = stored(known, "toxicity-labels")  # so that Spark knows its size and broadcasts it only if it is small
-    n = known.count()
+    known = stored(known, "toxicity-labels")
+    rate = min(1.0, MAX_LABELLED / max(known.count(), 1)) * 1_000_000
     dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000))
-    rate = min(1.0, MAX_LABELLED / max(n, 1)) * 1_000_000
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(10))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    labelled = texts.where(learns(F.col("doc_id"))).join(known, "doc_id").withColumn("part", part).withColumn("half", F.col("part") % 2)
+    # Labels grow with the documents, so texts and labels meet in a shuffle at every size; those of the sample, about
+    # MAX_LABELLED at most, go to the texts.
+    labelled = _labelled(docs, known.hint("merge"))
     counts = stored(term_counts(labelled).where(F.col("t0") + F.col("t1") >= LEAST_DOCS), "toxicity-terms")
     totals = {r.half: (r.n, r.t) for r in labelled.groupBy("half").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
-    sample = stored(labelled.where(dealt < rate), "toxicity-labelled")
+    sample = stored(_labelled(docs, F.broadcast(known.where(dealt < rate))), "toxicity-labelled")
     halves = [sample.where(F.col("half") == h) for h in (0, 1)]
     # rows to learn from get the features that the other half's lexicon gives them
     own = [features(halves[h], lexicon(counts, totals, (1 - h,)), "part", "toxic") for h in (0, 1)]
     fit = stored(own[0].unionByName(own[1]), "toxicity-rows").withColumn("features", array_to_vector("x"))
-    x = stored(features(docs, lexicon(counts, totals, (0, 1))), "toxicity-features").withColumn("features", array_to_vector("x"))
-    held = (~learns(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("held_out")
+    terms = lexicon(counts, totals, (0, 1))
     shares = {r.late: (r.n, r.t) for r in fit.groupBy((F.col("part") >= 8).alias("late")).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
     if len(shares) < 2 or any(t in (0, n) for n, t in shares.values()):
         all_, toxic = (sum(v) for v in zip(*shares.values(), strict=True)) if shares else (1, 0)
-        value = F.lit(toxic / all_)
-    else:
-        trees = GBTClassifier(labelCol="toxic", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, maxBins=64).fit(fit.where("part < 8").coalesce(4))
-        x, late = (trees.transform(f).withColumn("raw", F.element_at(vector_to_array("probability"), 2)) for f in (x, fit.where("part >= 8")))
-        iso = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="calm").fit(late.select("raw", "toxic").coalesce(1))
-        x = iso.transform(x.select("doc_id", "sha", "raw"))
+        return terms, lambda x: x.withColumn("score", F.lit(toxic / all_)).drop("x")
+    trees = GBTClassifier(labelCol="toxic", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, maxBins=64).fit(fit.where("part < 8").coalesce(4))
+
+    def raw(x: DataFrame, *keep: str) -> DataFrame:
+        return trees.transform(x).select(*keep, F.element_at(vector_to_array("probability"), 2).alias("raw"))
+
+    late = raw(fit.where("part >= 8"), "toxic")
+    iso = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="calm").fit(late.select("raw", "toxic").coalesce(1))
+
+    def scored(x: DataFrame) -> DataFrame:
+        keep = [c for c in x.columns if c != "x"]
+        x = iso.transform(raw(x.withColumn("features", array_to_vector("x")), *keep))
         # a trace of the raw score keeps the order within a step of the calibration
         value = F.col("calm") * 0.999 + F.col("raw") * 0.001
-    x = x.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
+        return x.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("score"))
+    return terms, scored
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, sha, held_out, score, predicted of every row; see the module for what is learned from what.
+
+    A doc_id with several labels counts as toxic if one of them says so; null labels and null doc_ids teach nothing.
+    Without labels of both classes every score is the share of toxic labels, 0 if there are none. Equal texts get equal
+    scores. Repeated rows are scored each; an empty table gives no rows.
+    """
+    terms, scored = _learned(docs, labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hex_sha(F.coalesce("text", F.lit(""))).alias("sha"))
+    held = (~learns(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("held_out")
+    x = scored(features(rows, terms, "doc_id", "sha"))
     return x.select("doc_id", "sha", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    def one(doc_id: Column, sha: Column) -> Column:
-        return F.concat_ws(":", sha, doc_id.cast("string"))
-
-    key = unused(docs, "one")
-    bad = stored(score(docs, labels).where("predicted = 1").select(one(F.col("doc_id"), F.col("sha")).alias(key)).distinct(), "toxic")
-    rows = docs.withColumn(key, one(F.col("doc_id").cast("long"), hex_sha(F.coalesce("text", F.lit("")))))
-    return rows.join(bad, key, "left_anti").drop(key)
+    """The rows of docs that are not predicted toxic, with all their columns; rows pass through the model, none is shuffled."""
+    terms, scored = _learned(docs, labels)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    text = names[[c.lower() for c in docs.columns].index("text")]
+    x = scored(features(docs.toDF(*names), terms, *names, text=text))
+    return x.where(F.col("score") < THRESHOLD).select(*names).toDF(*docs.columns)

@@ -272,6 +272,18 @@ def test_toxicity_features_against_a_plain_version(monkeypatch):
         assert np.allclose(got, want)
 
 
+def test_toxicity_decides_without_a_shuffle(spark, tmp_path):
+    """Rows go through the model; only labelled texts meet their labels, the sample's without a shuffle of texts."""
+    rows = [(i, f"plain words number {i % 7} " + ("you idiot scum" if i % 3 == 0 else "fine day")) for i in range(600)]
+    spark.createDataFrame([*rows, (None, None)], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/docs")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id BIGINT, toxic INT")
+    got = toxicity.accepted(spark.read.parquet(f"{tmp_path}/docs"), labels)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted((r.doc_id, r.text) for r in got.where("doc_id IS NOT NULL").collect()) == [r for r in rows if r[0] % 3]
+    assert got.where("doc_id IS NULL").collect() == [(None, None)]
+
+
 def test_toxicity_lexicon_counts_all_labelled_rows(spark):
     """Terms of both halves; a share of toxic documents is needed, so the number of terms does not grow."""
     rows = [("vile thing" if i % 4 == 0 else "calm thing", int(i % 4 == 0), (i // 4) % 2) for i in range(400)] + [("rarity", 1, 0)] * 2
