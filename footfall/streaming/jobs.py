@@ -48,6 +48,16 @@ LATE_SECONDS = 600
 KEEP_VERSIONS = 20
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """A frame that a batch reads several times: computed once, kept until the block ends."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 @contextmanager
 def carried_points(batch: DataFrame, batch_id: int, ap_dim: DataFrame, path: str, static_devices: DataFrame | None = None,
                    delay: int = LATE_SECONDS) -> Iterator[tuple[DataFrame, DataFrame]]:
@@ -347,16 +357,15 @@ def stream_always_on(s: DataFrame, path: str, checkpoint: str, hours: int, tz: s
         (newest,) = one_row(batch.agg(F.max("ts").alias("ts")), "ts")
         if newest is None:
             return
-        new = traffic.hour_bits(batch, tz=tz)
-        met = known.join(new.select(*HOUR_KEYS), HOUR_KEYS, "left_semi")
-        now = met.unionByName(new).groupBy(*HOUR_KEYS).agg(F.bit_or("bits").alias("bits"))
         over = F.col("day") < local_day(F.lit(newest - delay), tz)
-        old = known.where(over).join(new.select(*HOUR_KEYS), HOUR_KEYS, "left_anti")
-        changed = now.withColumn("_gone", over).unionByName(old.withColumn("_gone", F.lit(True)))
-        found = now.where(F.bit_count("bits") >= hours).select("device").distinct()
-        listed = load_table(spark, f"{path}/devices", ["device"], "device STRING", before=batch_id)
-        save_changes(changed, f"{path}/hours", batch_id, HOUR_KEYS, HOUR_BITS)
-        save_changes(traffic.newly_static_devices(listed, found), f"{path}/devices", batch_id, ["device"], "device STRING")
+        # One shuffle brings the batch's hours to the known ones: a key is in the batch or not, and its day over or not.
+        both = traffic.hour_bits(batch, tz=tz).withColumn("_new", F.lit(True)).unionByName(known.withColumn("_new", F.lit(False)))
+        both = both.groupBy(*HOUR_KEYS).agg(F.bit_or("bits").alias("bits"), F.max("_new").alias("_new"))
+        with kept(both.where(F.col("_new") | over)) as now:
+            found = now.where(F.col("_new") & (F.bit_count("bits") >= hours)).select("device").distinct()
+            listed = load_table(spark, f"{path}/devices", ["device"], "device STRING", before=batch_id)
+            save_changes(now.withColumn("_gone", over), f"{path}/hours", batch_id, HOUR_KEYS, HOUR_BITS)
+            save_changes(traffic.newly_static_devices(listed, found), f"{path}/devices", batch_id, ["device"], "device STRING")
     return each_batch(s, run, checkpoint, trigger=trigger)
 
 

@@ -205,3 +205,12 @@ def test_carried_points_do_not_depend_on_the_cuts(spark, dim, sightings, rows, t
         assert jobs.load_trajectory_rows(spark, points).count() == traj.count()
     assert load_state(spark, f"{out}/_means").count() < len(data) / 2
     assert load_table(spark, f"{out}/_ends", jobs.END_KEYS, jobs.ENDS).count() <= 2 * 2
+
+
+def test_hours_at_a_null_access_point_add_up_over_batches(spark, tmp_path):
+    schema = "device STRING, ap STRING, rssi DOUBLE, ts BIGINT"
+    folder, (out, cp) = str(tmp_path / "in"), _paths(tmp_path)
+    for rows in ([("A", None, -50.0, 0), ("A", None, -50.0, 3600), ("B", "O", -50.0, 10)], [("A", None, -50.0, 7200), ("B", "O", -50.0, 7200)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.stream_always_on(stream_table(spark, folder, schema), out, cp, 3).awaitTermination()
+    assert [r.device for r in jobs.load_static(spark, out).collect()] == ["A"]
