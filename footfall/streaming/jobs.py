@@ -7,7 +7,7 @@ replaces its own output and reads the same predecessor.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,9 +82,9 @@ def carried_points(batch: DataFrame, batch_id: int, ap_dim: DataFrame, path: str
     known = means.unionByName(sums).groupBy("device", "ap", "ts").agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("left_rssi").alias("left_rssi"))
     known = in_order(known.withColumn("rssi", F.round(F.col("total") / F.col("n"))), ["device", "ap"],
-                     prev={"rssi_prev": "rssi"}, following={"rssi_next": "rssi", "ts_next": "ts"})
-    known = known.withColumn("rssi_prev", F.coalesce("rssi_prev", "left_rssi")).persist()
-    try:
+                     prev={"rssi_prev": "rssi"}, following={"rssi_next": "rssi", "ts_next": "ts"}, shared=["total", "n", "left_rssi"])
+    known = known.withColumn("rssi_prev", F.coalesce("rssi_prev", "left_rssi"))
+    with kept(known) as known, ExitStack() as rest:
         (newest,) = one_row(known.agg(F.max("ts").alias("ts")), "ts")
         final = 0 if newest is None else newest - delay
         up, down = F.col("rssi") > F.col("rssi_prev"), F.col("rssi") > F.col("rssi_next")
@@ -96,7 +96,7 @@ def carried_points(batch: DataFrame, batch_id: int, ap_dim: DataFrame, path: str
         still_open = known.where(may_win).select("device", "ts").distinct().withColumn("_open", F.lit(True))
         decided = known.where(settled & peak).select(*held_cols).unionByName(
             load_state(spark, f"{path}/_held", before=batch_id, schema=HELD).select(*held_cols))
-        decided = decided.join(still_open, ["device", "ts"], "left")
+        decided = rest.enter_context(kept(decided.join(still_open, ["device", "ts"], "left")))
         held = decided.where("_open").select(*held_cols)
         closed = decided.where("_open IS NULL").select(*held_cols)
         save_state(known.where(~settled).select("device", "ap", "ts", "total", "n", F.col("rssi_prev").alias("left_rssi")),
@@ -107,8 +107,6 @@ def carried_points(batch: DataFrame, batch_id: int, ap_dim: DataFrame, path: str
             return signal.strongest_per_instant(with_site(peaks, ap_dim)).select("device", "ts", "side", "site_id", "rssi")
 
         yield points(closed), points(held.unionByName(known.where(~settled & peak).select(*held_cols)))
-    finally:
-        known.unpersist()
 
 
 def _ends(points: DataFrame) -> DataFrame:
@@ -150,9 +148,9 @@ def occupancy_job(ap_dim: DataFrame, path: str, static_devices: DataFrame | None
         spark = batch.sparkSession
         with carried_points(batch, batch_id, ap_dim, path, static_devices, delay) as (closed, still_open):
             before = load_table(spark, f"{path}/_ends", END_KEYS, ENDS, before=batch_id)
-            new = _merged_ends(_ends(closed))
-            met = before.join(new.select(*END_KEYS), END_KEYS, "left_semi")
-            save_changes(_merged_ends(met.unionByName(new)), f"{path}/_ends", batch_id, END_KEYS, ENDS)
+            with kept(_merged_ends(_ends(closed))) as new:
+                met = before.join(new.select(*END_KEYS), END_KEYS, "left_semi")
+                save_changes(_merged_ends(met.unionByName(new)), f"{path}/_ends", batch_id, END_KEYS, ENDS)
             now = load_table(spark, f"{path}/_ends", END_KEYS, ENDS, before=batch_id + 1)
             ends = _merged_ends(now.unionByName(_ends(still_open)))
             inside = [(F.col(f"{c}.side") == "inside").cast("bigint") for c in ("last", "first")]

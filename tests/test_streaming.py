@@ -214,3 +214,18 @@ def test_hours_at_a_null_access_point_add_up_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
         jobs.stream_always_on(stream_table(spark, folder, schema), out, cp, 3).awaitTermination()
     assert [r.device for r in jobs.load_static(spark, out).collect()] == ["A"]
+
+
+def test_carried_points_share_one_shuffle(spark, dim, tmp_path, monkeypatch):
+    """The windows and the summary of the segments read the same shuffle of the readings."""
+    made = []
+    monkeypatch.setattr(jobs, "in_order", lambda *a, f=jobs.in_order, **k: made.append(f(*a, **k)) or made[-1])
+    spark.range(20).selectExpr("'A' AS device", "'O' AS ap", "-50D - id % 3 AS rssi", "id AS ts").write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with jobs.carried_points(spark.read.parquet(str(tmp_path / "in")), 0, dim, str(tmp_path / "out")) as (closed, still_open):
+            assert closed.count() + still_open.count() > 0
+        plan = made[0]._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
