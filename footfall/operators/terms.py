@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,25 +142,42 @@ class Segmenter:
         return [word for words in reversed(pieces) for word in words]
 
 
-def _segmented(segmenter: Segmenter, key_type: pa.DataType, known: int = 100_000) -> Callable:
+# A task hands on about so many terms at once, and forgets the runs it knows beyond so many characters of them.
+PIECE_TERMS = 20_000
+KNOWN_CHARS = 2_000_000
+
+
+def _segmented(segmenter: Segmenter, key_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, list[str]] = {}
+        size = 0
         for batch in batches:
+            runs, ends = batch["runs"], pa.compute.list_value_length(batch["runs"]).fill_null(0).to_pylist()
+
+            def piece(keys, positions, found):
+                return pa.RecordBatch.from_arrays([batch["key"].take(pa.array(keys, pa.int64())).cast(key_type), pa.array(positions, pa.int32()),
+                                                   pa.array(found, pa.string())], ["key", "position", "term"])
+
             keys, positions, found = [], [], []
-            for i, runs in enumerate(batch["runs"].to_pylist()):
+            for i, n in enumerate(ends):
                 at = 0
-                for r in runs or ():
-                    words = memory.get(r)
-                    if words is None:
-                        if len(memory) >= known:
-                            memory.clear()
-                        words = memory[r] = segmenter.cut(r)
-                    keys += [i] * len(words)
-                    positions += range(at, at + len(words))
-                    found += words
-                    at += len(words)
-            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(keys, pa.int64())).cast(key_type), pa.array(positions, pa.int32()),
-                                              pa.array(found, pa.string())], ["key", "position", "term"])
+                for begin in range(0, n, PIECE_TERMS):  # a long text's runs come from Arrow a piece at a time
+                    for r in runs[i].values.slice(begin, PIECE_TERMS).to_pylist():
+                        words = memory.get(r)
+                        if words is None:
+                            size += len(r) + 50
+                            if size > KNOWN_CHARS:
+                                memory.clear()
+                                size = len(r) + 50
+                            words = memory[r] = segmenter.cut(r)
+                        keys += [i] * len(words)
+                        positions += range(at, at + len(words))
+                        found += words
+                        at += len(words)
+                        if len(found) >= PIECE_TERMS:
+                            yield piece(keys, positions, found)
+                            keys, positions, found = [], [], []
+            yield piece(keys, positions, found)
     return run
 
 

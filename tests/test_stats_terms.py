@@ -164,3 +164,18 @@ def test_segmented_documents(spark, rows):
     seg = terms.segmenter_of(listed, own, {"三个和尚": ["三", "个", "和尚"]})
     assert seg.cut("研究生命起源三个和尚x坏") == ["研究生命", "起源", "三", "个", "和尚", "x坏"]
     assert terms.segmenter_of(listed.limit(0)).cut("ab") == ["a", "b"] and seg.cut("") == []
+
+
+def test_segmented_texts_are_handed_on_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from footfall.operators import terms
+    monkeypatch.setattr(terms, "PIECE_TERMS", 10)
+    monkeypatch.setattr(terms, "KNOWN_CHARS", 200)
+    texts = [["ab", "abab"] * 20, None, [], ["ba"], ["a" * 30]] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(15)), pa.array(texts, pa.list_(pa.string()))], ["key", "runs"])
+    segmenter = terms.Segmenter({"ab": 3})
+    out = list(terms._segmented(segmenter, pa.int64())(iter([batch])))
+    assert max(b.num_rows for b in out) < 10 + 30
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(i, at, w) for i, t in enumerate(texts) for at, w in enumerate(w for r in t or () for w in segmenter.cut(r))]
