@@ -9,6 +9,8 @@ from footfall.session import configure, fresh_path
 
 # Python workers get batches of at most so many rows, so that a batch of long texts stays small.
 BATCH_ROWS = 256
+# Whether Spark deletes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -27,10 +29,18 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df below the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, f"llm-{name}")
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df below the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    What the write shuffled is deleted at its end, as no other execution reads it.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, f"llm-{name}")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hex_sha(c: Column | str) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -173,20 +174,29 @@ def secrets(spark: SparkSession, docs: DataFrame, ledger: DataFrame | None = Non
             .select("doc_id", *[f"n_{r.kind}" for r in RULES], F.sha2("spans", 256).alias("base_sha256"), "spans"))
 
 
+def _likely(rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a text has what a lasting match of any rule needs; a null text has not."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return reduce(Column.__or__, [text.rlike(_quick(r)) for r in rules], F.lit(False))
+
+
 def redacted(spark: SparkSession, docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span replaced by `mark` and n_chars, if there, counted anew; overlapping spans merge first.
 
-    Further columns stay as they are, whatever their names.
+    Further columns stay as they are, whatever their names. Only rows whose text may have a span are shuffled; all others
+    pass as they are.
     """
+    some = docs.where(_likely())
     blob, cuts = unused(docs, "blob"), unused(docs, "cuts")
-    hits = stored(secret_cuts(spark, docs).select(F.col("blob").alias(blob), F.col("cuts").alias(cuts)), "cuts")
-    out = docs.withColumn(blob, hex_sha(F.coalesce("text", F.lit("")))).join(hits, blob, "left")
+    hits = stored(secret_cuts(spark, some).select(F.col("blob").alias(blob), F.col("cuts").alias(cuts)), "cuts")
+    out = some.withColumn(blob, hex_sha(F.coalesce("text", F.lit("")))).join(hits, blob, "left")
     keep = F.transform(cuts, lambda c: F.substring(F.col("text"), c["start"].cast("int") + 1, (c["stop"] - c["start"]).cast("int")))
     text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(keep, mark))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    columns = [f"`{c}`" for c in docs.columns]
+    return docs.where(~_likely()).select(*columns).union(out.select(*columns))
 
 
 def secret_cuts(spark: SparkSession, docs: DataFrame) -> DataFrame:

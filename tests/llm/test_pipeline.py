@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from footfall.llm import stages, toxicity
+from footfall.llm.common import CLEANUP, stored
 
 
 def _shingles(text):
@@ -100,3 +101,36 @@ def test_stages_keep_columns_named_like_helpers(spark, tmp_path):
             k = int(r["blob"][4:])
             assert [r[c] for c in extra] == [f"{c}{k}" for c in extra], name
             assert r["text"] == ("[secret]' among words" if name == "secret scans" and k == 0 else rows[k][1])
+
+
+def _shuffled(spark):
+    """Bytes of the shuffle files there are."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found) if f.getName().startswith("shuffle_"))
+
+
+def test_secret_scans_shuffle_only_texts_that_may_have_one(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.getrandbits(64):x}z" for _ in range(300)), "keep", 0) for i in range(400)]
+    rows += [(400, "a token = abcdef123 b AKIA" + "Q" * 20, "x", 0), (401, None, "x", 7), (402, "token: x", "x", 8), (402, "0123456789abcdef" * 2, "y", 0),
+             (403, "a token = abcdef123 b AKIA" + "Q" * 20, "x", 0)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING, n_chars BIGINT").write.parquet(path)
+    before, threshold = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stages.no_secrets(spark, spark.read.parquet(path), "").write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert _shuffled(spark) - before < 100_000 < sum(len(t or "") for _, t, _, _ in rows) / 10
+    got = sorted((r.doc_id, r.text or "", r.source, r.n_chars) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = [r for r in rows if r[0] < 400] + [(400, "a [secret] b [secret]", "x", 21), (401, "", "x", 7), (402, "[secret]", "y", 8),
+                                             (402, "token: x", "x", 8), (403, "a [secret] b [secret]", "x", 21)]
+    assert got == sorted(want)
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    before = _shuffled(spark)
+    docs = stored(spark.range(20_000).selectExpr("id", "uuid() AS text").repartition(5, "id"), "step")
+    assert _shuffled(spark) - before < 100_000 and docs.count() == 20_000
+    assert spark.conf.get(CLEANUP) == "false"
