@@ -25,6 +25,8 @@ from footfall.session import fresh_path
 BLOCK_TOKENS = 1 << 18
 STEP = 256
 MAX_BITS = 16
+# Small batches of texts are joined up to so many bytes before they are encoded.
+JOINED_BYTES = 3 << 20
 _BLOCKS = ("part INT, block INT, before BIGINT, tokens BIGINT, doc_ids ARRAY<BIGINT>, n_tokens ARRAY<INT>, "
            "checkpoints BINARY, payload BINARY")
 
@@ -112,6 +114,20 @@ def unpack_bits(n: int, checkpoints: bytes, payload: bytes, table, step: int = S
     return out.T.reshape(-1)[:n]
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: str, most: int = JOINED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end once `column` has `most` bytes: what batches share is then looked up less often."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch[column].nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian, 16 bits where the vocabulary allows, else 32); null text counts as empty."""
     kind = id_type(vocabulary)
@@ -120,7 +136,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(shared.value)
-        for batch in batches:
+        for batch in joined(batches, "text"):
             ids = [np.append(x, end).astype(kind) for x in encoder.encode(batch["text"].to_pylist())]
             if ids:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_tokens": pa.array([len(x) for x in ids], pa.int32()),

@@ -97,8 +97,8 @@ class WordEncoder:
         low, start = _cut(data)
         offsets = np.append(start, len(low)).astype(np.int64)
         coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(low)).dictionary_encode()
-        of_part = self._ids(coded.dictionary.to_pylist())
-        size = np.array([len(x) // 4 for x in of_part], np.int64)
+        of_part = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())  # without a scalar per part
+        size = np.fromiter(map(len, of_part), np.int64, len(of_part)) // 4
         first = np.cumsum(size) - size
         all_ids = np.frombuffer(b"".join(of_part), "<u4")
         part = coded.indices.to_numpy(zero_copy_only=False)

@@ -61,6 +61,17 @@ def test_byte_bpe(docs):
     assert sorted(bytes(r.bytes).decode() for r in back.collect()) == sorted(t or "" for _, t in ROWS)
 
 
+def test_small_batches_are_encoded_together():
+    """Every row once and in order, batches of bounded size, empty batches and none."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["shared words " * 20]}) for i in range(10)] + [
+        pa.RecordBatch.from_pydict({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})]
+    got = list(token_files.joined(iter(batches), "text", 700))
+    assert sum((b["doc_id"].to_pylist() for b in got), []) == list(range(10)) and 1 < len(got) < 6
+    assert list(token_files.joined(iter([]), "text")) == []
+
+
 def test_token_files(docs, spark):
     got = token_files.read(spark, token_files.write(docs, WORDS, 1)).collect()
     assert len(got) == len(ROWS) and sum(r.n_tokens for r in got) == max(r.start + r.n_tokens for r in got)
