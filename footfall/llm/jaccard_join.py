@@ -8,12 +8,13 @@ a pair is found by one rare token of both extended prefixes or by a combination
 1. Documents with equal sets are one class from here on.
 2. Counters of fixed size estimate how frequent tokens are; they decide on the order only, never on results.
 3. Tokens of extended prefixes that occur in one class only are dropped, frequent ones after the stars.
-4. Stars: members of an index group that are not in the group's largest component are compared with one member of it.
-   After a few rounds a group of many near copies that are like its leaders is one component, and its pairs need not
-   be listed.
-5. What is left - pairs of different components within a group - is filtered by exact bounds (sizes, parity bitmaps)
-   and verified: first the few likeliest pairs of any two components in a group, which makes most of the others pairs
-   of one component, then all. No pair of different components is left out, so the components are exact.
+4. Stars: members of an index group that are not in the group's largest component are compared with a few members of
+   it. After a few rounds a group of many near copies that are like its leaders is one component, and its pairs need
+   not be listed.
+5. What is left - pairs of different components within a group - is filtered by exact bounds (sizes, places, parity bitmaps)
+   and verified: first the few likeliest pairs of every component in a group, at most so many a member, which makes most
+   of the others pairs of one component, then all. No pair of different components is left out, so the components are
+   exact.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.common import rows_of, stored
@@ -31,7 +32,7 @@ from footfall.llm.shingles import mixed, parity_bits, segments, shingles
 
 SHINGLE, PERCENT = 3, 90
 RARE = 64
-STAR_ROUNDS, BEST = 3, 3
+STAR_ROUNDS, LEADS, BEST = 3, 3, 3
 BLOCK_PAIRS, BLOCK_ROWS = 200_000, 65_536
 # Parity bits of the second filter, for the texts of candidate pairs only.
 FINE = 1 << 14
@@ -92,7 +93,7 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """token, sid, n for the tokens of every document's prefix extended by one."""
+    """token, sid, n and place for the tokens of every document's prefix extended by one; place counts from 0 in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # COUNTERS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,15 +108,16 @@ def _prefixes(docs: DataFrame, size: int, percent: int, classes: np.ndarray) ->
             # tokens are sorted within a document, so a stable sort by class leaves them in order of class and token
             keep = np.concatenate([np.zeros(0, np.int64), *[x + np.argsort(rank[x:z], kind="stable")[:m]
                                                             for (x, z), m in zip(segments(doc, len(n)), most.tolist(), strict=True)]])
-            mine = sid[doc[keep]]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(h[keep].view(np.int64)), "sid": pa.array(mine), "n": pa.array(n[doc[keep]], pa.int64()),
-                                              "deal": pa.array(np.where(rank[keep] > 0, mine | 1, 0), pa.int64())})
+            mine, whose = sid[doc[keep]], doc[keep]
+            place = np.arange(len(keep)) - np.searchsorted(whose, whose)
+            yield pa.RecordBatch.from_pydict({"token": pa.array(h[keep].view(np.int64)), "sid": pa.array(mine), "n": pa.array(n[whose], pa.int64()),
+                                              "place": pa.array(place, pa.int64()), "deal": pa.array(np.where(rank[keep] > 0, mine | 1, 0), pa.int64())})
 
-    return rows_of(docs).mapInArrow(run, "token BIGINT, sid BIGINT, n BIGINT, deal BIGINT")
+    return rows_of(docs).mapInArrow(run, "token BIGINT, sid BIGINT, n BIGINT, place BIGINT, deal BIGINT")
 
 
 def _several(tokens: DataFrame) -> DataFrame:
-    """token, sid, n, once each, of the tokens that more than one set has; frequent ones stay without a look.
+    """token, sid, n, place, once each, of the tokens that more than one set has; frequent ones stay without a look.
 
     Rows are shuffled once, by token, those of frequent tokens by token and set. A task sees its tokens in order; of a
     token it has to know only whether the first and the last set differ, so it holds one block and the rows that have
@@ -125,7 +127,7 @@ def _several(tokens: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
         before = None  # token and set of the last row seen
         for batch in batches:
-            held.append(np.stack([batch[c].to_numpy() for c in ("token", "sid", "n", "deal")], 1))
+            held.append(np.stack([batch[c].to_numpy() for c in ("token", "sid", "n", "place", "deal")], 1))
             if sum(map(len, held)) >= BLOCK_ROWS:
                 rows = np.concatenate(held)
                 out, rest, before = block(rows, before, False)
@@ -146,17 +148,17 @@ def _several(tokens: DataFrame) -> DataFrame:
         same = np.zeros(len(rows) + 1, bool)  # place i: rows i - 1 and i have one token
         same[1:-1] = token[1:] == token[:-1]
         same[0] = goes_on and len(rows) > 0
-        keep = same[:-1] | same[1:] | (rows[:, 3] != 0)
+        keep = same[:-1] | same[1:] | (rows[:, 4] != 0)
         wait = not end and len(rows) > 0 and not keep[-1]  # the last row's token may go on
         last = before if not len(rows) else (int(token[-1]), int(rows[-1, 1]))
         if wait:
             last = (int(token[-2]), int(rows[-2, 1])) if len(rows) > 1 else before
         out = rows[keep]
-        return (pa.RecordBatch.from_pydict({c: pa.array(out[:, i].copy()) for i, c in enumerate(("token", "sid", "n"))}),
+        return (pa.RecordBatch.from_pydict({c: pa.array(out[:, i].copy()) for i, c in enumerate(("token", "sid", "n", "place"))}),
                 rows[-1:] if wait else rows[:0], last)
 
     dealt = tokens.repartition("token", "deal").sortWithinPartitions("token", "sid")
-    return dealt.mapInArrow(run, "token BIGINT, sid BIGINT, n BIGINT")
+    return dealt.mapInArrow(run, "token BIGINT, sid BIGINT, n BIGINT, place BIGINT")
 
 
 def _bitmaps(texts: DataFrame, size: int) -> DataFrame:
@@ -249,16 +251,21 @@ def _with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def _majors(members: DataFrame, step: int, *group: str) -> DataFrame:
-    """Per group with several components its largest one and one member of it, by another order of all sets in each round."""
-    per = members.groupBy(*group, "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("sid", F.lit(step)).alias("o"), "sid", "n")).alias("lead"))
-    per = per.select(*group, "comp", "k", F.col("lead.sid").alias("lead"), F.col("lead.n").alias("lead_n"))
-    top = per.groupBy(*group).agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp", "lead", "lead_n")).alias("top"))
+    """Per group with several components its largest one and one member of it.
+
+    Members are taken by an order of all sets, one of LEADS by the token and others in each round: the groups of a set
+    name few leaders, but not all of them the same one.
+    """
+    order = F.xxhash64("sid", F.lit(step), F.pmod("token", F.lit(LEADS)))
+    per = members.groupBy(*group, "comp").agg(F.count("*").alias("k"), F.max(F.struct(order.alias("o"), "sid", "n")).alias("lead"))
+    per = per.select(*group, "comp", "k", F.col("lead.o").alias("o"), F.col("lead.sid").alias("lead"), F.col("lead.n").alias("lead_n"))
+    top = per.groupBy(*group).agg(F.count("*").alias("comps"), F.max(F.struct("k", "o", "comp", "lead", "lead_n")).alias("top"))
     return top.where("comps > 1").select(*group, F.col("top.comp").alias("major"), F.col("top.lead").alias("lead"),
                                          F.col("top.lead_n").alias("lead_n"))
 
 
 def _stars(members: DataFrame, percent: int, step: int) -> DataFrame:
-    """(a, b): each outsider with the leader that most of its groups name.
+    """(a, b): each outsider with the LEADS leaders that most of its groups name.
 
     Sets of a band of sizes are together; every other round has its bands half a step further on, so that two sizes
     close to each other share a band in one of them.
@@ -268,30 +275,35 @@ def _stars(members: DataFrame, percent: int, step: int) -> DataFrame:
     majors = stored(_majors(members, step, "token", "band"), "majors")
     x = members.join(majors, ["token", "band"]).where((F.col("comp") != F.col("major")) & _sizes_allow(F.col("n"), F.col("lead_n"), percent))
     votes = x.groupBy("sid", "lead").agg(F.count("*").alias("k"), F.max(F.col("n") + F.col("lead_n")).alias("total"))
-    best = votes.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("k", "lead", "total")).alias("best"))
-    return best.select("a", F.col("best.lead").alias("b"), F.col("best.total").alias("total"))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("k"), F.desc("lead")))
+    return votes.withColumn("place", place).where(F.col("place") <= LEADS).select(F.col("sid").alias("a"), F.col("lead").alias("b"), "total")
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """Index entries (g1, g2, sid, n, comp, t0..): rare tokens alone, frequent ones in pairs g1 < g2, with the first of them."""
+    """Index entries (g1, g2, sid, n, place, comp, t0..): rare tokens alone, frequent ones in pairs g1 < g2, with the first of them.
+
+    place is the rare token's; pairs have none.
+    """
     count = stored(members.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                    .where("lo < hi").select("token", "df"), "token-counts")
     x = stored(members.join(count, "token"), "index-tokens")
-    rare = x.where(F.col("df") <= RARE).select(F.col("token").alias("g1"), F.lit(0).cast("long").alias("g2"), "sid", "n", "comp", *[F.lit(0).cast("long").alias(t) for t in _HEAD])
+    rare = x.where(F.col("df") <= RARE).select(F.col("token").alias("g1"), F.lit(0).cast("long").alias("g2"), "sid", "n", "place", "comp", *[F.lit(0).cast("long").alias(t) for t in _HEAD])
     lists = x.where(F.col("df") > RARE).groupBy("sid", "n", "comp").agg(F.array_sort(F.collect_list("token")).alias("t"))
     head = [F.coalesce(F.get("t", F.lit(i)), F.lit(0)).alias(t) for i, t in enumerate(_HEAD)]
     firsts = lists.select("sid", "n", "comp", "t", *head, F.posexplode("t").alias("i", "g1"))
     pairs = firsts.select("g1", F.explode(F.slice("t", F.col("i") + 2, F.greatest(F.size("t") - F.col("i") - 1, F.lit(0)))).alias("g2"),
-                          "sid", "n", "comp", *_HEAD)
+                          "sid", "n", F.lit(-1).cast("long").alias("place"), "comp", *_HEAD)
     return rare.unionByName(pairs)
 
 
 def _remaining(members: DataFrame, maps: DataFrame, percent: int, best: int | None) -> DataFrame:
     """(a, b) of all pairs of different components in an index group that sizes and parity bitmaps allow.
 
-    Pairs are looked at in blocks of at most BLOCK_PAIRS and only the ones left over are rows. A pair whose members
+    Pairs are looked at in blocks of at most BLOCK_PAIRS and only the ones left over are rows. Of the first two tokens
+    that a link's sets share in the order one is rare or both are frequent. As they share `need` tokens, the second one
+    has at most n - need + 1 others before it, so a rare token further on in either set tells nothing. A pair whose members
     share a token that makes an earlier pair of tokens is left to that group, as far as their first tokens show it.
-    With best, a block gives of two components only so many pairs, those whose bitmaps differ least.
+    With best, a block gives of each component only so many pairs, those whose bitmaps differ least.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -308,7 +320,7 @@ def _remaining(members: DataFrame, maps: DataFrame, percent: int, best: int | No
             yield from blocks(pa.Table.from_batches(held))
 
     def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        g1, g2, sid, n, comp = (table[c].to_numpy() for c in ("g1", "g2", "sid", "n", "comp"))
+        g1, g2, sid, n, place, comp = (table[c].to_numpy() for c in ("g1", "g2", "sid", "n", "place", "comp"))
         maps_ = np.stack([table[m].to_numpy() for m in _MAP], 1).view(np.uint64)
         heads = np.stack([table[t].to_numpy() for t in _HEAD], 1)
         rows = len(sid)
@@ -326,6 +338,9 @@ def _remaining(members: DataFrame, maps: DataFrame, percent: int, best: int | No
             keep = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[keep], j[keep]
             total = n[i] + n[j]
+            need = -(-percent * total // (100 + percent))
+            keep = (place[i] <= n[i] - need + 1) & (place[j] <= n[j] - need + 1)
+            i, j, total = i[keep], j[keep], total[keep]
             apart = np.bitwise_count(maps_[i] ^ maps_[j]).sum(1, dtype=np.int64)
             keep = (100 + percent) * (total - apart) >= 2 * percent * total
             i, j, apart = i[keep], j[keep], apart[keep]
@@ -333,15 +348,14 @@ def _remaining(members: DataFrame, maps: DataFrame, percent: int, best: int | No
             earlier = (mine != 0) & ((mine < g1[i][:, None]) | ((mine > g1[i][:, None]) & (mine < g2[i][:, None])))
             later = ~((mine[:, :, None] == heads[j][:, None, :]).any(2) & earlier).any(1)
             i, j, apart = i[later], j[later], apart[later]
+            pair, one = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0, return_index=True)
             if best is not None:
-                x, y = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-                order = np.lexsort((apart, y, x))
-                x, y, place = x[order], y[order], np.arange(len(order))
+                c, apart, at_ = np.concatenate([comp[i[one]], comp[j[one]]]), np.tile(apart[one], 2), np.arange(2 * len(one))
+                order = np.lexsort((apart, c))  # the pairs of every component, each at both its ends, the likeliest first
                 first = np.ones(len(order), bool)
-                first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                order = order[place - np.maximum.accumulate(np.where(first, place, 0)) < best]
-                i, j = i[order], j[order]
-            pair = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1), axis=0)
+                first[1:] = c[order][1:] != c[order][:-1]
+                order = order[at_ - np.maximum.accumulate(np.where(first, at_, 0)) < best]
+                pair = pair[np.unique(order % max(len(one), 1))]
             if len(pair):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0].copy()), "b": pa.array(pair[:, 1].copy())})
             at = to

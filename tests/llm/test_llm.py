@@ -213,6 +213,18 @@ def test_jaccard_against_all_pairs(spark, size, percent):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_likeliest_pairs_grow_with_the_members_of_a_group(spark):
+    """40 sets like each other, all of one index group and not yet linked; and two whose shared token is too far on for a link."""
+    cols = ", ".join(f"{c} BIGINT" for c in ("token", "sid", "n", "place", "comp"))
+    members = spark.createDataFrame([(7, i, 100, 0, i) for i in range(40)] + [(9, 50, 100, 13, 50), (9, 51, 100, 0, 51)], cols)
+    maps = spark.createDataFrame([(i, *([1 << i] + [0] * 15)) for i in [*range(40), 50, 51]],
+                                 "sid BIGINT, " + ", ".join(f"{m} BIGINT" for m in jaccard_join._MAP))
+    assert jaccard_join._remaining(members, maps, 80, None).count() == 40 * 39 // 2
+    some = jaccard_join._remaining(members, maps, 80, 3).collect()
+    assert len(some) <= 3 * 40
+    assert {r[end] for r in some for end in ("a", "b")} == set(range(40))
+
+
 def test_suffix_dedup(docs):
     got = {r.doc_id: r for r in suffix_buckets.remove_repeats(docs).collect()}
     seen = set()
