@@ -58,14 +58,19 @@ def update_visits(visits: DataFrame, detect: DataFrame, tick: int, policy: str =
     return ended.unionByName(merged)
 
 
+def spanned(origin: int, every: int, seconds: int) -> tuple[Column, Column]:
+    """The first and the last tick that a sighting belongs to; none where the last one lies before the first."""
+    first = F.greatest(F.lit(0), F.ceil((F.col("ts") - origin) / every))
+    return first, F.ceil((F.col("ts") - origin + seconds) / every) - 1
+
+
 def presence(s: DataFrame, origin: int, every: int, seconds: int = RECENT_SECONDS) -> DataFrame:
     """(device, site, tick) with the first sighting in (tick - seconds, tick].
 
     Tick k is at `origin + k * every`. A sighting belongs to the ticks in
     [ts, ts + seconds); their number is seconds / every at most, rounded up.
     """
-    first = F.greatest(F.lit(0), F.ceil((F.col("ts") - origin) / every))
-    last = F.ceil((F.col("ts") - origin + seconds) / every) - 1
+    first, last = spanned(origin, every, seconds)
     return (s.where(last >= first)
             .select(*KEYS, "ts", F.explode(F.sequence(first, last)).alias("tick"))
             .groupBy(*KEYS, "tick").agg(F.min("ts").alias("first_ts")))
@@ -92,13 +97,19 @@ def visit_tracker(s: DataFrame, origin: int, every: int, ticks: int | Column,
 
 def stays(s: DataFrame, origin: int, every: int, last_tick: Column, seconds: int = RECENT_SECONDS, after: int = -1,
           keys: Sequence[str] = KEYS, segment: int = 1 << 20) -> DataFrame:
-    """Runs of consecutive ticks in (after, last_tick] with the device present: first tick `run`, `run_end`, start_ts."""
-    here = presence(s, origin, every, seconds)
-    here = here.where((F.col("tick") > after) & (F.col("tick") <= last_tick))
-    runs = in_order(here, list(keys), order="tick", breaks=lambda p, c: c("tick") - p("tick") > 1,
-                    run="run", shared=["first_ts"], segment=segment)
+    """Runs of consecutive ticks in (after, last_tick] with the device present: first tick `run`, `run_end`, start_ts.
+
+    A sighting stands for its first to its last tick, in one row however many they are. Later sightings have no earlier
+    last tick, so a run ends where a first tick lies more than one behind the last tick before it.
+    """
+    first, last = spanned(origin, every, seconds)
+    here = s.select(*keys, "ts", F.greatest(first, F.lit(after + 1)).cast("bigint").alias("tick"), F.least(last, last_tick).cast("bigint").alias("last"))
+    here = here.where((F.col("tick") <= F.col("last")) & (F.col("tick") <= last_tick))
+    here = here.groupBy(*keys, "tick").agg(F.min("ts").alias("first_ts"), F.max("last").alias("last"))
+    runs = in_order(here, list(keys), order="tick", prev={"_before": "last"}, breaks=lambda p, c: c("tick") - p("last") > 1,
+                    run="run", shared=["first_ts", "last"], segment=segment)
     return runs.groupBy(*keys, "run").agg(
-        F.max("tick").alias("run_end"), F.min_by("first_ts", "tick").alias("start_ts"))
+        F.max("last").alias("run_end"), F.min_by("first_ts", "tick").alias("start_ts"))
 
 
 def first_visits(found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -116,10 +127,13 @@ def with_end(whole: DataFrame, origin: int, every: int, last_tick: Column) -> Da
     return whole.withColumn("end_ts", end.cast("bigint"))
 
 
-def carry_first_visits(known: DataFrame, found: DataFrame, after: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """`first_visits` of the ticks up to `after`, carried on by the stays found in the ticks behind it."""
+def carry_first_visits(known: DataFrame, found: DataFrame, after: int, keys: Sequence[str] = KEYS, how: str = "full_outer") -> DataFrame:
+    """`first_visits` of the ticks up to `after`, carried on by the stays found in the ticks behind it.
+
+    With how="right" only the keys that have such stays come out.
+    """
     new = first_visits(found, keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in ("start_ts", "first_run", "last_run", "run_end")])
-    x = known.join(new, list(keys), "full_outer")
+    x = known.join(new, list(keys), how)
     # A stay from the first new tick on goes on with the stay that reached the last known one.
     goes_on = (F.col("run_end") == after) & (F.col("_last_run") == after + 1)
     return x.select(*keys, F.coalesce("start_ts", "_start_ts").alias("start_ts"), F.coalesce("first_run", "_first_run").alias("first_run"),

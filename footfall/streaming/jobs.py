@@ -234,8 +234,8 @@ def visits_job(ap_dim: DataFrame, path: str, seconds: int = RECENT_SECONDS, poli
                     now.unpersist()
                 else:
                     known = load_table(spark, f"{path}/first", visits.KEYS, FIRST_VISIT, before=batch_id)
-                    met = known.join(found.select(*visits.KEYS).distinct(), visits.KEYS, "left_semi")
-                    save_changes(visits.carry_first_visits(met, found, after), f"{path}/first", batch_id, visits.KEYS, FIRST_VISIT)
+                    now = visits.carry_first_visits(known, found, after, how="right")
+                    save_changes(now, f"{path}/first", batch_id, visits.KEYS, FIRST_VISIT)
             save_state(seen.where(F.col("ts") > origin + (tick + 1) * every - seconds), f"{path}/seen", batch_id, KEEP_VERSIONS)
             now_at = spark.range(1).select(*[F.lit(v).cast("bigint").alias(n) for v, n in ((tick, "tick"), (origin, "origin"), (every, "every"))])
             save_state(now_at, f"{path}/tick", batch_id, KEEP_VERSIONS)

@@ -123,3 +123,20 @@ def test_traffic_day_splits_at_local_midnight(spark, rows):
     assert rows(traffic.traffic_per_day(s), "window_start") == [(57600,), (day + 57600,)]
     latest = traffic.latest_window(traffic.traffic_per_window(s))
     assert latest.agg(F.max("window_start")).first()[0] == day + 57600
+
+
+def test_a_sighting_of_many_ticks_is_one_row(spark, rows):
+    """Ticks every 30 seconds, a sighting belongs to 1,000 of them: as by the rows per tick, without making them."""
+    s = spark.createDataFrame([("A", 1, t) for t in (0, 5, 31, 29000, 61030, 61031, 95000)] + [("B", 1, 40), ("B", 1, 30041)],
+                              "device STRING, site_id INT, ts BIGINT")
+    found = visits.stays(s, 0, 30, F.lit(4000), 30000, after=3)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    ticks = {}
+    for r in visits.presence(s, 0, 30, 30000).where("tick > 3 AND tick <= 4000").collect():
+        ticks.setdefault(r.device, {})[r.tick] = r.first_ts
+    want = []
+    for device, seen in ticks.items():
+        for k in sorted(seen):
+            if k - 1 not in seen:
+                want.append((device, 1, k, next(e for e in range(k, 5000) if e + 1 not in seen), seen[k]))
+    assert rows(found, "device", "site_id", "run", "run_end", "start_ts") == sorted(want)
